@@ -149,3 +149,32 @@ def _strip_scheme(path: str) -> str:
 def _re_escape(s: str) -> str:
     import re
     return re.escape(s)
+
+
+def late_files(spark: SparkSession, hot_root: str, ledger_root: str, cutoff: str) -> DataFrame:
+    """Hot files of already compacted hours (key < cutoff) that no
+    compaction consumed - they arrived after their hour was compacted and the
+    combined view no longer shows them.  A listing anti-joined with the ledger
+    on the file path (both sides are file metadata, not rows)."""
+    hot = (spark.read.format("binaryFile").load(hot_root).where(hour_key() < F.lit(cutoff))
+           .select(F.col("path").alias("file"), *PARTITION_KEYS))
+    ledger = spark.read.parquet(ledger_root).select("file")
+    return hot.join(ledger, "file", "left_anti")
+
+
+def recompact_hours(spark: SparkSession, hot_root: str, cold_root: str, hours: DataFrame,
+                    ledger_root: str | None = None) -> None:
+    """Re-run D4 (dynamic overwrite) for the hours listed in ``hours``.
+
+    The hours stay a DataFrame: a left-semi join on the partition keys, which
+    dynamic partition pruning turns into a runtime partition filter on the hot
+    scan - nothing is collected to the driver."""
+    keys = hours.select(*PARTITION_KEYS).distinct()
+    rows = read_hot(spark, hot_root).join(keys, PARTITION_KEYS, "left_semi").hint("rebalance", *PARTITION_KEYS)
+    (rows.select(*ALL_COLUMNS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("compression", "snappy").partitionBy(*PARTITION_KEYS).parquet(cold_root))
+    if ledger_root is not None:
+        files = (spark.read.format("binaryFile").load(hot_root).join(keys, PARTITION_KEYS, "left_semi")
+                 .select(F.col("path").alias("file"), "modificationTime", *PARTITION_KEYS))
+        files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy(*PARTITION_KEYS).parquet(ledger_root)

@@ -14,6 +14,7 @@ ORACLES: dict[str, str] = {}
 _MODULES = (
     "edgelog.plans.q_log",
     "edgelog.plans.q_layout",
+    "edgelog.plans.q_late",
     "edgelog.plans.q_metrics",
     "edgelog.plans.q_rules",
     "edgelog.plans.q_events",
