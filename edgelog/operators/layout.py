@@ -115,10 +115,20 @@ def compact(spark: SparkSession, hot_root: str, cold_root: str, where: Column, m
             .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION_KEYS).parquet(ledger_root)
 
 
+def hot_listing(spark: SparkSession, hot_root: str) -> DataFrame:
+    """(file, modificationTime, year, month, day, hour) of every hot-tier file.
+
+    Partition keys are taken from the path as strings, independent of the
+    session's partition type inference (which would turn ``01`` into 1)."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*.gz").load(hot_root))
+    return files.select(F.col("path").alias("file"), "modificationTime",
+                        *[F.regexp_extract("path", f"/{k}=([^/]+)/", 1).alias(k) for k in PARTITION_KEYS])
+
+
 def compaction_ledger(spark: SparkSession, hot_root: str, where: Column) -> DataFrame:
     """(hour, source file) of every hot file a compaction consumed (T3 ledger)."""
-    return (spark.read.format("binaryFile").load(hot_root).where(where)
-            .select(F.col("path").alias("file"), "modificationTime", *PARTITION_KEYS))
+    return hot_listing(spark, hot_root).where(where)
 
 
 def compact_hour(spark: SparkSession, hot_root: str, cold_root: str, now: dt.datetime,
@@ -156,8 +166,7 @@ def late_files(spark: SparkSession, hot_root: str, ledger_root: str, cutoff: str
     compaction consumed - they arrived after their hour was compacted and the
     combined view no longer shows them.  A listing anti-joined with the ledger
     on the file path (both sides are file metadata, not rows)."""
-    hot = (spark.read.format("binaryFile").load(hot_root).where(hour_key() < F.lit(cutoff))
-           .select(F.col("path").alias("file"), *PARTITION_KEYS))
+    hot = hot_listing(spark, hot_root).where(hour_key() < F.lit(cutoff)).select("file", *PARTITION_KEYS)
     ledger = spark.read.parquet(ledger_root).select("file")
     return hot.join(ledger, "file", "left_anti")
 
@@ -174,7 +183,6 @@ def recompact_hours(spark: SparkSession, hot_root: str, cold_root: str, hours: D
     (rows.select(*ALL_COLUMNS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .option("compression", "snappy").partitionBy(*PARTITION_KEYS).parquet(cold_root))
     if ledger_root is not None:
-        files = (spark.read.format("binaryFile").load(hot_root).join(keys, PARTITION_KEYS, "left_semi")
-                 .select(F.col("path").alias("file"), "modificationTime", *PARTITION_KEYS))
+        files = hot_listing(spark, hot_root).join(keys, PARTITION_KEYS, "left_semi")
         files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy(*PARTITION_KEYS).parquet(ledger_root)

@@ -26,7 +26,7 @@ CUT = view_cutoff(LAKE_NOW)
 
 
 def late_lake(spark, sf):
-    tag = hashlib.sha1(f"{os.path.abspath(sf)}|late|v1".encode()).hexdigest()[:16]
+    tag = hashlib.sha1(f"{os.path.abspath(sf)}|late|v2".encode()).hexdigest()[:16]
     lake = Lake(work_path(spark, "late_lake", tag), LAKE_NOW)
     if path_exists(spark, f"{lake.root}/_READY"):
         return lake
