@@ -136,7 +136,30 @@ def dead_letters(spark, sf):
     return N.dead_letters(N.shape_notifications(topic_messages(spark, sf)))
 
 
-@register("notification_summary")
+SUMMARY_SQL = ALERTS_SQL.replace("WITH alerts AS", "WITH alerts AS", 1) + f""",
+hourly AS (SELECT event_type AS metric, date_trunc('hour', ts) AS bucket, count(*) AS value FROM events GROUP BY ALL),
+spans AS (SELECT metric, min(bucket) AS first FROM hourly GROUP BY metric),
+grid AS (SELECT metric, unnest(generate_series(first, (SELECT max(bucket) FROM hourly), INTERVAL 1 HOUR)) AS bucket FROM spans),
+filled AS (SELECT g.metric, g.bucket, h.value FROM grid g LEFT JOIN hourly h USING (metric, bucket)),
+evald AS (SELECT metric, bucket, sum(CAST(CASE WHEN value IS NULL THEN TRUE ELSE value >= 5 END AS INT))
+            OVER (PARTITION BY metric ORDER BY bucket ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS breaches FROM filled),
+stated AS (SELECT metric, bucket, CASE WHEN breaches = 3 THEN 'ALARM' ELSE 'OK' END AS state FROM evald),
+trans AS (SELECT state, coalesce(lag(state) OVER (PARTITION BY metric ORDER BY bucket), 'OK') AS previous FROM stated),
+execs AS (SELECT event_id, {STATES_SQL} AS result, event_id % 7 = 0 AS timed_out
+          FROM events e WHERE event_type = 'signup' AND event_id % 4 <> 3),
+kinds AS (
+  SELECT 'alarm' AS kind, 'CloudWatch Alarm' AS username, CASE WHEN state = 'ALARM' THEN ':scream:' ELSE ':relaxed:' END AS icon_emoji
+  FROM trans WHERE state <> previous
+  UNION ALL SELECT 'repo-sanity', 'Repo Sanity Testing', ':scream:' FROM alerts
+  UNION ALL SELECT 'approval', 'Pipeline', ':question:' FROM execs WHERE result = 'RUNNING'
+  UNION ALL SELECT 'pipeline', 'Pipeline', CASE WHEN result = 'FAILED' THEN ':thumbsdown:'
+      WHEN result IN ('TIMED_OUT', 'ABORTED') THEN ':point_right:' WHEN timed_out THEN ':open_mouth:' ELSE ':clap:' END
+    FROM execs WHERE result <> 'RUNNING'
+  UNION ALL SELECT 'dead-letter', NULL, NULL FROM events WHERE event_type IN ('click', 'purchase'))
+SELECT kind, username, icon_emoji, count(*) AS messages FROM kinds GROUP BY ALL"""
+
+
+@register("notification_summary", SUMMARY_SQL)
 def notification_summary(spark, sf):
     """N6 + N7 per class: messages, users and icons."""
     shaped = N.shape_notifications(topic_messages(spark, sf))

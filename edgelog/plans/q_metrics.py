@@ -134,7 +134,35 @@ def alarm_transitions_ignore(spark, sf):
     return AL.alarm_transitions(_hourly_counts(spark, sf), ["metric"], spec)
 
 
-@register("function_error_alarms")
+def _function_alarm_sql(fn, alarm, missing, n, thr):
+    breach = f"CASE WHEN value IS NULL THEN TRUE ELSE value >= {thr} END" if missing == "BREACHING" else f"value >= {thr}"
+    if missing == "BREACHING":
+        state = f"CASE WHEN breaches = {n} THEN 'ALARM' ELSE 'OK' END"
+    else:
+        state = (f"coalesce(last_value(CASE WHEN present < {n} THEN NULL WHEN breaches = {n} THEN 'ALARM' ELSE 'OK' END "
+                 "IGNORE NULLS) OVER (PARTITION BY function ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'OK')")
+    return f"""SELECT * FROM (
+  WITH series AS (SELECT function, date_trunc('hour', ts) AS bucket, CAST(sum(errors) AS BIGINT) AS value
+                  FROM errors WHERE function = '{fn}' GROUP BY ALL),
+  grid AS (SELECT function, unnest(generate_series(min(bucket), (SELECT max(bucket) FROM series), INTERVAL 1 HOUR)) AS bucket
+           FROM series GROUP BY function),
+  filled AS (SELECT g.function, g.bucket, s.value FROM grid g LEFT JOIN series s USING (function, bucket)),
+  evald AS (SELECT function, bucket, value,
+      sum(CAST({breach} AS INT)) OVER (PARTITION BY function ORDER BY bucket ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS breaches,
+      count(value) OVER (PARTITION BY function ORDER BY bucket ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS present
+    FROM filled),
+  stated AS (SELECT function, bucket, value, {state} AS state FROM evald),
+  trans AS (SELECT function, bucket, coalesce(lag(state) OVER (PARTITION BY function ORDER BY bucket), 'OK') AS previous,
+                   state, value FROM stated)
+  SELECT function, bucket, previous, state, value, '{alarm}' AS alarm FROM trans WHERE state <> previous)"""
+
+
+FUNCTION_ALARMS_SQL = ERRORS_CTE + "\nUNION ALL\n".join(
+    _function_alarm_sql(spec.name[: -len("-errors")], spec.name, spec.missing, spec.periods, int(spec.threshold))
+    for spec in AL.ALARM_CATALOG[:3])
+
+
+@register("function_error_alarms", FUNCTION_ALARMS_SQL)
 def function_error_alarms(spark, sf):
     """The catalog's three function-error alarms over A12 (one spec each)."""
     per_hour = M.errors_per_hour(M.function_errors(table(spark, sf, "events"))).withColumnRenamed("errors", "value")
