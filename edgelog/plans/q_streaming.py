@@ -6,7 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from edgelog.operators.alarms import AlarmSpec
 from edgelog.operators.metrics import metric_samples
+from edgelog.plans.q_metrics import BREACHING_SQL
+from edgelog.streaming.alarms import evaluate_stream
 from edgelog.operators.notify import notifications as accepted
 from edgelog.plans.lake import lake_for
 from edgelog.plans.oracle import DATA_COLS, LOG_CTE
@@ -63,3 +66,26 @@ def stream_notifications(spark, sf):
 def topic_messages_raw(spark, sf):
     """Published messages (before envelope delivery) as (msg_id, message)."""
     return topic_messages(spark, sf).select("msg_id", "message")
+
+
+@register("stream_alarm_transitions", "SELECT * FROM (" + BREACHING_SQL + """) t
+WHERE bucket + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)""")
+def stream_alarm_transitions(spark, sf):
+    """T5: hourly event counts as a stream of closed windows (T4 job), fed to
+    the stateful alarm operator (second streaming job); equals the batch W1-W3
+    on every closed hour (the last hour is still open when the stream ends)."""
+    run = work_path(spark, "stream_alarm", uuid.uuid4().hex)
+    src = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf.rstrip('/')}/events.parquet*")
+    hourly = windowed_counts(metric_samples(src).select("metric", "ts", "value"), period="1 hour", delay="0 seconds")
+    _run(start_windowed(hourly, f"{run}/closed", f"{run}/_ckpt_closed"))
+    # second job: closed windows as a file stream; its watermark drives the gap-filling timeouts
+    closed = (spark.readStream.schema("bucket timestamp_ntz, metric string, samples long, total double")
+              .parquet(f"{run}/closed").select("metric", F.col("bucket").cast("timestamp").alias("bucket"),
+                                               F.col("samples").alias("value"))
+              .withWatermark("bucket", "0 seconds"))
+    spec = AlarmSpec("hourly-events", "1 hour", ">=", 5, 3, "BREACHING")
+    trans = evaluate_stream(closed, spec, 3600)
+    q = (trans.writeStream.format("parquet").option("path", f"{run}/out")
+         .option("checkpointLocation", f"{run}/_ckpt_alarm").outputMode("append").trigger(availableNow=True).start())
+    _run(q)
+    return spark.read.parquet(f"{run}/out").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
