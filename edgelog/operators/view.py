@@ -21,14 +21,23 @@ from edgelog.sources.accesslog import read_cold, read_hot
 
 def combined_view(spark: SparkSession, hot_root: str, cold_root: str, now: dt.datetime,
                   with_file: bool = False, name: str | None = None) -> DataFrame:
+    """U1 over two tier folders (path-based tables)."""
+    hot = read_hot(spark, hot_root, with_file) if path_exists(spark, hot_root) else None
+    cold = read_cold(spark, cold_root, with_file) if path_exists(spark, cold_root) else None
+    if hot is None and cold is None:
+        raise FileNotFoundError(f"neither {hot_root} nor {cold_root} exists")
+    return combine_tiers(hot, cold, now, with_file, name)
+
+
+def combine_tiers(hot: DataFrame | None, cold: DataFrame | None, now: dt.datetime,
+                  with_file: bool = False, name: str | None = None) -> DataFrame:
+    """U1 over two tier DataFrames (folders or catalog tables) with the same columns."""
     cut = F.lit(view_cutoff(now))
     parts = []
-    if path_exists(spark, hot_root):
-        parts.append(read_hot(spark, hot_root, with_file).where(hour_key() >= cut))
-    if path_exists(spark, cold_root):
-        parts.append(read_cold(spark, cold_root, with_file).where(hour_key() < cut))
-    if not parts:
-        raise FileNotFoundError(f"neither {hot_root} nor {cold_root} exists")
+    if hot is not None:
+        parts.append(hot.where(hour_key() >= cut))
+    if cold is not None:
+        parts.append(cold.where(hour_key() < cut))
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p)

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from edgelog.functions.timekeys import view_cutoff
 from edgelog.operators.layout import compact_before, route_files
-from edgelog.operators.view import combined_view
+from edgelog.operators.view import combine_tiers, combined_view
 from edgelog.session import path_exists, work_path
+from edgelog.sources.accesslog import read_table, register_tier
 from edgelog.sources.arrivals import stage_arrivals
 from edgelog.sources.fixture import access_log
 
@@ -48,7 +49,25 @@ class Lake:
     def ledger(self) -> str:
         return f"{self.root}/ledger"
 
+    @property
+    def tag(self) -> str:
+        return self.root.rsplit("/", 1)[-1]
+
+    def tables(self, spark: SparkSession) -> tuple[str, str]:
+        """The two tiers as partitioned catalog tables (registered once per session catalog)."""
+        hot = register_tier(spark, f"edgelog.hot_{self.tag}", self.hot, "csv")
+        cold = register_tier(spark, f"edgelog.cold_{self.tag}", self.cold, "parquet")
+        return hot, cold
+
     def view(self, spark: SparkSession, with_file: bool = False) -> DataFrame:
+        """U1 through the catalog tables: both cut-off predicates and the query's
+        year/month filters prune partitions in the catalog."""
+        hot, cold = self.tables(spark)
+        return combine_tiers(read_table(spark, hot, with_file), read_table(spark, cold, with_file),
+                             self.now, with_file=with_file)
+
+    def path_view(self, spark: SparkSession, with_file: bool = False) -> DataFrame:
+        """U1 over the tier folders directly (no catalog)."""
         return combined_view(spark, self.hot, self.cold, self.now, with_file=with_file)
 
 

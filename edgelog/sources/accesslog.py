@@ -47,3 +47,35 @@ def to_tsv_line(df: DataFrame) -> DataFrame:
     """Render the 33 data fields as one TAB-separated line; NULL -> '-'."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in DATA_COLUMNS]
     return df.select(F.concat_ws("\t", *parts).alias("value"), *[c for c in df.columns if c not in DATA_COLUMNS])
+
+
+def _ddl_columns() -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in FULL_SCHEMA.fields)
+
+
+def register_tier(spark: SparkSession, table: str, root: str, fmt: str) -> str:
+    """Register a tier as an external partitioned catalog table and load its
+    partitions.  Queries then prune partitions in the catalog and list only
+    the files of the selected hours (cached per table), instead of listing
+    every hour folder of the tier on each query.  After new files land in an
+    existing hour, call ``spark.catalog.refreshTable``; new hours are added by
+    ``ALTER TABLE .. ADD PARTITION`` (D3) or ``RECOVER PARTITIONS``."""
+    if fmt == "csv":
+        opts = ("OPTIONS (sep '\\t', comment '#', quote '', escape '', mode 'PERMISSIVE', "
+                "dateFormat 'yyyy-MM-dd', header 'false')")
+    elif fmt == "parquet":
+        opts = ""
+    else:
+        raise ValueError(fmt)
+    db = table.split(".")[0] if "." in table else None
+    if db:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
+    if not spark.catalog.tableExists(table):
+        spark.sql(f"CREATE TABLE {table} ({_ddl_columns()}) USING {fmt} {opts} "
+                  f"PARTITIONED BY (year, month, day, hour) LOCATION '{root}'")
+        spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+    return table
+
+
+def read_table(spark: SparkSession, table: str, with_file: bool = False) -> DataFrame:
+    return _with_file(spark.table(table), with_file)
