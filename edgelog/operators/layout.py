@@ -132,10 +132,16 @@ def compaction_ledger(spark: SparkSession, hot_root: str, where: Column) -> Data
 
 
 def compact_hour(spark: SparkSession, hot_root: str, cold_root: str, now: dt.datetime,
-                 mode: str = "overwrite", ledger_root: str | None = None) -> dict[str, str]:
-    """D4 as scheduled: the hour two hours before ``now``."""
+                 mode: str = "overwrite", ledger_root: str | None = None,
+                 cold_table: str | None = None) -> dict[str, str]:
+    """D4 as scheduled: the hour two hours before ``now``.  With ``cold_table``
+    the new hour is added to the catalog and the table's file cache refreshed."""
     p = compaction_hour(now)
     compact(spark, hot_root, cold_root, hour_predicate(p), mode=mode, ledger_root=ledger_root)
+    if cold_table is not None:
+        spark.sql(f"ALTER TABLE {cold_table} ADD IF NOT EXISTS PARTITION "
+                  "(year = :year, month = :month, day = :day, hour = :hour)", args=p)
+        spark.catalog.refreshTable(cold_table)
     return p
 
 
