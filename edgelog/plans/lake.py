@@ -18,7 +18,7 @@ from edgelog.functions.timekeys import view_cutoff
 from edgelog.operators.layout import compact_before, route_files
 from edgelog.operators.view import combine_tiers, combined_view
 from edgelog.session import path_exists, work_path
-from edgelog.sources.accesslog import read_table, register_tier
+from edgelog.sources.accesslog import read_hot, read_table, register_tier
 from edgelog.sources.arrivals import stage_arrivals
 from edgelog.sources.fixture import access_log
 
@@ -51,11 +51,21 @@ class Lake:
 
     @property
     def tag(self) -> str:
-        return self.root.rsplit("/", 1)[-1]
-
-    def tables(self, spark: SparkSession) -> tuple[str, str]:
-        """The two tiers as partitioned catalog tables (registered once per session catalog)."""
-        hot = register_tier(spark, f"edgelog.hot_{self.tag}", self.hot, "csv")
+        """Identifier-safe name of this lake (hash of its root)."""
+        return hashlib.sha1(self.root.encode()).hexdigest()[:16]
+
+    def hot_is_stream_output(self, spark: SparkSession) -> bool:
+        """A hot tier fed by the file stream (T1) carries the sink's commit log;
+        readers then take the committed files from that log (exactly-once, and
+        no folder listing), and new hours need no registration."""
+        return path_exists(spark, f"{self.hot}/_spark_metadata")
+
+    def tables(self, spark: SparkSession) -> tuple[str | None, str]:
+        """The tiers as partitioned catalog tables (registered once per session
+        catalog); the hot table is None when the hot tier is a stream output."""
+        hot = None
+        if not self.hot_is_stream_output(spark):
+            hot = register_tier(spark, f"edgelog.hot_{self.tag}", self.hot, "csv")
         cold = register_tier(spark, f"edgelog.cold_{self.tag}", self.cold, "parquet")
         return hot, cold
 
@@ -63,8 +73,8 @@ class Lake:
         """U1 through the catalog tables: both cut-off predicates and the query's
         year/month filters prune partitions in the catalog."""
         hot, cold = self.tables(spark)
-        return combine_tiers(read_table(spark, hot, with_file), read_table(spark, cold, with_file),
-                             self.now, with_file=with_file)
+        hot_df = read_table(spark, hot, with_file) if hot else read_hot(spark, self.hot, with_file)
+        return combine_tiers(hot_df, read_table(spark, cold, with_file), self.now, with_file=with_file)
 
     def path_view(self, spark: SparkSession, with_file: bool = False) -> DataFrame:
         """U1 over the tier folders directly (no catalog)."""

@@ -79,3 +79,10 @@ def ensure_dir(path: str) -> None:
     lp = local_path(path)
     if lp is not None:
         os.makedirs(lp, exist_ok=True)
+
+
+def mkdirs(spark: SparkSession, path: str) -> None:
+    """Create a folder through Hadoop's FileSystem (any FS the cluster uses)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hpath)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgelog.schema import ALL_COLUMNS, DATA_COLUMNS, FULL_SCHEMA
+from edgelog.session import mkdirs
 
 HOT_OPTIONS = {
     "sep": "\t",
@@ -71,6 +72,7 @@ def register_tier(spark: SparkSession, table: str, root: str, fmt: str) -> str:
     if db:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
     if not spark.catalog.tableExists(table):
+        mkdirs(spark, root)
         spark.sql(f"CREATE TABLE {table} ({_ddl_columns()}) USING {fmt} {opts} "
                   f"PARTITIONED BY (year, month, day, hour) LOCATION '{root}'")
         spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")

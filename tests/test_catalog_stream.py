@@ -66,3 +66,24 @@ def test_stream_ingest_exactly_once(spark, tmpdir_path):
     start_ingest(spark, lake, target, ckpt).awaitTermination()
     df = read_hot(spark, target)
     assert df.count() == 3 and df.where(F.col("hour") == "04").count() == 1
+
+
+def test_scheduled_jobs_cycle(spark, tmpdir_path):
+    """route at arrival, register at :55, compact at :01, repair a late file."""
+    from edgelog.plans.jobs import compact_job, register_job, repair_job, route_job
+    from edgelog.plans.lake import Lake
+    from edgelog.sources.accesslog import read_cold
+
+    root = tmpdir_path
+    _gz(os.path.join(root, "new", "a", "E1.2024-01-02-03.a.gz"), [_row(), _row()])
+    lake = Lake(root, dt.datetime(2024, 1, 2, 5, 1))
+    route_job(spark, lake)
+    assert register_job(spark, lake)["hour"] == "06"
+    os.makedirs(lake.cold, exist_ok=True)
+    assert compact_job(spark, lake)["hour"] == "03"
+    assert read_cold(spark, lake.cold).count() == 2
+    # a late file for hour 03 arrives after its compaction
+    _gz(os.path.join(root, "new", "b", "E1.2024-01-02-03.late.gz"), [_row()])
+    route_job(spark, lake)
+    repair_job(spark, Lake(root, dt.datetime(2024, 1, 2, 6, 20)))
+    assert read_cold(spark, lake.cold).where("hour = '03'").count() == 3
