@@ -111,18 +111,6 @@ def topic_messages(spark, sf):
     return messages_of(envelopes(msgs))
 
 
-@register("notifications")
-def notifications(spark, sf):
-    """Chat records for every accepted message."""
-    return N.notifications(N.shape_notifications(topic_messages(spark, sf)))
-
-
-@register("dead_letters")
-def dead_letters(spark, sf):
-    """Messages no branch accepts."""
-    return N.dead_letters(N.shape_notifications(topic_messages(spark, sf)))
-
-
 SUMMARY_SQL = ALERTS_SQL.replace("WITH alerts AS", "WITH alerts AS", 1) + f""",
 hourly AS (SELECT event_type AS metric, date_trunc('hour', ts) AS bucket, count(*) AS value FROM events GROUP BY ALL),
 spans AS (SELECT metric, min(bucket) AS first FROM hourly GROUP BY metric),
@@ -146,6 +134,79 @@ kinds AS (
 SELECT kind, username, icon_emoji, count(*) AS messages FROM kinds GROUP BY ALL"""
 
 
+def _sql_text(template: str) -> str:
+    """A Python text with {placeholders} as a DuckDB concatenation; newlines become chr(10)."""
+    import re
+    parts = []
+    for piece in re.split(r"(\{[^}]+\})", template):
+        if not piece:
+            continue
+        if piece.startswith("{"):
+            parts.append(f"({piece[1:-1]})")
+        else:
+            for j, line in enumerate(piece.split("\n")):
+                if j:
+                    parts.append("chr(10)")
+                if line:
+                    parts.append("'" + line.replace("'", "''") + "'")
+    return " || ".join(parts)
+
+
+_ALARM_URL = ("https://us-east-1.console.aws.amazon.com/cloudwatch/home?region=us-east-1#alarmsV2:alarm/{name}"
+              "?~(alarmStateFilter~'ALARM)")
+NOTIFICATIONS_SQL = SUMMARY_SQL.split(",\nkinds AS (")[0].replace(
+    "trans AS (SELECT state, coalesce(lag(state)", "trans AS (SELECT metric, bucket, state, coalesce(lag(state)") + f""",
+named AS (SELECT *, 'HourlyEvents-' || metric AS name FROM trans WHERE state <> previous),
+execs2 AS (SELECT e.event_id, x.result, x.timed_out,
+                  CASE WHEN e.event_id % 2 = 0 THEN substr(md5(CAST(e.event_id AS VARCHAR)), 1, 7) END AS commit_id
+           FROM events e JOIN execs x USING (event_id))
+SELECT 'alarm-' || name || '-' || strftime(bucket, '%Y%m%d%H%M') AS msg_id, 'alarm' AS kind, 'mirrors' AS channel,
+  'CloudWatch Alarm' AS username,
+  {_sql_text("{name}\nHourly event volume\nAccount: " + ACCOUNT + "\nThreshold crossed: state changed from {previous} to {state} at {CAST(bucket AS VARCHAR)}\n<" + _ALARM_URL + "|AlarmState>")} AS text,
+  CASE WHEN state = 'ALARM' THEN ':scream:' ELSE ':relaxed:' END AS icon_emoji
+FROM named
+UNION ALL
+SELECT 'sanity-' || event_id, 'repo-sanity', 'mirrors', 'Repo Sanity Testing',
+  {_sql_text("Sanity testing for '{\"sanityTarget\"}' '{\"sanityProjectImage\"}' failed!\n{\"sanityProjectName\"} got FAILED\nAccount: " + ACCOUNT + "\nCheck build {\"sanityBuildId\"} for detail info.")},
+  ':scream:'
+FROM alerts
+UNION ALL
+SELECT 'approval-' || event_id, 'approval', 'mirrors', 'Pipeline',
+  {_sql_text("Mirrors pipeline 'DeployPipeline' is going to next stage 'prod' on commit '{coalesce(commit_id, 'null')}'.\n\nCheck stage 'uat' via https://mirrors.example.com,\n\nNOTE: below actions are one-time actions and the operation can NOT be revoked. \nAlso below actions will be expired in 60 minutes.\n\n<https://mirrors.example.com/approve?execution=exec-{event_id}|Click to Approve>\n\n<https://mirrors.example.com/reject?execution=exec-{event_id}|Click to Reject>\n")},
+  ':question:'
+FROM execs2 WHERE result = 'RUNNING'
+UNION ALL
+SELECT 'pipeline-' || event_id, 'pipeline', 'mirrors', 'Pipeline',
+  {_sql_text("Mirrors pipeline execution 'exec-{event_id}' on commit '{coalesce(commit_id, 'unknown')}' is {CASE WHEN result NOT IN ('FAILED', 'TIMED_OUT', 'ABORTED') AND timed_out THEN 'approval timeout' ELSE result END} in account " + ACCOUNT + ".\n")},
+  CASE WHEN result = 'FAILED' THEN ':thumbsdown:' WHEN result IN ('TIMED_OUT', 'ABORTED') THEN ':point_right:'
+       WHEN timed_out THEN ':open_mouth:' ELSE ':clap:' END
+FROM execs2 WHERE result <> 'RUNNING'"""
+
+
+@register("notifications", NOTIFICATIONS_SQL)
+def notifications(spark, sf):
+    """Chat records for every accepted message."""
+    return N.notifications(N.shape_notifications(topic_messages(spark, sf)))
+
+
+DEAD_LETTERS_SQL = f"""
+SELECT 'scale-' || event_id AS msg_id, 'Service service/mirrors/content-server is scaled from ' || (event_id % 16 + 1)
+       || ' to ' || ((event_id + user_id) % 16 + 1) AS message
+FROM events WHERE event_type = 'click'
+UNION ALL
+SELECT 'cert-' || event_id, '{{"type":"certificate","certificateDomain":"mirrors.example.com",'
+       || '"certificateProjectName":"CertificateRenewal","certificateBuildStatus":"FAILED",'
+       || '"certificateBuildId":"arn:aws:codebuild:us-east-1:{ACCOUNT}:build/CertificateRenewal:' || event_id
+       || '","account":"{ACCOUNT}"}}'
+FROM events WHERE event_type = 'purchase' AND event_id % 2 = 0"""
+
+
+@register("dead_letters", DEAD_LETTERS_SQL)
+def dead_letters(spark, sf):
+    """Messages no branch accepts."""
+    return N.dead_letters(N.shape_notifications(topic_messages(spark, sf)))
+
+
 @register("notification_summary", SUMMARY_SQL)
 def notification_summary(spark, sf):
     """N6 + N7 per class: messages, users and icons."""

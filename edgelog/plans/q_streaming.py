@@ -13,7 +13,7 @@ from edgelog.streaming.alarms import evaluate_stream
 from edgelog.operators.notify import notifications as accepted
 from edgelog.plans.lake import lake_for
 from edgelog.plans.oracle import DATA_COLS, LOG_CTE
-from edgelog.plans.q_events import topic_messages
+from edgelog.plans.q_events import NOTIFICATIONS_SQL, topic_messages
 from edgelog.plans.registry import register
 from edgelog.schema import ALL_COLUMNS
 from edgelog.session import work_path
@@ -54,7 +54,7 @@ def stream_metric_1m(spark, sf):
     return spark.read.parquet(f"{run}/out").withColumn("total", F.round("total", 6))
 
 
-@register("stream_notifications")
+@register("stream_notifications", NOTIFICATIONS_SQL)
 def stream_notifications(spark, sf):
     """Envelopes as a stream -> the same notifications as the batch form."""
     run = work_path(spark, "stream_notify", uuid.uuid4().hex)
