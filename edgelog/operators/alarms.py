@@ -2,9 +2,9 @@
 transitions, and the capacity-pressure report.
 
 Input series are already aggregated per (key, bucket), so their size is the
-number of periods, not the raw sample volume.  Gap filling expands each key's
-own bucket range with ``sequence`` (a generator per key row - no cross join)
-and left-joins the observed buckets on (key, bucket).
+number of periods, not the raw sample volume.  Gap filling generates the
+missing buckets from each observed bucket up to the next one (``lead`` +
+``sequence``) - no join, no cross product.
 """
 
 from __future__ import annotations
@@ -46,11 +46,20 @@ ALARM_CATALOG = [
 
 def gap_fill(series: DataFrame, keys: list[str], period: str, end: Column | None = None) -> DataFrame:
     """Every bucket from each key's first bucket to ``end`` (default: the
-    last bucket of any key); missing buckets carry ``value = NULL``."""
+    last bucket of any key); missing buckets carry ``value = NULL``.
+
+    No join and no grid: each observed bucket emits itself plus the missing
+    buckets up to the key's next observation (``lead``), or up to ``end`` after
+    its last one.  The window partitions by the alarm key and orders by bucket,
+    the same layout the evaluation windows need, so it adds no extra shuffle."""
     last = end if end is not None else series.select(F.max("bucket")).scalar()
-    spans = series.groupBy(*keys).agg(F.min("bucket").alias("first"))
-    grid = spans.select(*keys, F.explode(F.sequence("first", last, F.expr(f"INTERVAL {period}"))).alias("bucket"))
-    return grid.join(series, [*keys, "bucket"], "left")
+    step = F.expr(f"INTERVAL {period}")
+    w = Window.partitionBy(*keys).orderBy("bucket")
+    upto = F.coalesce(F.lead("bucket").over(w) - step, last)
+    stamped = series.withColumn("_upto", F.greatest(F.col("bucket"), upto))
+    filled = stamped.select(*keys, F.col("bucket").alias("_obs"), "value",
+                            F.explode(F.sequence(F.col("bucket"), F.col("_upto"), step)).alias("bucket"))
+    return filled.select(*keys, "bucket", F.when(F.col("bucket") == F.col("_obs"), F.col("value")).alias("value"))
 
 
 def evaluate(filled: DataFrame, keys: list[str], spec: AlarmSpec) -> DataFrame:
