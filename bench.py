@@ -30,6 +30,7 @@ HEADLINE = [
     "traffic_by_mirror",
     "notifications",
     "stitched_log_records",
+    "compact_hour",
 ]
 
 
