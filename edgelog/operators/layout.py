@@ -55,20 +55,23 @@ def list_files(spark: SparkSession, root: str, relative_to: str | None = None) -
     return df.withColumn("key", F.regexp_replace(F.col("path"), r"^.*?" + _re_escape(_strip_scheme(base)) + "/", ""))
 
 
-def route_files(spark: SparkSession, lake_root: str, source: str = "new", target: str = "hot") -> DataFrame:
+def route_files(spark: SparkSession, lake_root: str, source: str = "new", target: str = "hot",
+                mode: str = "append") -> DataFrame:
     """D1 as a data route: every line of every matched file under ``source``
     goes into ``target/year=/month=/day=/hour=`` (hour from the *file name*).
 
     Map-only: each gz file is one task and writes one file into its hour, so
-    there is no shuffle and no hot-hour task.  Returns the D2 report."""
+    there is no shuffle and no hot-hour task.  Returns the D2 report.
+    ``mode="overwrite"`` replaces the whole target (an idempotent rebuild);
+    incremental routing is the exactly-once stream (T1)."""
     src = f"{lake_root}/{source}"
     lines = (spark.read.option("recursiveFileLookup", "true").text(src)
              .select("value", F.col("_metadata.file_path").alias("path")))
     keyed = lines.withColumn("key", F.regexp_replace("path", r"^.*?" + _re_escape(_strip_scheme(lake_root)) + "/", ""))
     routed = route_keys(keyed).where("routed")
     (routed.select("value", *PARTITION_KEYS)
-     .write.mode("append").partitionBy(*PARTITION_KEYS).option("compression", "gzip")
-     .text(f"{lake_root}/{target}"))
+     .write.mode(mode).option("partitionOverwriteMode", "static").partitionBy(*PARTITION_KEYS)
+     .option("compression", "gzip").text(f"{lake_root}/{target}"))
     return unrouted(list_files(spark, src, relative_to=lake_root))
 
 

@@ -25,7 +25,7 @@ from edgelog.sources.fixture import access_log
 # Fixed value: the wall clock the lake and its view are evaluated at.  Hours
 # from 2024-01-30 21:00 on stay in the gzip tier, earlier hours are compacted.
 LAKE_NOW = dt.datetime(2024, 1, 30, 22, 20)
-LAKE_VERSION = "v2"
+LAKE_VERSION = "v3"
 
 
 class Lake:
@@ -86,8 +86,9 @@ def lake_for(spark: SparkSession, sf_dir: str, now: dt.datetime = LAKE_NOW) -> L
     lake = Lake(work_path(spark, "lake", tag), now)
     if path_exists(spark, f"{lake.root}/_READY"):
         return lake
-    stage_arrivals(access_log(spark, sf_dir), lake.new)
-    route_files(spark, lake.root, "new", "hot")
+    # every step overwrites, so a build interrupted before _READY is simply redone
+    stage_arrivals(access_log(spark, sf_dir), lake.new, mode="overwrite")
+    route_files(spark, lake.root, "new", "hot", mode="overwrite")
     compact_before(spark, lake.hot, lake.cold, view_cutoff(now), ledger_root=lake.ledger)
     spark.createDataFrame([(now.isoformat(),)], "now string").coalesce(1).write.mode("overwrite").json(f"{lake.root}/_READY")
     return lake

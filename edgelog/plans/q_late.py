@@ -26,15 +26,18 @@ CUT = view_cutoff(LAKE_NOW)
 
 
 def late_lake(spark, sf):
-    tag = hashlib.sha1(f"{os.path.abspath(sf)}|late|v2".encode()).hexdigest()[:16]
+    tag = hashlib.sha1(f"{os.path.abspath(sf)}|late|v3".encode()).hexdigest()[:16]
     lake = Lake(work_path(spark, "late_lake", tag), LAKE_NOW)
     if path_exists(spark, f"{lake.root}/_READY"):
         return lake
     log = access_log(spark, sf)
-    stage_arrivals(log.where(F.col("location") != LATE_EDGE), f"{lake.root}/new", distribution="E2ONTIME")
-    route_files(spark, lake.root, "new", "hot")
+    # a rebuild after an interruption starts over: the first writes overwrite
+    stage_arrivals(log.where(F.col("location") != LATE_EDGE), f"{lake.root}/new", distribution="E2ONTIME",
+                   mode="overwrite")
+    route_files(spark, lake.root, "new", "hot", mode="overwrite")
     compact_before(spark, lake.hot, lake.cold, CUT, ledger_root=lake.ledger)
-    stage_arrivals(log.where(F.col("location") == LATE_EDGE), f"{lake.root}/late", distribution="E2LATE")
+    stage_arrivals(log.where(F.col("location") == LATE_EDGE), f"{lake.root}/late", distribution="E2LATE",
+                   mode="overwrite")
     route_files(spark, lake.root, "late", "hot")
     spark.createDataFrame([("ready",)], "s string").write.mode("overwrite").json(f"{lake.root}/_READY")
     return lake

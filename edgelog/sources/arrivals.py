@@ -14,9 +14,11 @@ from edgelog.sources.accesslog import to_tsv_line
 HEADER_LINES = ["#Version: 1.0", "#Fields: " + " ".join(DATA_COLUMNS)]
 
 
-def stage_arrivals(log: DataFrame, new_root: str, distribution: str = "E2EXAMPLE", slices: int = 1) -> None:
+def stage_arrivals(log: DataFrame, new_root: str, distribution: str = "E2EXAMPLE", slices: int = 1,
+                   mode: str = "append") -> None:
     """Write ``log`` as delivered files.  ``slices`` splits each hour into that
-    many files (by a hash of the request id) so no hour is one task."""
+    many files (by a hash of the request id) so no hour is one task.
+    ``mode="overwrite"`` replaces the whole folder (an idempotent rebuild)."""
     name = F.concat(F.lit(distribution + "."), F.col("year"), F.lit("-"), F.col("month"), F.lit("-"),
                     F.col("day"), F.lit("-"), F.col("hour"), F.lit("."),
                     F.pmod(F.xxhash64("result_id"), F.lit(slices)).cast("string"))
@@ -25,4 +27,5 @@ def stage_arrivals(log: DataFrame, new_root: str, distribution: str = "E2EXAMPLE
              .select("f", F.posexplode(F.array(*[F.lit(h) for h in HEADER_LINES])).alias("ord", "value")))
     lines = body.unionByName(heads.select("value", "f", "ord"))
     (lines.repartition("f").sortWithinPartitions("f", "ord").select("value", "f")
-     .write.mode("append").partitionBy("f").option("compression", "gzip").text(new_root))
+     .write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("f")
+     .option("compression", "gzip").text(new_root))

@@ -81,3 +81,29 @@ def test_partition_filters_reach_scan(spark, tmpdir_path):
     df = read_hot(spark, tmpdir_path).where((F.col("year") == "2024") & F.col("uri").startswith("/debian"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "StringStartsWith" in plan
+
+
+def test_hot_hour_is_split_across_tasks(spark, tmpdir_path):
+    """One hour holding most rows: rebalance lets AQE split it into several
+    tasks (and files) instead of one straggler."""
+    hot = os.path.join(tmpdir_path, "hot")
+    cold = os.path.join(tmpdir_path, "cold")
+    lines = [_row(uri=f"/debian/pool/file-{i}.deb", referrer="r" * 200) for i in range(20000)]
+    _write_hour(hot, "03", lines)
+    _write_hour(hot, "04", [_row()])
+    # several input splits, as a big hour has many delivered files
+    for k in range(4):
+        d = os.path.join(hot, "year=2024", "month=01", "day=02", "hour=03")
+        with gzip.open(os.path.join(d, f"E1.2024-01-02-03.part{k}.gz"), "wt") as f:
+            for line in lines[:5000]:
+                f.write(line + "\n")
+    prev = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        compact(spark, hot, cold, F.col("day") == "02")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", prev)
+    hour_dir = os.path.join(cold, "year=2024", "month=01", "day=02", "hour=03")
+    files = [f for f in os.listdir(hour_dir) if f.endswith(".parquet")]
+    assert len(files) > 1
+    assert read_cold(spark, cold).where("hour = '03'").count() == 40000
