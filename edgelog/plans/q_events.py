@@ -10,7 +10,7 @@ from edgelog.operators.classify import sanity_checks as fan_out
 from edgelog.operators.metrics import bucket_start
 from edgelog.plans.registry import register
 from edgelog.sources.catalog import PROD_SANITY_TARGETS, sanity_targets
-from edgelog.sources.eventsrc import ACCOUNT, PIPELINE_ARN, envelopes, messages_of, raw_events
+from edgelog.sources.eventsrc import ACCOUNT, envelopes, messages_of, raw_events
 from edgelog.sources.tables import table
 
 CHECKS = [(name, repo, image, f"MonitorProjectFor{name}{image}")

@@ -8,7 +8,7 @@ from edgelog.functions.rules import first_match_sql, glob_regex
 from edgelog.operators import classify as C
 from edgelog.plans.oracle import LOG_CTE
 from edgelog.plans.registry import register
-from edgelog.sources.catalog import mirror_catalog, mirror_values_sql, sanity_targets
+from edgelog.sources.catalog import mirror_catalog, mirror_values_sql
 from edgelog.sources.fixture import access_log
 
 
