@@ -25,7 +25,7 @@ from edgelog.sources.fixture import access_log
 # Fixed value: the wall clock the lake and its view are evaluated at.  Hours
 # from 2024-01-30 21:00 on stay in the gzip tier, earlier hours are compacted.
 LAKE_NOW = dt.datetime(2024, 1, 30, 22, 20)
-LAKE_VERSION = "v3"
+LAKE_VERSION = "v4"
 
 
 class Lake:

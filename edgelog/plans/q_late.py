@@ -26,7 +26,7 @@ CUT = view_cutoff(LAKE_NOW)
 
 
 def late_lake(spark, sf):
-    tag = hashlib.sha1(f"{os.path.abspath(sf)}|late|v3".encode()).hexdigest()[:16]
+    tag = hashlib.sha1(f"{os.path.abspath(sf)}|late|v4".encode()).hexdigest()[:16]
     lake = Lake(work_path(spark, "late_lake", tag), LAKE_NOW)
     if path_exists(spark, f"{lake.root}/_READY"):
         return lake
@@ -44,17 +44,15 @@ def late_lake(spark, sf):
 
 
 @register("late_files", LOG_CTE + f"""
-SELECT year, month, day, hour, CAST(1 AS BIGINT) AS late_files, count(*) AS late_rows
+SELECT year, month, day, hour, count(*) AS late_rows
 FROM log WHERE location = '{LATE_EDGE}' AND year||month||day||hour < '{CUT}' GROUP BY 1, 2, 3, 4""")
 def late_files(spark, sf):
-    """Per compacted hour, the late files and the rows the view misses."""
+    """Per compacted hour, the rows in late files (what the view misses).
+    Rows, not files: how many physical files a delivery became is layout."""
     lake = late_lake(spark, sf)
     late = find_late(spark, lake.hot, lake.ledger, CUT)
     rows = read_hot(spark, lake.hot, with_file=True).join(late.select("file"), "file", "left_semi")
-    per_hour_rows = rows.groupBy("year", "month", "day", "hour").agg(F.count("*").alias("late_rows"))
-    per_hour_files = late.groupBy("year", "month", "day", "hour").agg(F.count("*").alias("late_files"))
-    return per_hour_files.join(per_hour_rows, ["year", "month", "day", "hour"], "left").select(
-        "year", "month", "day", "hour", "late_files", "late_rows")
+    return rows.groupBy("year", "month", "day", "hour").agg(F.count("*").alias("late_rows"))
 
 
 @register("late_files_recompacted", LOG_CTE + f"""
