@@ -46,10 +46,8 @@ def parse_events(raw: DataFrame, body: str = "body") -> DataFrame:
 
 
 def _e(path: str) -> Column:
-    c = F.col("e")
-    for part in path.split("."):
-        c = c.getField(part)
-    return c
+    """A field of the parsed event by its dotted path (one column reference)."""
+    return F.col("e." + ".".join(f"`{part}`" for part in path.split(".")))
 
 
 # ---- rules: condition + projection over the parsed event ----------------------
@@ -185,7 +183,7 @@ def publish(raw: DataFrame, targets: DataFrame, domain: str = "mirrors.example.c
         cand(scale_cond(), "scale-", scale_text()),
         cand(cert_failed, "cert-", F.to_json(F.struct(*cert_failure_fields(domain)))),
     )
-    out = ev.select(F.explode(F.filter(candidates, lambda x: x.isNotNull())).alias("m"))
+    out = ev.select(F.explode(candidates).alias("m")).where(F.col("m").isNotNull())
     return out.select("m.msg_id", "m.message")
 
 
@@ -211,7 +209,7 @@ def shape_notifications(messages: DataFrame, region: str = "us-east-1", channel:
     parsed = F.from_json(F.col(m), MESSAGE_SCHEMA)
 
     def g(k: str) -> Column:
-        return F.col("_m").getField(k)
+        return F.col(f"_m.`{k}`")
 
     title = g("AlarmName")
     mtype = g("type")

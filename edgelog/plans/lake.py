@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from edgelog.functions.timekeys import view_cutoff
 from edgelog.operators.layout import compact_before, route_files
 from edgelog.operators.view import combine_tiers, combined_view
-from edgelog.session import path_exists, work_path
+from edgelog.session import has_marker, path_exists, work_path, write_marker
 from edgelog.sources.accesslog import read_hot, read_table, register_tier
 from edgelog.sources.arrivals import stage_arrivals
 from edgelog.sources.fixture import access_log
@@ -84,11 +84,11 @@ class Lake:
 def lake_for(spark: SparkSession, sf_dir: str, now: dt.datetime = LAKE_NOW) -> Lake:
     tag = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{now.isoformat()}|{LAKE_VERSION}".encode()).hexdigest()[:16]
     lake = Lake(work_path(spark, "lake", tag), now)
-    if path_exists(spark, f"{lake.root}/_READY"):
+    if has_marker(spark, lake.root):
         return lake
     # every step overwrites, so a build interrupted before _READY is simply redone
     stage_arrivals(access_log(spark, sf_dir), lake.new, mode="overwrite")
     route_files(spark, lake.root, "new", "hot", mode="overwrite")
     compact_before(spark, lake.hot, lake.cold, view_cutoff(now), ledger_root=lake.ledger)
-    spark.createDataFrame([(now.isoformat(),)], "now string").coalesce(1).write.mode("overwrite").json(f"{lake.root}/_READY")
+    write_marker(spark, lake.root)
     return lake

@@ -11,6 +11,7 @@ from edgelog.operators.metrics import bucket_start
 from edgelog.plans.registry import register
 from edgelog.sources.catalog import PROD_SANITY_TARGETS, sanity_targets
 from edgelog.sources.eventsrc import ACCOUNT, envelopes, messages_of, raw_events
+from edgelog.session import spread
 from edgelog.sources.tables import table
 
 CHECKS = [(name, repo, image, f"MonitorProjectFor{name}{image}")
@@ -102,7 +103,7 @@ def topic_messages(spark, sf):
     """Everything published to the notification topic, as delivered
     envelopes unwrapped again (S7)."""
     ev = table(spark, sf, "events")
-    raw = raw_events(ev)
+    raw = raw_events(spread(ev))
     counts = (ev.groupBy(F.col("event_type").alias("metric"), bucket_start(F.col("ts"), "1 hour").alias("bucket"))
               .agg(F.count("*").alias("value")))
     trans = alarm_transitions(counts, ["metric"], AlarmSpec("hourly-events", "1 hour", ">=", 5, 3, "BREACHING"))

@@ -16,7 +16,7 @@ from edgelog.operators.layout import compact_before, late_files as find_late, re
 from edgelog.plans.lake import LAKE_NOW, Lake
 from edgelog.plans.oracle import LOG_CTE
 from edgelog.plans.registry import register
-from edgelog.session import path_exists, work_path
+from edgelog.session import has_marker, work_path, write_marker
 from edgelog.sources.accesslog import read_cold, read_hot
 from edgelog.sources.arrivals import stage_arrivals
 from edgelog.sources.fixture import access_log
@@ -28,7 +28,7 @@ CUT = view_cutoff(LAKE_NOW)
 def late_lake(spark, sf):
     tag = hashlib.sha1(f"{os.path.abspath(sf)}|late|v4".encode()).hexdigest()[:16]
     lake = Lake(work_path(spark, "late_lake", tag), LAKE_NOW)
-    if path_exists(spark, f"{lake.root}/_READY"):
+    if has_marker(spark, lake.root):
         return lake
     log = access_log(spark, sf)
     # a rebuild after an interruption starts over: the first writes overwrite
@@ -39,7 +39,7 @@ def late_lake(spark, sf):
     stage_arrivals(log.where(F.col("location") == LATE_EDGE), f"{lake.root}/late", distribution="E2LATE",
                    mode="overwrite")
     route_files(spark, lake.root, "late", "hot")
-    spark.createDataFrame([("ready",)], "s string").write.mode("overwrite").json(f"{lake.root}/_READY")
+    write_marker(spark, lake.root)
     return lake
 
 
@@ -63,8 +63,10 @@ def late_files_recompacted(spark, sf):
     cold tier; afterwards the cold tier holds every row of those hours."""
     lake = late_lake(spark, sf)
     target = f"{lake.root}/cold_repaired"
-    if not path_exists(spark, f"{target}/_SUCCESS"):
-        read_cold(spark, lake.cold).write.mode("overwrite").partitionBy("year", "month", "day", "hour").parquet(target)
+    if not has_marker(spark, target):
+        read_cold(spark, lake.cold).write.mode("overwrite").option("partitionOverwriteMode", "static") \
+            .partitionBy("year", "month", "day", "hour").parquet(target)
         late = find_late(spark, lake.hot, lake.ledger, CUT)
         recompact_hours(spark, lake.hot, target, late)
+        write_marker(spark, target)
     return read_cold(spark, target).groupBy("year", "month", "day", "hour").agg(F.count("*").alias("rows_in_cold"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from edgelog.operators import stitch as L
 from edgelog.plans.registry import register
-from edgelog.session import path_exists, work_path
+from edgelog.session import has_marker, work_path, write_marker
 from edgelog.sources.catalog import mirror_catalog
 from edgelog.sources.fixture import access_log
 from edgelog.sources.tables import table
@@ -23,8 +23,9 @@ def _logs_root(spark, sf, kind):
 
 def _sync_logs(spark, sf):
     root = _logs_root(spark, sf, "sync")
-    if not path_exists(spark, f"{root}/_SUCCESS"):
+    if not has_marker(spark, root):
         write_sync_logs(table(spark, sf, "events"), root)
+        write_marker(spark, root)
     return read_text_logs(spark, root)
 
 
@@ -68,7 +69,7 @@ def _container_logs(spark, sf):
     """Content-server access lines (combined log format) from the access log,
     one file per hour."""
     root = _logs_root(spark, sf, "container")
-    if not path_exists(spark, f"{root}/_SUCCESS"):
+    if not has_marker(spark, root):
         log = access_log(spark, sf)
         line = F.format_string('%s - - [%s +0000] "%s %s HTTP/1.1" %d %d', F.col("request_ip"),
                                F.date_format(F.to_timestamp_ntz(F.concat(F.col("date").cast("string"), F.lit(" "), F.col("time"))),
@@ -78,6 +79,7 @@ def _container_logs(spark, sf):
          .withColumn("mirror", F.lit("content-server"))
          .repartition("hour").sortWithinPartitions("hour", "time", "result_id")
          .select("line", "mirror", "hour").write.mode("overwrite").partitionBy("mirror", "hour").text(root))
+        write_marker(spark, root)
     return read_text_logs(spark, root)
 
 

@@ -86,3 +86,25 @@ def mkdirs(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hpath)
+
+
+def write_marker(spark: SparkSession, path: str) -> None:
+    """Completion marker ``<path>/_READY`` written after a derived dataset is
+    complete (``_SUCCESS`` is not reliable: dynamic partition overwrite commits
+    through a staging folder and leaves none)."""
+    spark.createDataFrame([("ready",)], "s string").coalesce(1).write.mode("overwrite").json(f"{path}/_READY")
+
+
+def has_marker(spark: SparkSession, path: str) -> bool:
+    return path_exists(spark, f"{path}/_READY")
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin repartition only when ``df`` arrives in fewer partitions
+    than the session can run at once (e.g. one large row group), before
+    expensive per-row work.  Inputs that are already split - every input at
+    cluster scale - pass through untouched, so no shuffle is added there."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgelog.schema import ALL_COLUMNS
+from edgelog.session import spread
 from edgelog.sources.tables import table
 
 
@@ -38,7 +39,7 @@ LOCATIONS = [(0, "PEK50"), (1, "ZHY50")]
 
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 37-column access log (33 data fields + year/month/day/hour)."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     n_part = p.select(F.count("*")).scalar()
     j = e.join(p, p.p_partkey == (e.event_id % n_part), "left")
