@@ -1,7 +1,7 @@
 """Benchmark the headline queries; prints ONE JSON line.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
-Each query runs 3 times into the ``noop`` sink (the whole plan executes, no
+Each query runs 5 times into the ``noop`` sink (the whole plan executes, no
 rows travel to the driver); the median is reported.  Building the two-tier
 lake from the tables and registering its catalog tables is one-time setup,
 reported separately.
@@ -51,7 +51,7 @@ def main() -> None:
     times = {}
     for key in HEADLINE:
         runs = []
-        for _ in range(3):
+        for _ in range(5):
             t = time.perf_counter()
             qs[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - t)
