@@ -102,7 +102,7 @@ def hour_predicate(parts: dict[str, str]) -> Column:
 
 
 def compact(spark: SparkSession, hot_root: str, cold_root: str, where: Column, mode: str = "overwrite",
-            ledger_root: str | None = None) -> None:
+            ledger_root: str | None = None, folders: list[str] | None = None) -> None:
     """Rewrite the selected hours of the gzip tier as SNAPPY Parquet.
 
     ``mode='overwrite'`` with dynamic partition overwrite replaces exactly the
@@ -114,24 +114,42 @@ def compact(spark: SparkSession, hot_root: str, cold_root: str, where: Column, m
     (rows.select(*ALL_COLUMNS).write.mode(mode).option("partitionOverwriteMode", "dynamic")
      .option("compression", "snappy").partitionBy(*PARTITION_KEYS).parquet(cold_root))
     if ledger_root is not None:
-        compaction_ledger(spark, hot_root, where).write.mode("overwrite") \
+        compaction_ledger(spark, hot_root, where, folders).write.mode("overwrite") \
             .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION_KEYS).parquet(ledger_root)
 
 
-def hot_listing(spark: SparkSession, hot_root: str) -> DataFrame:
-    """(file, modificationTime, year, month, day, hour) of every hot-tier file.
+def day_folders(hot_root: str, start: dt.datetime, end: dt.datetime) -> list[str]:
+    """The ``year=/month=/day=`` folders covering [start, end] (a handful of
+    path strings per lookback window - metadata, not data)."""
+    out, d = [], dt.datetime(start.year, start.month, start.day)
+    while d <= end:
+        out.append(f"{hot_root}/year={d:%Y}/month={d:%m}/day={d:%d}")
+        d += dt.timedelta(days=1)
+    return out
+
+
+def hot_listing(spark: SparkSession, hot_root: str, folders: list[str] | None = None) -> DataFrame:
+    """(file, modificationTime, year, month, day, hour) of hot-tier files, of
+    the whole tier or only under ``folders`` (so a check over the last days
+    does not list years of hours).
 
     Partition keys are taken from the path as strings, independent of the
     session's partition type inference (which would turn ``01`` into 1)."""
+    from edgelog.session import path_exists
+    paths = [f for f in (folders or [hot_root]) if path_exists(spark, f)]
+    if not paths:
+        return spark.createDataFrame([], "file string, modificationTime timestamp, year string, month string, "
+                                         "day string, hour string")
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.gz").load(hot_root))
+             .option("pathGlobFilter", "*.gz").load(paths))
     return files.select(F.col("path").alias("file"), "modificationTime",
                         *[F.regexp_extract("path", f"/{k}=([^/]+)/", 1).alias(k) for k in PARTITION_KEYS])
 
 
-def compaction_ledger(spark: SparkSession, hot_root: str, where: Column) -> DataFrame:
+def compaction_ledger(spark: SparkSession, hot_root: str, where: Column,
+                      folders: list[str] | None = None) -> DataFrame:
     """(hour, source file) of every hot file a compaction consumed (T3 ledger)."""
-    return hot_listing(spark, hot_root).where(where)
+    return hot_listing(spark, hot_root, folders).where(where)
 
 
 def compact_hour(spark: SparkSession, hot_root: str, cold_root: str, now: dt.datetime,
@@ -140,7 +158,8 @@ def compact_hour(spark: SparkSession, hot_root: str, cold_root: str, now: dt.dat
     """D4 as scheduled: the hour two hours before ``now``.  With ``cold_table``
     the new hour is added to the catalog and the table's file cache refreshed."""
     p = compaction_hour(now)
-    compact(spark, hot_root, cold_root, hour_predicate(p), mode=mode, ledger_root=ledger_root)
+    folder = f"{hot_root}/year={p['year']}/month={p['month']}/day={p['day']}/hour={p['hour']}"
+    compact(spark, hot_root, cold_root, hour_predicate(p), mode=mode, ledger_root=ledger_root, folders=[folder])
     if cold_table is not None:
         spark.sql(f"ALTER TABLE {cold_table} ADD IF NOT EXISTS PARTITION "
                   "(year = :year, month = :month, day = :day, hour = :hour)", args=p)
@@ -170,12 +189,21 @@ def _re_escape(s: str) -> str:
     return re.escape(s)
 
 
-def late_files(spark: SparkSession, hot_root: str, ledger_root: str, cutoff: str) -> DataFrame:
+def late_files(spark: SparkSession, hot_root: str, ledger_root: str, cutoff: str,
+               lookback: dt.timedelta | None = dt.timedelta(hours=48)) -> DataFrame:
     """Hot files of already compacted hours (key < cutoff) that no
     compaction consumed - they arrived after their hour was compacted and the
     combined view no longer shows them.  A listing anti-joined with the ledger
-    on the file path (both sides are file metadata, not rows)."""
-    hot = hot_listing(spark, hot_root).where(hour_key() < F.lit(cutoff)).select("file", *PARTITION_KEYS)
+    on the file path (both sides are file metadata, not rows).  Only the days
+    within ``lookback`` before the cut-off are listed (None = the whole tier)."""
+    folders = None
+    if lookback is not None:
+        end = dt.datetime.strptime(cutoff, "%Y%m%d%H")
+        folders = day_folders(hot_root, end - lookback, end)
+    hot = hot_listing(spark, hot_root, folders).where(hour_key() < F.lit(cutoff))
+    if lookback is not None:
+        hot = hot.where(hour_key() >= F.lit((end - lookback).strftime("%Y%m%d%H")))
+    hot = hot.select("file", *PARTITION_KEYS)
     ledger = spark.read.parquet(ledger_root).select("file")
     return hot.join(ledger, "file", "left_anti")
 

@@ -48,11 +48,16 @@ SELECT year, month, day, hour, count(*) AS late_rows
 FROM log WHERE location = '{LATE_EDGE}' AND year||month||day||hour < '{CUT}' GROUP BY 1, 2, 3, 4""")
 def late_files(spark, sf):
     """Per compacted hour, the rows in late files (what the view misses).
-    Rows, not files: how many physical files a delivery became is layout."""
+    Rows, not files: how many physical files a delivery became is layout.
+    The whole month is checked here (lookback None); a scheduled check uses
+    the default 48-hour lookback.  The semi-join on the late hours lets
+    dynamic partition pruning restrict the hot scan to those hours."""
     lake = late_lake(spark, sf)
-    late = find_late(spark, lake.hot, lake.ledger, CUT)
-    rows = read_hot(spark, lake.hot, with_file=True).join(late.select("file"), "file", "left_semi")
-    return rows.groupBy("year", "month", "day", "hour").agg(F.count("*").alias("late_rows"))
+    late = find_late(spark, lake.hot, lake.ledger, CUT, lookback=None)
+    keys = ["year", "month", "day", "hour"]
+    rows = (read_hot(spark, lake.hot, with_file=True).join(late.select(*keys).distinct(), keys, "left_semi")
+            .join(late.select("file"), "file", "left_semi"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("late_rows"))
 
 
 @register("late_files_recompacted", LOG_CTE + f"""
@@ -66,7 +71,7 @@ def late_files_recompacted(spark, sf):
     if not has_marker(spark, target):
         read_cold(spark, lake.cold).write.mode("overwrite").option("partitionOverwriteMode", "static") \
             .partitionBy("year", "month", "day", "hour").parquet(target)
-        late = find_late(spark, lake.hot, lake.ledger, CUT)
+        late = find_late(spark, lake.hot, lake.ledger, CUT, lookback=None)
         recompact_hours(spark, lake.hot, target, late)
         write_marker(spark, target)
     return read_cold(spark, target).groupBy("year", "month", "day", "hour").agg(F.count("*").alias("rows_in_cold"))
