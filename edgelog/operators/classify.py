@@ -134,11 +134,22 @@ def sanity_checks(targets: DataFrame) -> DataFrame:
         "check_name", F.concat(F.lit("MonitorProjectFor"), F.col("name"), F.col("image")))
 
 
-def classify_by_table(df: DataFrame, key: str, rules: DataFrame, out: str) -> DataFrame:
+# Largest rule table joined by broadcast (a regex join has no equi-key, so the
+# only scalable plan is a broadcast of the rules against the distinct keys).
+MAX_BROADCAST_RULES = 10_000
+
+
+def classify_by_table(df: DataFrame, key: str, rules: DataFrame, out: str,
+                      max_rules: int = MAX_BROADCAST_RULES) -> DataFrame:
     """First-match classification with the rule table given as data
     (columns ``priority, pattern, value``): rules x distinct keys, min_by on
-    priority, equi-join back.  Rule tables are small configuration; the key
-    side is deduplicated before the regex join."""
+    priority, equi-join back.  The rule table's size is checked before it is
+    broadcast; beyond the bound this raises instead of planning a cross
+    product.  The key side is deduplicated before the regex join."""
+    n_rules = rules.count()
+    if n_rules > max_rules:
+        raise ValueError(f"rule table has {n_rules} rules (> {max_rules}); compile it to a CASE chain "
+                         "per rule family or raise max_rules after checking executor memory")
     keys = df.select(key).distinct()
     matched = (keys.join(F.broadcast(rules), F.expr(f"{key} RLIKE pattern"), "inner")
                .groupBy(key).agg(F.min_by("value", "priority").alias(out)))
