@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,9 +82,25 @@ class Lake:
         return combined_view(spark, self.hot, self.cold, self.now, with_file=with_file)
 
 
+_BUILD_LOCKS: dict[str, threading.Lock] = {}
+_LOCKS_GUARD = threading.Lock()
+
+
+def build_lock(root: str) -> threading.Lock:
+    """One builder per derived dataset within this driver (queries may run on threads)."""
+    with _LOCKS_GUARD:
+        return _BUILD_LOCKS.setdefault(root, threading.Lock())
+
+
 def lake_for(spark: SparkSession, sf_dir: str, now: dt.datetime = LAKE_NOW) -> Lake:
     tag = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{now.isoformat()}|{LAKE_VERSION}".encode()).hexdigest()[:16]
     lake = Lake(work_path(spark, "lake", tag), now)
+    with build_lock(lake.root):
+        return _build(spark, sf_dir, lake)
+
+
+def _build(spark: SparkSession, sf_dir: str, lake: Lake) -> Lake:
+    now = lake.now
     if has_marker(spark, lake.root):
         return lake
     # every step overwrites, so a build interrupted before _READY is simply redone

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from edgelog.functions.timekeys import view_cutoff
 from edgelog.operators.layout import compact_before, late_files as find_late, recompact_hours, route_files
-from edgelog.plans.lake import LAKE_NOW, Lake
+from edgelog.plans.lake import LAKE_NOW, Lake, build_lock
 from edgelog.plans.oracle import LOG_CTE
 from edgelog.plans.registry import register
 from edgelog.session import has_marker, work_path, write_marker
@@ -28,6 +28,11 @@ CUT = view_cutoff(LAKE_NOW)
 def late_lake(spark, sf):
     tag = hashlib.sha1(f"{os.path.abspath(sf)}|late|v4".encode()).hexdigest()[:16]
     lake = Lake(work_path(spark, "late_lake", tag), LAKE_NOW)
+    with build_lock(lake.root):
+        return _build_late(spark, sf, lake)
+
+
+def _build_late(spark, sf, lake):
     if has_marker(spark, lake.root):
         return lake
     log = access_log(spark, sf)

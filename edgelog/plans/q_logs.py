@@ -8,6 +8,7 @@ import os
 from pyspark.sql import functions as F
 
 from edgelog.operators import stitch as L
+from edgelog.plans.lake import build_lock
 from edgelog.plans.registry import register
 from edgelog.session import has_marker, work_path, write_marker
 from edgelog.sources.catalog import mirror_catalog
@@ -17,15 +18,16 @@ from edgelog.sources.textlogs import read_text_logs, write_sync_logs
 
 
 def _logs_root(spark, sf, kind):
-    tag = hashlib.sha1(f"{os.path.abspath(sf)}|{kind}|v2".encode()).hexdigest()[:16]
+    tag = hashlib.sha1(f"{os.path.abspath(sf)}|{kind}|v3".encode()).hexdigest()[:16]
     return work_path(spark, "textlogs", tag)
 
 
 def _sync_logs(spark, sf):
     root = _logs_root(spark, sf, "sync")
-    if not has_marker(spark, root):
-        write_sync_logs(table(spark, sf, "events"), root)
-        write_marker(spark, root)
+    with build_lock(root):
+        if not has_marker(spark, root):
+            write_sync_logs(table(spark, sf, "events"), root)
+            write_marker(spark, root)
     return read_text_logs(spark, root)
 
 
@@ -67,8 +69,15 @@ def stitched_log_records(spark, sf):
 
 def _container_logs(spark, sf):
     """Content-server access lines (combined log format) from the access log,
-    one file per hour."""
+    in hourly folders; range partitioning splits a busy hour over several
+    files (one line is one record here, so records never straddle files)."""
     root = _logs_root(spark, sf, "container")
+    with build_lock(root):
+        _write_container_logs(spark, sf, root)
+    return read_text_logs(spark, root)
+
+
+def _write_container_logs(spark, sf, root):
     if not has_marker(spark, root):
         log = access_log(spark, sf)
         line = F.format_string('%s - - [%s +0000] "%s %s HTTP/1.1" %d %d', F.col("request_ip"),
@@ -77,10 +86,9 @@ def _container_logs(spark, sf):
                                F.col("method"), F.col("uri"), F.col("status"), F.col("bytes"))
         (log.select(line.alias("line"), F.concat("year", "month", "day", "hour").alias("hour"), "time", "result_id")
          .withColumn("mirror", F.lit("content-server"))
-         .repartition("hour").sortWithinPartitions("hour", "time", "result_id")
+         .repartitionByRange("hour", "time", "result_id").sortWithinPartitions("hour", "time", "result_id")
          .select("line", "mirror", "hour").write.mode("overwrite").partitionBy("mirror", "hour").text(root))
         write_marker(spark, root)
-    return read_text_logs(spark, root)
 
 
 @register("container_log_records", r"""

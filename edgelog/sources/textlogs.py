@@ -29,6 +29,8 @@ def sync_log_lines(events: DataFrame) -> DataFrame:
 
 
 def write_sync_logs(events: DataFrame, root: str) -> None:
+    """One file per (mirror, day): a rotated job log is the unit the stitcher
+    works on (records must not straddle files), as the log agent rotates."""
     lines = sync_log_lines(events)
     (lines.repartition("mirror", "day").sortWithinPartitions("mirror", "day", "ts", "event_id", "line_no")
      .select("line", "mirror", "day").write.mode("overwrite").partitionBy("mirror", "day").text(root))
