@@ -118,7 +118,7 @@ def traffic_per_mirror(traffic: DataFrame, catalog: DataFrame, how: str = "inner
     traffic per mirror, ``left_anti`` from the catalog side = mirrors without
     traffic (use :func:`mirrors_without_traffic`), ``left_anti`` from the
     traffic side = traffic without mirror."""
-    cat = F.broadcast(catalog.select(F.col("name").alias("mirror"), "provider", "interval", "upstream"))
+    cat = F.broadcast(catalog.select(F.col("name").alias("mirror"), "provider", "interval"))
     if how == "left_anti":
         return traffic.join(cat, "mirror", "left_anti")
     return traffic.join(cat, "mirror", how)

@@ -75,13 +75,13 @@ TRAFFIC_SQL = f", traffic AS (SELECT {SEGMENT_SQL} AS mirror, {AGG_SQL} FROM log
 
 
 @register("traffic_by_mirror", LOG_CTE + TRAFFIC_SQL + f"""
-SELECT t.mirror, m.provider, m."interval", m.upstream, t.requests, t.total_bytes
+SELECT t.mirror, m.provider, m."interval", t.requests, t.total_bytes
 FROM traffic t JOIN {mirror_values_sql()} ON t.mirror = m.name""")
 def traffic_by_mirror(spark, sf):
     """C6 (inner): traffic per configured mirror."""
     t = C.traffic_by_segment(access_log(spark, sf))
     return C.traffic_per_mirror(t, mirror_catalog(spark)).select(
-        "mirror", "provider", "interval", "upstream", "requests", "total_bytes")
+        "mirror", "provider", "interval", "requests", "total_bytes")
 
 
 @register("mirrors_without_traffic", LOG_CTE + TRAFFIC_SQL + f"""

@@ -9,68 +9,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 # Production mirror catalog, in configuration order.
-# (name, interval minutes, provider, upstream, retry, stage1_profile)
+# (name, interval minutes, provider, retry, stage1_profile)
 PROD_MIRRORS = [
-    ("alpine", 1440, "rsync", "rsync://mirrors.bfsu.edu.cn/alpine/", None, None),
-    ("apache", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/apache/", None, None),
-    ("archlinux", 720, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/archlinux/", None, None),
-    ("archlinuxcn", 720, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/archlinuxcn/", None, None),
-    ("archlinuxarm", 720, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/archlinuxarm/", None, None),
-    ("elrepo", 720, "rsync", "rsync://ftp.yz.yamagata-u.ac.jp/pub/linux/RPMS/elrepo/", None, None),
-    ("epel", 720, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/epel/", None, None),
-    ("centos", 720, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/centos/", None, None),
-    ("centos-altarch", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/centos-altarch/", None, None),
-    ("centos-stream", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/centos-stream/", None, None),
-    ("centos-vault", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/centos-vault/", None, None),
-    ("debian", 720, "rsync", "rsync://mirrors.bfsu.edu.cn/debian/", 100, None),
-    ("debian-security", 720, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/debian-security/", None, None),
-    ("docker-ce", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/docker-ce/", None, None),
-    ("fedora", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/fedora/", None, None),
-    ("gitlab-ce", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/gitlab-ce/", None, None),
-    ("gitlab-runner", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/gitlab-runner/", None, None),
-    ("grafana", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/grafana/", None, None),
-    ("jenkins", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/jenkins/", None, None),
-    ("kubernetes", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/kubernetes/", None, None),
-    ("linuxmint", 1440, "two-stage-rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/linuxmint/", None, "debian"),
-    ("mariadb", 720, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/mariadb/", None, None),
-    ("mongodb", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/mongodb/", None, None),
-    ("mysql", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/mysql/", None, None),
-    ("nodejs-release", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/nodejs-release/", None, None),
-    ("opensuse", 1440, "rsync", "rsync://mirrors.bfsu.edu.cn/opensuse/", None, None),
-    ("pypi", 5, "command", "https://mirrors.tuna.tsinghua.edu.cn/pypi/web", None, None),
-    ("raspbian", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/raspbian/", None, None),
-    ("raspberrypi", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/raspberrypi/", None, None),
-    ("rubygems", 60, "command", "https://mirrors.tuna.tsinghua.edu.cn/rubygems/", None, None),
-    ("ubuntu", 720, "two-stage-rsync", "rsync://archive.ubuntu.com/ubuntu/", None, "debian"),
-    ("ubuntu-cdimage", 1440, "rsync", "rsync://mirrors.bfsu.edu.cn/ubuntu-cdimage/", None, None),
-    ("ubuntu-releases", 1440, "rsync", "rsync://mirrors.bfsu.edu.cn/ubuntu-releases/", None, None),
-    ("bioconductor", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/bioconductor/", None, None),
-    ("CPAN", 720, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/CPAN/", None, None),
-    ("CRAN", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/CRAN/", None, None),
-    ("CTAN", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/CTAN/", None, None),
-    ("ceph", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/ceph/", None, None),
-    ("chef", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/chef/", None, None),
-    ("clojars", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/clojars/", None, None),
-    ("dart-pub", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/dart-pub/", None, None),
-    ("elasticstack", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/elasticstack/", None, None),
-    ("erlang-solutions", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/erlang-solutions/", None, None),
-    ("flutter", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/flutter/", None, None),
-    ("hackage", 120, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/hackage/", None, None),
-    ("influxdata", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/influxdata/", None, None),
-    ("julia", 60, "rsync", "rsync://mirrors.nju.edu.cn/julia/", None, None),
-    ("julia-releases", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/julia-releases/", None, None),
-    ("libreoffice", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/libreoffice/", None, None),
-    ("openresty", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/openresty/", None, None),
-    ("rustup", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/rustup/", None, None),
-    ("sagemath", 1440, "rsync", "rsync://mirrors.ustc.edu.cn/sagemath/", None, None),
-    ("saltstack", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/saltstack/", None, None),
-    ("zabbix", 1440, "rsync", "rsync://mirrors.tuna.tsinghua.edu.cn/zabbix/", None, None),
+    ("alpine", 1440, "rsync", None, None),
+    ("apache", 1440, "rsync", None, None),
+    ("archlinux", 720, "rsync", None, None),
+    ("archlinuxcn", 720, "rsync", None, None),
+    ("archlinuxarm", 720, "rsync", None, None),
+    ("elrepo", 720, "rsync", None, None),
+    ("epel", 720, "rsync", None, None),
+    ("centos", 720, "rsync", None, None),
+    ("centos-altarch", 1440, "rsync", None, None),
+    ("centos-stream", 1440, "rsync", None, None),
+    ("centos-vault", 1440, "rsync", None, None),
+    ("debian", 720, "rsync", 100, None),
+    ("debian-security", 720, "rsync", None, None),
+    ("docker-ce", 1440, "rsync", None, None),
+    ("fedora", 1440, "rsync", None, None),
+    ("gitlab-ce", 1440, "rsync", None, None),
+    ("gitlab-runner", 1440, "rsync", None, None),
+    ("grafana", 1440, "rsync", None, None),
+    ("jenkins", 1440, "rsync", None, None),
+    ("kubernetes", 1440, "rsync", None, None),
+    ("linuxmint", 1440, "two-stage-rsync", None, "debian"),
+    ("mariadb", 720, "rsync", None, None),
+    ("mongodb", 1440, "rsync", None, None),
+    ("mysql", 1440, "rsync", None, None),
+    ("nodejs-release", 1440, "rsync", None, None),
+    ("opensuse", 1440, "rsync", None, None),
+    ("pypi", 5, "command", None, None),
+    ("raspbian", 1440, "rsync", None, None),
+    ("raspberrypi", 1440, "rsync", None, None),
+    ("rubygems", 60, "command", None, None),
+    ("ubuntu", 720, "two-stage-rsync", None, "debian"),
+    ("ubuntu-cdimage", 1440, "rsync", None, None),
+    ("ubuntu-releases", 1440, "rsync", None, None),
+    ("bioconductor", 1440, "rsync", None, None),
+    ("CPAN", 720, "rsync", None, None),
+    ("CRAN", 1440, "rsync", None, None),
+    ("CTAN", 1440, "rsync", None, None),
+    ("ceph", 1440, "rsync", None, None),
+    ("chef", 1440, "rsync", None, None),
+    ("clojars", 1440, "rsync", None, None),
+    ("dart-pub", 1440, "rsync", None, None),
+    ("elasticstack", 1440, "rsync", None, None),
+    ("erlang-solutions", 1440, "rsync", None, None),
+    ("flutter", 1440, "rsync", None, None),
+    ("hackage", 120, "rsync", None, None),
+    ("influxdata", 1440, "rsync", None, None),
+    ("julia", 60, "rsync", None, None),
+    ("julia-releases", 1440, "rsync", None, None),
+    ("libreoffice", 1440, "rsync", None, None),
+    ("openresty", 1440, "rsync", None, None),
+    ("rustup", 1440, "rsync", None, None),
+    ("sagemath", 1440, "rsync", None, None),
+    ("saltstack", 1440, "rsync", None, None),
+    ("zabbix", 1440, "rsync", None, None),
 ]
 
 # Non-production mirror catalog.
 OTHER_MIRRORS = [
-    ("elrepo", 720, "rsync", "rsync://ftp.yz.yamagata-u.ac.jp/pub/linux/RPMS/elrepo/", 10, None),
-    ("pypi", 5, "command", "https://mirrors.tuna.tsinghua.edu.cn/pypi/web", None, None),
+    ("elrepo", 720, "rsync", 10, None),
+    ("pypi", 5, "command", None, None),
 ]
 
 # The multi-line start pattern and time format of the mirrors that have one.
@@ -96,7 +96,6 @@ MIRROR_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("interval", T.IntegerType()),
     T.StructField("provider", T.StringType()),
-    T.StructField("upstream", T.StringType()),
     T.StructField("retry", T.IntegerType()),
     T.StructField("stage1_profile", T.StringType()),
     T.StructField("log_start_pattern", T.StringType()),
@@ -106,9 +105,9 @@ MIRROR_SCHEMA = T.StructType([
 
 def _mirror_rows():
     for stage, rows in (("prod", PROD_MIRRORS), ("other", OTHER_MIRRORS)):
-        for name, interval, provider, upstream, retry, stage1 in rows:
+        for name, interval, provider, retry, stage1 in rows:
             pat, fmt = LOG_FORMATS.get(name, (None, None))
-            yield (stage, name, interval, provider, upstream, retry, stage1, pat, fmt)
+            yield (stage, name, interval, provider, retry, stage1, pat, fmt)
 
 
 def mirror_catalog(spark: SparkSession, stage: str = "prod") -> DataFrame:
@@ -134,4 +133,4 @@ def mirror_values_sql(stage: str = "prod") -> str:
             return str(v)
         return "'" + v.replace("'", "''") + "'"
     body = ",\n".join("(" + ", ".join(lit(x) for x in r) + ")" for r in rows)
-    return f"(VALUES {body}) AS m(name, \"interval\", provider, upstream, retry, stage1_profile)"
+    return f"(VALUES {body}) AS m(name, \"interval\", provider, retry, stage1_profile)"

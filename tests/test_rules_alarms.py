@@ -50,3 +50,15 @@ def test_ignore_keeps_state(spark):
     states = [(r.bucket.hour, r.state) for r in out]
     assert states == [(2, "ALARM"), (6, "OK")]               # missing hour 3 keeps ALARM until a full OK window
     assert all(a.state != b.state for a, b in zip(out, out[1:]))
+
+
+def test_mirror_catalog_shape(spark):
+    from collections import Counter
+
+    from edgelog.sources.catalog import mirror_catalog
+    prod = mirror_catalog(spark, "prod").collect()
+    assert len(prod) == 54 and len({r.name for r in prod}) == 54
+    assert Counter(r.provider for r in prod) == {"rsync": 50, "two-stage-rsync": 2, "command": 2}
+    assert Counter(r.interval for r in prod) == {1440: 39, 720: 11, 60: 2, 120: 1, 5: 1}
+    assert [r.log_start_pattern for r in prod if r.name == "pypi"][0].startswith("^\\d{4}")
+    assert {r.name for r in mirror_catalog(spark, "other").collect()} == {"elrepo", "pypi"}
