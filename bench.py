@@ -38,8 +38,11 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     from edgelog.session import get_session
+    # local mode: the driver heap is the executor memory; take 60% of RAM, 2..16 GB
+    ram_gb = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 2**30
+    heap_gb = int(min(16, max(2, ram_gb * 0.6)))
     spark = get_session(f"local[{cpus}]", shuffle_partitions=max(2, cpus),
-                        extra={"spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
+                        extra={"spark.ui.showConsoleProgress": "false", "spark.driver.memory": f"{heap_gb}g"})
     from edgelog.plans.lake import lake_for
     from edgelog.plans.registry import queries
     qs = queries()
