@@ -52,18 +52,15 @@ def windowed_stat(samples: DataFrame, period: str, stat: str, keys: list[str | C
 
 def dimension_rollup(samples: DataFrame, period: str, stat: str) -> DataFrame:
     """A10: every sample carries (image, instance, type, grp) and is also
-    aggregated over the group alone - GROUPING SETS with a grouping id."""
-    flat = samples.select("metric", "ts", "value", *[F.col(f"dims.{d}").alias(d) for d in DIMENSIONS])
-    flat = flat.withColumn("bucket", bucket_start(F.col("ts"), period))
-    # DataFrame API has rollup/cube only; explicit grouping sets go through SQL.
-    return flat.sparkSession.sql(
-        "SELECT metric, bucket, image, instance, type, grp, CAST(grouping(image) * 8 + grouping(instance) * 4 + grouping(type) * 2 + grouping(grp) AS BIGINT) AS gid, "
-        f"{_stat_sql(stat)}(value) AS value FROM {{t}} "
-        "GROUP BY GROUPING SETS ((metric, bucket, image, instance, type, grp), (metric, bucket, grp))", t=flat)
-
-
-def _stat_sql(stat: str) -> str:
-    return {"Sum": "sum", "Average": "avg", "SampleCount": "count", "Minimum": "min", "Maximum": "max"}[stat]
+    aggregated over the group alone - GROUPING SETS, with ``gid`` the bit
+    mask of the dimensions rolled up (image=8, instance=4, type=2, grp=1)."""
+    flat = samples.select("metric", "value", bucket_start(F.col("ts"), period).alias("bucket"),
+                          *[F.col(f"dims.{d}").alias(d) for d in DIMENSIONS])
+    gid = sum(F.grouping(d) * (1 << (len(DIMENSIONS) - 1 - i)) for i, d in enumerate(DIMENSIONS))
+    sets = [[F.col("metric"), F.col("bucket"), *[F.col(d) for d in DIMENSIONS]],
+            [F.col("metric"), F.col("bucket"), F.col("grp")]]
+    return (flat.groupingSets(sets, "metric", "bucket", *DIMENSIONS)
+            .agg(gid.cast("bigint").alias("gid"), STATS[stat](F.col("value")).alias("value")))
 
 
 def request_minute(log: DataFrame) -> Column:
