@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgelog.schema import ALL_COLUMNS, DATA_COLUMNS, FULL_SCHEMA
-from edgelog.session import mkdirs
+from edgelog.session import mkdirs, work_path
 
 HOT_OPTIONS = {
     "sep": "\t",
@@ -70,7 +70,8 @@ def register_tier(spark: SparkSession, table: str, root: str, fmt: str) -> str:
         raise ValueError(fmt)
     db = table.split(".")[0] if "." in table else None
     if db:
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
+        # the database folder lives in the shared folder too, not in the caller's working directory
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{work_path(spark, 'warehouse', db + '.db')}'")
     if not spark.catalog.tableExists(table):
         mkdirs(spark, root)
         spark.sql(f"CREATE TABLE {table} ({_ddl_columns()}) USING {fmt} {opts} "
