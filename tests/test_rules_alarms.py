@@ -62,3 +62,31 @@ def test_mirror_catalog_shape(spark):
     assert Counter(r.interval for r in prod) == {1440: 39, 720: 11, 60: 2, 120: 1, 5: 1}
     assert [r.log_start_pattern for r in prod if r.name == "pypi"][0].startswith("^\\d{4}")
     assert {r.name for r in mirror_catalog(spark, "other").collect()} == {"elrepo", "pypi"}
+
+
+def test_streaming_alarm_equals_batch(spark, tmpdir_path):
+    """T5: the stateful stream (gap filling, IGNORE state keeping, trailing
+    periods on timeout) gives the batch transitions over closed periods."""
+    import os
+
+    from edgelog.streaming.alarms import evaluate_stream
+    t0 = dt.datetime(2024, 1, 1)
+    values = {"a": [5, 5, 5, None, 0, 0, 0, 5, None, None, 5, 5, 5],
+              "b": [0, None, None, 5, 5, 5, 5, 0, 0, 0, None, None, None]}
+    rows = [(m, t0 + dt.timedelta(hours=i), v) for m, vs in values.items() for i, v in enumerate(vs) if v is not None]
+    rows.append(("a", t0 + dt.timedelta(hours=13), 5))            # the clock: last closed hour for every key
+    src = os.path.join(tmpdir_path, "closed")
+    schema = "metric string, bucket timestamp_ntz, value long"
+    spark.createDataFrame(rows, schema).write.parquet(src)
+    for spec in (AlarmSpec("i", "1 hour", ">=", 3, 3, "IGNORE"), AlarmSpec("b", "1 hour", ">=", 3, 2, "BREACHING", False)):
+        batch = alarm_transitions(spark.read.parquet(src), ["metric"], spec)
+        want = sorted((r.metric, r.bucket, r.previous, r.state) for r in batch.collect())
+        closed = (spark.readStream.schema(schema).parquet(src)
+                  .select("metric", F.col("bucket").cast("timestamp").alias("bucket"), "value")
+                  .withWatermark("bucket", "0 seconds"))
+        out = os.path.join(tmpdir_path, "out_" + spec.name)
+        (evaluate_stream(closed, spec, 3600).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", out + "_ckpt").trigger(availableNow=True).start().awaitTermination())
+        got = sorted((r.metric, r.bucket, r.previous, r.state) for r in spark.read.parquet(out)
+                     .withColumn("bucket", F.col("bucket").cast("timestamp_ntz")).collect())
+        assert got == want, spec
