@@ -59,7 +59,11 @@ def main() -> None:
             qs[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - t)
         times[key] = round(statistics.median(runs), 3)
-    sf = sf_dir.rsplit("sf", 1)[-1]
+    sf_text = sf_dir.rsplit("sf", 1)[-1]
+    try:
+        sf = float(sf_text)
+    except ValueError:
+        sf = sf_text
     print(json.dumps({"metric": "headline_queries_total_median", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": sf, "cpus": cpus,
                       "setup_lake_build_sec": round(setup, 3)}))
