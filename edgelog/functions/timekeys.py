@@ -49,3 +49,22 @@ def parts_of(ts: Column) -> dict[str, Column]:
     """Zero-padded UTC parts of a timestamp column."""
     return {"year": F.date_format(ts, "yyyy"), "month": F.date_format(ts, "MM"),
             "day": F.date_format(ts, "dd"), "hour": F.date_format(ts, "HH")}
+
+
+def ntz_as_utc_instant(ts: Column) -> Column:
+    """TIMESTAMP whose UTC wall clock is the given TIMESTAMP_NTZ, whatever the
+    session time zone (a plain cast would read the wall clock in the session
+    zone and misalign hourly windows in zones with half-hour offsets)."""
+    secs = F.date_format(ts, "ss.SSSSSS").cast("decimal(8,6)")
+    return F.make_timestamp(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts), secs, F.lit("UTC"))
+
+
+def micros_to_ntz(micros: Column) -> Column:
+    """TIMESTAMP_NTZ of an epoch-microsecond count, read as UTC wall clock."""
+    epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))   # from text: no zone involved
+    return epoch + F.make_dt_interval(secs=micros / F.lit(1_000_000.0))
+
+
+def instant_to_ntz(ts: Column) -> Column:
+    """Inverse of :func:`ntz_as_utc_instant`."""
+    return micros_to_ntz(F.unix_micros(ts))

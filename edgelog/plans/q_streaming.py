@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from edgelog.functions.timekeys import ntz_as_utc_instant
 from edgelog.operators.alarms import AlarmSpec
 from edgelog.operators.metrics import metric_samples
 from edgelog.plans.q_metrics import BREACHING_SQL
@@ -80,7 +81,7 @@ def stream_alarm_transitions(spark, sf):
     _run(start_windowed(hourly, f"{run}/closed", f"{run}/_ckpt_closed"))
     # second job: closed windows as a file stream; its watermark drives the gap-filling timeouts
     closed = (spark.readStream.schema("bucket timestamp_ntz, metric string, samples long, total double")
-              .parquet(f"{run}/closed").select("metric", F.col("bucket").cast("timestamp").alias("bucket"),
+              .parquet(f"{run}/closed").select("metric", ntz_as_utc_instant(F.col("bucket")).alias("bucket"),
                                                F.col("samples").alias("value"))
               .withWatermark("bucket", "0 seconds"))
     spec = AlarmSpec("hourly-events", "1 hour", ">=", 5, 3, "BREACHING")
@@ -88,4 +89,4 @@ def stream_alarm_transitions(spark, sf):
     q = (trans.writeStream.format("parquet").option("path", f"{run}/out")
          .option("checkpointLocation", f"{run}/_ckpt_alarm").outputMode("append").trigger(availableNow=True).start())
     _run(q)
-    return spark.read.parquet(f"{run}/out").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    return spark.read.parquet(f"{run}/out")

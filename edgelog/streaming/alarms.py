@@ -14,12 +14,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from edgelog.functions.timekeys import micros_to_ntz
 from edgelog.operators.alarms import AlarmSpec
 
-OUTPUT_SCHEMA = "metric string, bucket timestamp, previous string, state string, value long"
-STATE_SCHEMA = "last_bucket timestamp, present string, breach string, state string"
+OUTPUT_SCHEMA = "metric string, bucket_us long, previous string, state string, value long"
+STATE_SCHEMA = "last_us long, present string, breach string, state string"
 
 
 def _compare(spec: AlarmSpec, v: float) -> bool:
@@ -28,15 +30,18 @@ def _compare(spec: AlarmSpec, v: float) -> bool:
 
 
 def evaluate_stream(closed: DataFrame, spec: AlarmSpec, period_seconds: int) -> DataFrame:
-    """``closed``: streaming (metric, bucket TIMESTAMP, value) with a watermark on ``bucket``."""
-    step = pd.Timedelta(seconds=period_seconds)
+    """``closed``: streaming (metric, bucket TIMESTAMP, value) with a watermark
+    on ``bucket``.  Buckets travel to the state function as epoch microseconds
+    (no time-zone conversion in between); the result has ``bucket`` as
+    TIMESTAMP_NTZ (UTC wall clock)."""
+    step = period_seconds * 1_000_000
     n = spec.periods
 
     def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         metric = key[0]
         if state.exists:
             last, present, breach, cur = state.get
-            last = pd.Timestamp(last)
+            last = int(last)
             present, breach = list(present), list(breach)
         else:
             last, present, breach, cur = None, [], [], "OK"
@@ -59,16 +64,16 @@ def evaluate_stream(closed: DataFrame, spec: AlarmSpec, period_seconds: int) ->
             cur = new
 
         if state.hasTimedOut:
-            wm = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+            wm = state.getCurrentWatermarkMs() * 1000
             b = last + step
             while b <= wm:
                 step_to(b, None)
                 last = b
                 b += step
         else:
-            rows = pd.concat(list(pdfs)).sort_values("bucket")
-            for b, v in zip(rows["bucket"], rows["value"]):
-                b = pd.Timestamp(b)
+            rows = pd.concat(list(pdfs)).sort_values("bucket_us")
+            for b, v in zip(rows["bucket_us"], rows["value"]):
+                b = int(b)
                 if last is not None:
                     g = last + step
                     while g < b:
@@ -76,9 +81,11 @@ def evaluate_stream(closed: DataFrame, spec: AlarmSpec, period_seconds: int) ->
                         g += step
                 step_to(b, None if pd.isna(v) else int(v))
                 last = b
-        state.update((last.to_pydatetime(), "".join(present), "".join(breach), cur))
-        state.setTimeoutTimestamp(int((last + step).timestamp() * 1000))
-        yield pd.DataFrame(out, columns=["metric", "bucket", "previous", "state", "value"])
+        state.update((last, "".join(present), "".join(breach), cur))
+        state.setTimeoutTimestamp((last + step) // 1000)
+        yield pd.DataFrame(out, columns=["metric", "bucket_us", "previous", "state", "value"])
 
-    return closed.groupBy("metric").applyInPandasWithState(
+    keyed = closed.withColumn("bucket_us", F.unix_micros("bucket"))
+    trans = keyed.groupBy("metric").applyInPandasWithState(
         run, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    return trans.select("metric", micros_to_ntz(F.col("bucket_us")).alias("bucket"), "previous", "state", "value")

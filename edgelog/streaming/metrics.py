@@ -7,16 +7,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from edgelog.functions.timekeys import instant_to_ntz, ntz_as_utc_instant
+
 
 def windowed_counts(samples: DataFrame, period: str = "1 minute", delay: str = "15 minutes") -> DataFrame:
-    """``samples``: streaming (metric, ts TIMESTAMP_NTZ or TIMESTAMP, value).
-    Watermarks need TIMESTAMP, so NTZ input is cast (session zone) and the
-    window start is cast back, which round-trips exactly."""
-    ts = F.col("ts").cast("timestamp")
-    s = samples.withColumn("ts", ts).withWatermark("ts", delay)
+    """``samples``: streaming (metric, ts TIMESTAMP_NTZ, value).  Watermarks
+    need TIMESTAMP: the NTZ wall clock is read as UTC (independent of the
+    session zone, so windows align to UTC periods) and window starts are
+    turned back into NTZ the same way."""
+    s = samples.withColumn("ts", ntz_as_utc_instant(F.col("ts"))).withWatermark("ts", delay)
     agg = (s.groupBy(F.window("ts", period).alias("w"), "metric")
            .agg(F.count("*").alias("samples"), F.sum("value").alias("total")))
-    return agg.select(F.col("w.start").cast("timestamp_ntz").alias("bucket"), "metric", "samples", "total")
+    return agg.select(instant_to_ntz(F.col("w.start")).alias("bucket"), "metric", "samples", "total")
 
 
 def start_windowed(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
