@@ -67,3 +67,18 @@ def test_watermark_drops_too_late_rows(spark, tmpdir_path):
     got = {(r.bucket.strftime("%H:%M"), r.samples) for r in spark.read.parquet(out).collect()}
     assert ("03:00", 1) in got and ("03:00", 2) not in got               # late row not counted
     assert ("03:40", 1) in got                                           # closed by the later watermark
+
+
+def test_windows_independent_of_session_zone(spark):
+    from edgelog.functions.timekeys import instant_to_ntz, micros_to_ntz, ntz_as_utc_instant
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")          # a half-hour offset
+    try:
+        df = spark.createDataFrame([("m", dt.datetime(2024, 1, 1, 10, 20, 5), 1.0)], "metric string, ts timestamp_ntz, value double")
+        r = windowed_counts(df, period="1 hour").first()
+        assert r.bucket == dt.datetime(2024, 1, 1, 10, 0)
+        back = df.select(instant_to_ntz(ntz_as_utc_instant(F.col("ts"))).alias("t"),
+                         micros_to_ntz(F.lit(0)).alias("epoch")).first()
+        assert back.t == dt.datetime(2024, 1, 1, 10, 20, 5) and back.epoch == dt.datetime(1970, 1, 1)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
