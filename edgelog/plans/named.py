@@ -66,3 +66,36 @@ def save_result(result: DataFrame, results_root: str, query_name: str, fmt: str
     else:
         w.format(fmt).save(path)
     return path
+
+
+def main(argv: list[str] | None = None) -> str:
+    """Run one named query for a month over a lake's combined view and
+    write the result under the results location (S5).
+
+    ``python -m edgelog.plans.named monthly_requests_per_day --lake ROOT --year 2024 --month 01
+    --results RESULTS [--now 2024-01-30T22:20]``"""
+    import argparse
+    import datetime as dt
+
+    from edgelog.plans.lake import Lake
+    from edgelog.session import get_session
+
+    ap = argparse.ArgumentParser(description=main.__doc__)
+    ap.add_argument("query", choices=sorted(NAMED_QUERIES))
+    ap.add_argument("--lake", required=True)
+    ap.add_argument("--year", required=True)
+    ap.add_argument("--month", required=True)
+    ap.add_argument("--results", required=True)
+    ap.add_argument("--now", default=None, help="UTC wall time, ISO format (default: now)")
+    ap.add_argument("--format", default="csv")
+    a = ap.parse_args(argv)
+    now = dt.datetime.fromisoformat(a.now) if a.now else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    spark = get_session(app_name=f"edgelog-{a.query}")
+    result = run_named(spark, a.query, Lake(a.lake, now).view(spark), a.year, a.month)
+    path = save_result(result, a.results, a.query, a.format)
+    print(path)
+    return path
+
+
+if __name__ == "__main__":
+    main()

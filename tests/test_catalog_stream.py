@@ -87,3 +87,17 @@ def test_scheduled_jobs_cycle(spark, tmpdir_path):
     route_job(spark, lake)
     repair_job(spark, Lake(root, dt.datetime(2024, 1, 2, 6, 20)))
     assert read_cold(spark, lake.cold).where("hour = '03'").count() == 3
+
+
+def test_named_query_cli(spark, tmpdir_path):
+    """E3 + S5: a named query over a lake's view, result written to the results location."""
+    from edgelog.plans.lake import Lake
+    from edgelog.plans.named import main
+
+    root = os.path.join(tmpdir_path, "lake")
+    _write_hour(os.path.join(root, "hot"), "03", [_row(), _row(status="404"), _row(uri="/pypi/web/simple/x")])
+    Lake(root, dt.datetime(2024, 1, 2, 3, 30)).tables(spark)
+    path = main(["monthly_requests_stats_per_path", "--lake", root, "--year", "2024", "--month", "01",
+                 "--results", os.path.join(tmpdir_path, "results"), "--now", "2024-01-02T03:30"])
+    rows = {r.uriwithprefix: r.total_requests for r in spark.read.option("header", "true").csv(path).collect()}
+    assert rows == {"/debian/": "1", "/pypi/": "1"}
