@@ -8,7 +8,7 @@ message strings as ``{"Records":[{"Sns":{"Message": ...}}]}`` and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,49 +29,50 @@ def check_names() -> list[str]:
     return [f"MonitorProjectFor{name}{image}" for name, _, images in PROD_SANITY_TARGETS for image in images]
 
 
-def _pick(idx: Column, values: list[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
+def _array_sql(values: list[str]) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def raw_body_sql() -> str:
+    """The JSON body of each generated event as ONE Spark SQL expression over
+    (event_id, event_type, user_id): parsed once per plan, evaluated in codegen."""
+    checks, n = _array_sql(check_names()), len(check_names())
+    project = f"element_at({checks}, CAST(event_id % {n} + 1 AS INT))"
+    eid = "CAST(event_id AS STRING)"
+
+    def env(source: str, detail_type: str, detail: str) -> str:
+        return (f"to_json(named_struct('source', '{source}', 'detail-type', '{detail_type}', "
+                f"'account', '{ACCOUNT}', 'detail', {detail}))")
+
+    build = (f"named_struct('project-name', {project}, "
+             f"'build-status', element_at({_array_sql(BUILD_STATES)}, CAST(event_id % 3 + 1 AS INT)), "
+             f"'build-id', concat('arn:aws:codebuild:us-east-1:{ACCOUNT}:build/', {project}, ':', {eid}))")
+    execution = (f"named_struct('stateMachineArn', CASE WHEN event_id % 4 != 3 THEN '{PIPELINE_ARN}' "
+                 f"ELSE '{OTHER_ARN}' END, 'name', concat('exec-', {eid}), "
+                 f"'status', element_at({_array_sql(EXECUTION_STATES)}, CAST(event_id % 5 + 1 AS INT)), "
+                 f"'input', CASE WHEN event_id % 2 = 0 THEN concat('{{\"commit\":\"', substring(md5({eid}), 1, 7), "
+                 f"'\"}}') ELSE '{{}}' END, "
+                 f"'output', CASE WHEN event_id % 7 = 0 THEN '{{\"Error\":\"States.Timeout\"}}' ELSE '{{\"ok\":true}}' END)")
+    scaling = (f"named_struct('resourceId', '{SCALED_RESOURCE}', "
+               f"'oldDesiredCapacity', CAST(event_id % 16 + 1 AS STRING), "
+               f"'newDesiredCapacity', CAST((event_id + user_id) % 16 + 1 AS STRING))")
+    cert = (f"named_struct('project-name', '{CERT_PROJECT}', "
+            f"'build-status', CASE WHEN event_id % 2 = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END, "
+            f"'build-id', concat('arn:aws:codebuild:us-east-1:{ACCOUNT}:build/{CERT_PROJECT}:', {eid}), "
+            f"'additional-information', named_struct('exported-environment-variables', array("
+            f"named_struct('name', 'CERT_NAME', 'value', concat('cert-', {eid})), "
+            f"named_struct('name', 'CERT_ID', 'value', concat('id-', {eid})))))")
+    return ("CASE event_type "
+            f"WHEN 'error' THEN {env('aws.codebuild', 'CodeBuild Build State Change', build)} "
+            f"WHEN 'signup' THEN {env('aws.states', 'Step Functions Execution Status Change', execution)} "
+            f"WHEN 'click' THEN {env('aws.application-autoscaling', 'Application Auto Scaling Scaling Activity State Change', scaling)} "
+            f"WHEN 'purchase' THEN {env('aws.codebuild', 'CodeBuild Build State Change', cert)} "
+            f"ELSE {env('aws.health', 'AWS Health Event', "named_struct('eventTypeCode', 'MAINTENANCE')")} END")
 
 
 def raw_events(events: DataFrame) -> DataFrame:
-    """(event_id, body) - one JSON operational event per ``events`` row."""
-    eid, et = F.col("event_id"), F.col("event_type")
-    project = _pick(eid % len(check_names()), check_names())
-    build = F.struct(
-        project.alias("project-name"),
-        _pick(eid % 3, BUILD_STATES).alias("build-status"),
-        F.concat(F.lit(f"arn:aws:codebuild:us-east-1:{ACCOUNT}:build/"), project, F.lit(":"), eid.cast("string")).alias("build-id"))
-    execution = F.struct(
-        F.when(eid % 4 != 3, F.lit(PIPELINE_ARN)).otherwise(F.lit(OTHER_ARN)).alias("stateMachineArn"),
-        F.concat(F.lit("exec-"), eid.cast("string")).alias("name"),
-        _pick(eid % 5, EXECUTION_STATES).alias("status"),
-        F.when(eid % 2 == 0, F.concat(F.lit('{"commit":"'), F.substring(F.md5(eid.cast("string")), 1, 7), F.lit('"}')))
-         .otherwise(F.lit("{}")).alias("input"),
-        F.when(eid % 7 == 0, F.lit('{"Error":"States.Timeout"}')).otherwise(F.lit('{"ok":true}')).alias("output"))
-    scaling = F.struct(
-        F.lit(SCALED_RESOURCE).alias("resourceId"),
-        (eid % 16 + 1).cast("string").alias("oldDesiredCapacity"),
-        ((eid + F.col("user_id")) % 16 + 1).cast("string").alias("newDesiredCapacity"))
-    cert = F.struct(
-        F.lit(CERT_PROJECT).alias("project-name"),
-        F.when(eid % 2 == 0, "FAILED").otherwise("SUCCEEDED").alias("build-status"),
-        F.concat(F.lit(f"arn:aws:codebuild:us-east-1:{ACCOUNT}:build/{CERT_PROJECT}:"), eid.cast("string")).alias("build-id"),
-        F.struct(F.array(
-            F.struct(F.lit("CERT_NAME").alias("name"), F.concat(F.lit("cert-"), eid.cast("string")).alias("value")),
-            F.struct(F.lit("CERT_ID").alias("name"), F.concat(F.lit("id-"), eid.cast("string")).alias("value")),
-        ).alias("exported-environment-variables")).alias("additional-information"))
-
-    def env(source: str, detail_type: str, detail: Column) -> Column:
-        return F.to_json(F.struct(F.lit(source).alias("source"), F.lit(detail_type).alias("detail-type"),
-                                  F.lit(ACCOUNT).alias("account"), detail.alias("detail")))
-
-    body = (F.when(et == "error", env("aws.codebuild", "CodeBuild Build State Change", build))
-             .when(et == "signup", env("aws.states", "Step Functions Execution Status Change", execution))
-             .when(et == "click", env("aws.application-autoscaling",
-                                      "Application Auto Scaling Scaling Activity State Change", scaling))
-             .when(et == "purchase", env("aws.codebuild", "CodeBuild Build State Change", cert))
-             .otherwise(env("aws.health", "AWS Health Event", F.struct(F.lit("MAINTENANCE").alias("eventTypeCode")))))
-    return events.select("event_id", "ts", body.alias("body"))
+    """(event_id, ts, body) - one JSON operational event per ``events`` row."""
+    return events.selectExpr("event_id", "ts", f"{raw_body_sql()} AS body")
 
 
 ENVELOPE_SCHEMA = T.StructType([T.StructField("Records", T.ArrayType(T.StructType([
