@@ -7,7 +7,6 @@ absent (local tests) do we create one of our own.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -58,15 +57,6 @@ def work_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([shared_dir(spark), "edgelog", *parts])
 
 
-def local_path(path: str) -> str | None:
-    """Filesystem path for ``file:`` or bare paths, else None (remote FS)."""
-    if path.startswith("file:"):
-        return path[len("file:"):].replace("///", "/", 1) if path.startswith("file:///") else path[len("file:"):]
-    if "://" in path:
-        return None
-    return path
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through Hadoop's FileSystem so it works on any FS."""
     jvm = spark.sparkContext._jvm
@@ -75,12 +65,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-def ensure_dir(path: str) -> None:
-    lp = local_path(path)
-    if lp is not None:
-        os.makedirs(lp, exist_ok=True)
-
-
 def mkdirs(spark: SparkSession, path: str) -> None:
     """Create a folder through Hadoop's FileSystem (any FS the cluster uses)."""
     jvm = spark.sparkContext._jvm
