@@ -8,8 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that cache)
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from edgelog.session import shared_dir
@@ -18,6 +18,9 @@ BATCH_BYTES = 1 << 20
 """Texts are handled in slices of about this many bytes (never less than one whole text)."""
 
 
+ROWS_PER_CHUNK = 20_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,6 +49,22 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit_bytes: in
     return F.broadcast(df) if rows * row_bytes <= limit_bytes else df
 
 
+def with_slots(df: DataFrame, group: str, order: list[str], rows: int) -> DataFrame:
+    """Gapless positions ``slot`` from 0 inside each group.
+
+    A group may hold any share of all rows, so no task takes a whole group: rows are dealt by hash into chunks of
+    about ROWS_PER_CHUNK, numbered inside (group, chunk), and moved up by the sizes of the group's earlier chunks (a
+    window over one small row per group and chunk).
+    """
+    chunks = max(16, -(-rows // ROWS_PER_CHUNK))
+    dealt = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)))
+    before = (dealt.groupBy(F.col(group).alias("_s"), F.col("_chunk").alias("_c")).agg(F.count("*").alias("_n"))
+              .withColumn("_before", F.sum("_n").over(W.partitionBy("_s").orderBy("_c")) - F.col("_n")))
+    numbered = dealt.withColumn("_at", F.row_number().over(W.partitionBy(group, "_chunk").orderBy(*order)) - 1)
+    joined = numbered.join(before, (numbered[group] == before["_s"]) & (numbered["_chunk"] == before["_c"]))
+    return joined.withColumn("slot", (F.col("_at") + F.col("_before")).cast("long")).select(*df.columns, "slot")
+
+
 def worker_cache(key: str, build: Callable):
     """One object per Python worker process, kept across its tasks."""
     kept = sys.__dict__.setdefault("_edgelog_llm_cache", {})

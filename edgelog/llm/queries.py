@@ -6,12 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgelog.llm import decontaminate, sharding
-from edgelog.llm.common import table
+from pyspark.sql import functions as F
+
+from edgelog.llm import decontaminate, language, packing, sharding
+from edgelog.llm.common import crc_mod, table
 
 SHARDS = [1.0] * 8
 
 
+def tokenizer() -> tuple[str, str]:
+    """Vocabulary file and word pattern of the production tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+
+
+def op2_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prototypes = language.learn_prototypes(docs.where(crc_mod("doc_id", 5) != 0))
+    return language.predict(docs, prototypes).withColumn("held_out", crc_mod("doc_id", 5) == 0)
+
+
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), *tokenizer())
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_row")
 
@@ -21,6 +40,8 @@ def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_hyperdimensional": op2_hyperdimensional,
+    "op5_best_fit": op5_best_fit,
     "op9_winnowing": op9_winnowing,
     "op10_rendezvous": op10_rendezvous,
 }

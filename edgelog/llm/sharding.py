@@ -11,12 +11,9 @@ no bytes; equal hashes go to the smaller shard number; an empty table gives no r
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from edgelog.llm.common import stored
-
-ROWS_PER_CHUNK = 20_000
+from edgelog.llm.common import stored, with_slots
 
 
 def shard_cost(key: Column, shard: int, weight: float) -> Column:
@@ -34,22 +31,6 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
     return F.array_min(F.array(*entries))["shard"]
 
 
-def with_slots(df: DataFrame, shard: str, order: list[str], rows: int) -> DataFrame:
-    """Gapless positions from 0 inside each shard.
-
-    A shard may hold any share of all rows, so no task takes a whole shard: rows are dealt by hash into chunks of
-    about ROWS_PER_CHUNK, numbered inside (shard, chunk), and moved up by the sizes of the shard's earlier chunks (a
-    window over one small row per shard and chunk).
-    """
-    chunks = max(16, -(-rows // ROWS_PER_CHUNK))
-    dealt = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)))
-    before = (dealt.groupBy(F.col(shard).alias("_s"), F.col("_chunk").alias("_c")).agg(F.count("*").alias("_n"))
-              .withColumn("_before", F.sum("_n").over(W.partitionBy("_s").orderBy("_c")) - F.col("_n")))
-    numbered = dealt.withColumn("_at", F.row_number().over(W.partitionBy(shard, "_chunk").orderBy(*order)) - 1)
-    joined = numbered.join(before, (numbered[shard] == before["_s"]) & (numbered["_chunk"] == before["_c"]))
-    return joined.withColumn("slot", (F.col("_at") + F.col("_before")).cast("long")).select(*df.columns, "slot")
-
-
 def shard_records(docs: DataFrame, weights: list[float], grown_weight: float | None = 1.0) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and, with ``grown_weight``, the shard after one more was added."""
     text = F.coalesce(F.col("text"), F.lit(""))
