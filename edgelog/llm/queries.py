@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from edgelog.llm import decontaminate, language, packing, sharding
+from edgelog.llm import decontaminate, language, packing, sharding, urlfilter
 from edgelog.llm.common import crc_mod, table
 
 SHARDS = [1.0] * 8
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
 def tokenizer() -> tuple[str, str]:
@@ -27,6 +28,11 @@ def op2_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, prototypes).withColumn("held_out", crc_mod("doc_id", 5) == 0)
 
 
+def op3_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql("select * from values " + ", ".join(map(str, RULES)) + " as t(verdict, host, path)")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), *tokenizer())
 
@@ -41,6 +47,7 @@ def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hyperdimensional": op2_hyperdimensional,
+    "op3_link_graph": op3_link_graph,
     "op5_best_fit": op5_best_fit,
     "op9_winnowing": op9_winnowing,
     "op10_rendezvous": op10_rendezvous,
