@@ -106,3 +106,12 @@ def list_column(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa
     ends = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=ends[1:])
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, label_name: str) -> DataFrame:
+    """Stored (text, y) of at most ``rows`` labelled documents, drawn by hash of the id so that the choice doesn't depend
+    on order or partitions.  A document with several labels counts with the highest; null labels don't count."""
+    chosen = (labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("y"))
+              .orderBy(F.xxhash64("_id"), "_id").limit(rows))
+    texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    return stored(texts.select(F.coalesce("text", F.lit("")).alias("text"), "y").repartition(16), label_name)

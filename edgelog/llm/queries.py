@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from edgelog.llm import decontaminate, language, packing, sharding, urlfilter
+from edgelog.llm import decontaminate, language, packing, quality, sharding, toxicity, urlfilter
 from edgelog.llm.common import crc_mod, table
 
 SHARDS = [1.0] * 8
@@ -33,6 +33,22 @@ def op3_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def _learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1)
+
+
+def op4_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _learnable(spark, sf_dir))
+    return toxicity.score(docs, *model).withColumn("held_out", crc_mod("doc_id", 3) == 1)
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _learnable(spark, sf_dir))
+    return quality.score(docs, model).withColumn("held_out", crc_mod("doc_id", 3) == 1)
+
+
 def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), *tokenizer())
 
@@ -48,7 +64,9 @@ def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hyperdimensional": op2_hyperdimensional,
     "op3_link_graph": op3_link_graph,
+    "op4_counterfactual": op4_counterfactual,
     "op5_best_fit": op5_best_fit,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op9_winnowing": op9_winnowing,
     "op10_rendezvous": op10_rendezvous,
 }
