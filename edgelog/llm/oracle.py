@@ -29,6 +29,18 @@ _LINK = r"""(?i)(?:href|src)\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+_OP7 = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, q.r, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v AS q, v AS c WHERE q.vec_id % 20 = 0 AND q.r <> c.r),
+k AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM k WHERE rank <= 20
+"""
+
+
 def _op3() -> str:
     """Eight unrolled rounds; constants are written out, not taken from the operator."""
     rounds = "".join(f"""
@@ -62,4 +74,4 @@ FROM pg LEFT JOIN best USING (host, path) LEFT JOIN sc USING (host)
 """
 
 
-ORACLES: dict[str, str] = {"op3_link_graph": _op3(), "op9_winnowing": _OP9}
+ORACLES: dict[str, str] = {"op3_link_graph": _op3(), "op7_dual_tree": _OP7, "op9_winnowing": _OP9}

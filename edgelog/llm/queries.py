@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from edgelog.llm import decontaminate, language, packing, quality, sharding, toxicity, urlfilter
+from edgelog.llm import decontaminate, language, packing, quality, sharding, topk, toxicity, urlfilter
 from edgelog.llm.common import crc_mod, table
 
 SHARDS = [1.0] * 8
@@ -53,6 +53,10 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op7_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_row")
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_counterfactual": op4_counterfactual,
     "op5_best_fit": op5_best_fit,
     "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_dual_tree": op7_dual_tree,
     "op9_winnowing": op9_winnowing,
     "op10_rendezvous": op10_rendezvous,
 }
