@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from edgelog.llm import decontaminate, language, packing, quality, sharding, topk, toxicity, urlfilter
+from edgelog.llm import decontaminate, language, minhash, packing, quality, sharding, topk, toxicity, urlfilter
 from edgelog.llm.common import crc_mod, table
 
 SHARDS = [1.0] * 8
@@ -22,6 +22,10 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
+def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op2_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prototypes = language.learn_prototypes(docs.where(crc_mod("doc_id", 5) != 0))
@@ -66,6 +70,7 @@ def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bagminhash": op1_bagminhash,
     "op2_hyperdimensional": op2_hyperdimensional,
     "op3_link_graph": op3_link_graph,
     "op4_counterfactual": op4_counterfactual,
