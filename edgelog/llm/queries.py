@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from edgelog.llm import decontaminate, language, minhash, packing, quality, sharding, topk, toxicity, urlfilter
+from edgelog.llm import decontaminate, language, minhash, packing, quality, repeats, sharding, topk, toxicity, urlfilter
 from edgelog.llm.common import crc_mod, table
 
 SHARDS = [1.0] * 8
@@ -61,6 +61,10 @@ def op7_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op8_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.judge(table(spark, sf_dir, "documents"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_row")
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit": op5_best_fit,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_dual_tree": op7_dual_tree,
+    "op8_suffix_groups": op8_suffix_groups,
     "op9_winnowing": op9_winnowing,
     "op10_rendezvous": op10_rendezvous,
 }
