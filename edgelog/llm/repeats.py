@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelog.llm.common import broadcast_if_small, list_column, row_key, slices, stored
+from edgelog.llm.common import bounded_batches, broadcast_if_small, list_column, row_key, slices, stored
 from edgelog.llm.suffixes import suffix_arrays
 from edgelog.llm.textops import Powers, byte_values, int64, mix, prefix_sums, sliding_min, spans_hash
 
 LENGTH, K = 100, 32
 GROUP, PIECE = 8, 8
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
 STRETCH = 1 << 21
 U = np.uint64
 
@@ -45,20 +45,23 @@ def segments(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray, powers: Po
     """
     w = LENGTH - K + 1
     out = []
+    _, down = powers.need(len(sums))
+    ending = np.repeat(offsets[1:] - LENGTH, np.diff(offsets))  # the last window of the text at each byte
     for begin in range(0, max(len(data) - LENGTH + 1, 0), STRETCH):
         stop = min(begin + STRETCH, len(data) - LENGTH + 1)  # windows begin .. stop - 1
-        at = np.arange(begin, stop + w - 1)
-        h = spans_hash(sums, at, at + K, powers)
+        n = stop - begin + w - 1
+        h = (sums[begin + K: begin + K + n] - sums[begin: begin + n]) * down[begin: begin + n]
+        h ^= h >> U(32)
+        h *= U(0xD6E8FEB86659FD93)
+        h ^= h >> U(29)
         low = sliding_min(h, w)
-        s = np.arange(begin, stop)
-        text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[begin:stop]
-        valid = s + LENGTH <= offsets[text + 1]
-        fresh = np.ones(len(s), bool)
-        fresh[1:] = (low[1:] != low[:-1]) | ~valid[:-1] | (text[1:] != text[:-1])
+        valid = np.arange(begin, stop) <= ending[begin:stop]
+        fresh = np.ones(stop - begin, bool)
+        fresh[1:] = (low[1:] != low[:-1]) | ~valid[:-1]  # between two texts stand windows that are not valid
         first = np.flatnonzero(fresh & valid)
         if not len(first):
             continue
-        borders = np.append(np.flatnonzero(fresh | ~valid), len(s))
+        borders = np.append(np.flatnonzero(fresh | ~valid), stop - begin)
         last = borders[np.searchsorted(borders, first, side="right")]  # one behind
         equal = h[first[:, None] + np.arange(w)] == low[first][:, None]
         anchor = first + equal.argmax(axis=1)
@@ -76,7 +79,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray, powers: Po
         a, e, p = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(a, kind="stable")
         a, e, p = a[order], e[order], p[order]
-        out.append((text[a], a + begin, e - a, p + begin, h[p]))
+        out.append((np.searchsorted(offsets, a + begin, side="right") - 1, a + begin, e - a, p + begin, h[p]))
     if not out:
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, U),)
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -103,31 +106,52 @@ def _segments(batches):
              pa.array((p - at).astype(np.int16)), pa.array(m.astype(np.int16))], ["anchor", "ctx", "o", "node", "at", "rel", "m"])
 
 
+def _runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.arange(count.sum()) + np.repeat(start - np.cumsum(count) + count, count)
+
+
+def _piece_bounds(s0: np.ndarray, m: np.ndarray, p: np.ndarray):
+    """Cut segments (first window, number of windows, anchor) into pieces of windows whose distance to the anchor has one
+    quotient by PIECE: (segment, quotient, first window, number of windows, begin of the bytes that all of them share)."""
+    low, high = np.maximum(p - (s0 + m - 1), 0) // PIECE, (p - s0) // PIECE
+    count = high - low + 1
+    seg = np.repeat(np.arange(len(s0)), count)
+    j = _runs(low, count)
+    a, b = np.maximum(s0[seg], p[seg] - PIECE * j - PIECE + 1), np.minimum(s0[seg] + m[seg], p[seg] - PIECE * j + 1)
+    return seg, j, a, b - a, p[seg] - PIECE * j
+
+
+def _binary(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Arrow binaries of runs of ``data``."""
+    ends = np.zeros(len(start) + 1, np.int32)
+    np.cumsum(size, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data[_runs(start, size)])])
+
+
 def _snippets(batches):
     """Bytes of the wanted segments; those of crowded anchors in pieces keyed by the bytes that the piece's windows share."""
     powers, values = Powers(), byte_values(3)
     for rows, data, offsets in slices(batches):
         sums = prefix_sums(data, values, powers)
-        raw = data.tobytes()
-        out = {k: [] for k in ("key", "crowded", "o", "node", "at", "m", "snippet")}
-        for i, (node, o, wanted) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("_row", "o", "wanted")))):
-            for x in wanted:
-                s0 = int(offsets[i]) + x["at"]
-                if x["n"] <= GROUP:
-                    todo = [(x["anchor"], s0, x["m"])]
-                else:
-                    p, todo = s0 + x["rel"], []
-                    for j in range(max(x["rel"] - x["m"] + 1, 0) // PIECE, x["rel"] // PIECE + 1):
-                        a, b = max(s0, p - PIECE * j - PIECE + 1), min(s0 + x["m"], p - PIECE * j + 1)
-                        c = p - PIECE * j
-                        shared = spans_hash(sums, np.array([c]), np.array([c + LENGTH - PIECE + 1]), powers)
-                        key = mix(shared + np.array([x["anchor"]], np.int64).view(U) * U(3) + U(j))
-                        todo.append((int(int64(key)[0]), a, b - a))
-                for key, a, m in todo:
-                    for name, v in zip(out, (key, x["n"] > GROUP, o, node, a - int(offsets[i]), m, raw[a: a + m + LENGTH - 1])):
-                        out[name].append(v)
-        kinds = {"crowded": pa.bool_(), "snippet": pa.binary(), "m": pa.int16()}
-        yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], list(out))
+        wanted = rows.column(rows.schema.get_field_index("wanted"))
+        owner = np.repeat(np.arange(rows.num_rows), wanted.value_lengths().to_numpy(zero_copy_only=False))
+        x = {f.name: a.to_numpy(zero_copy_only=False).astype(np.int64) for f, a in zip(wanted.type.value_type, wanted.flatten().flatten())}
+        node, o = (rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False)[owner] for c in ("_row", "o"))
+        s0 = offsets[owner] + x["at"]
+        crowded = np.flatnonzero(x["n"] > GROUP)
+        plain = np.flatnonzero(x["n"] <= GROUP)
+        seg, j, a, m, begin = _piece_bounds(s0[crowded], x["m"][crowded], s0[crowded] + x["rel"][crowded])
+        seg = crowded[seg]
+        shared = spans_hash(sums, begin, begin + LENGTH - PIECE + 1, powers) if len(seg) else np.zeros(0, U)
+        keys = mix(shared + x["anchor"][seg].view(U) * U(3) + j.astype(U))
+        at = np.concatenate([s0[plain], a])
+        m = np.concatenate([x["m"][plain], m])
+        source = np.concatenate([plain, seg])
+        rel = np.concatenate([x["rel"][plain], np.zeros(len(seg), np.int64)])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([x["anchor"][plain], int64(keys)])), pa.array(np.arange(len(at)) >= len(plain)), pa.array(o[source]),
+             pa.array(node[source]), pa.array(at - offsets[owner[source]]), pa.array(rel.astype(np.int16)), pa.array(m.astype(np.int16)),
+             _binary(data, at, m + LENGTH - 1)], ["key", "crowded", "o", "node", "at", "rel", "m", "snippet"])
 
 
 def repeated_windows(snippets: list[bytes], counts: np.ndarray, group: np.ndarray, powers: Powers, values: np.ndarray):
@@ -164,6 +188,34 @@ def repeated_windows(snippets: list[bytes], counts: np.ndarray, group: np.ndarra
     return snippet[order], place[order], gone, h1, h2
 
 
+def _promising(snippets: list[bytes], m: np.ndarray, rel: np.ndarray, group: np.ndarray, crowded: np.ndarray, powers: Powers, values: np.ndarray):
+    """Cut the segments down to windows in pieces whose shared bytes occur twice in the group (pieces of crowded anchors have
+    been chosen so before and stay): (bytes, which snippet, windows skipped, number of windows)."""
+    raw = np.frombuffer(b"".join(snippets), np.uint8)
+    sizes = np.array([len(x) for x in snippets])
+    begin = np.cumsum(sizes) - sizes
+    open_ = np.flatnonzero(~crowded)
+    seg, j, a, n, shared = _piece_bounds(begin[open_], m[open_], begin[open_] + rel[open_])
+    seg = open_[seg]
+    h = spans_hash(prefix_sums(raw, values, powers), shared, shared + LENGTH - PIECE + 1, powers)
+    _, which, times = np.unique(mix(h + j.astype(U)) ^ mix(group[seg].astype(U) + U(1)), return_inverse=True, return_counts=True)
+    twice = times[which] > 1
+    seg, a, n = seg[twice], a[twice], n[twice]
+    order = np.lexsort((a, seg))
+    seg, a, n = seg[order], a[order], n[order]
+    head = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (a[1:] != a[:-1] + n[:-1])])) if len(seg) else np.zeros(0, np.int64)
+    tail = np.append(head[1:], len(seg)) - 1
+    seg, first, last = seg[head], a[head], a[tail] + n[tail] if len(seg) else a
+    whole = np.flatnonzero(crowded)
+    source = np.concatenate([seg, whole])
+    first = np.concatenate([first, begin[whole]])
+    count = np.concatenate([last - first[: len(seg)], m[whole]])
+    order = np.lexsort((first, source))
+    source, first, count = source[order], first[order], count[order]
+    data = raw.tobytes()
+    return [data[f: f + c + LENGTH - 1] for f, c in zip(first.tolist(), count.tolist())], source, first - begin[source], count
+
+
 def _sort_groups(batches):
     """Suffix-sorts the groups (key, part) of a sorted partition, about SORT_BYTES at a time.
 
@@ -174,10 +226,14 @@ def _sort_groups(batches):
     def flush(rows: list[tuple]):
         ids = np.array([(r[0], r[1]) for r in rows])
         group = np.concatenate([[0], np.cumsum((ids[1:] != ids[:-1]).any(axis=1))]) if len(rows) > 1 else np.zeros(len(rows), np.int64)
-        m = np.array([r[6] for r in rows], np.int64)
-        snippet, window, gone, h1, h2 = repeated_windows([r[7] for r in rows], m, group, powers, values)
-        o, node, at = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5))
-        split = np.array([r[2] for r in rows], bool)
+        m, rel = (np.array([r[i] for r in rows], np.int64) for i in (6, 8))
+        snippets, source, skipped, m = _promising([r[7] for r in rows], m, rel, group, np.array([r[9] for r in rows], bool), powers, values)
+        o, node, at = (np.array([r[i] for r in rows], np.int64)[source] for i in (3, 4, 5))
+        at = at + skipped
+        split = np.array([r[2] for r in rows], bool)[source]
+        if not snippets:
+            return None
+        snippet, window, gone, h1, h2 = repeated_windows(snippets, m, group[source], powers, values)
         out = {k: [] for k in ("o", "node", "from", "to")}
         a, b = snippet[gone], window[gone]
         order = np.lexsort((b, a))
@@ -197,16 +253,17 @@ def _sort_groups(batches):
         return pa.RecordBatch.from_arrays(arrays, [*out, "h1", "h2"])
 
     rows: list[tuple] = []
-    size, names = 0, ("key", "part", "split", "o", "node", "at", "m", "snippet")
+    size, names = 0, ("key", "part", "split", "o", "node", "at", "m", "snippet", "rel", "crowded")
     for batch in batches:
         for row in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)):
             if size >= SORT_BYTES and row[:2] != rows[-1][:2]:
-                yield flush(rows)
+                if (out := flush(rows)) is not None:
+                    yield out
                 rows, size = [], 0
             rows.append(row)
             size += len(row[7])
-    if rows:
-        yield flush(rows)
+    if rows and (out := flush(rows)) is not None:
+        yield out
 
 
 def _merge(batches):
@@ -235,11 +292,12 @@ def _ordered(docs: DataFrame) -> DataFrame:
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """Stored (node, begins, ends): disjoint byte spans to remove, ascending, of every row that has any."""
+    bounded_batches(docs.sparkSession)
     keyed = _ordered(docs)
     shared = stored(keyed.select("text").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
                     .where("n > 1").select("anchor"), "anchors")
     found = keyed.mapInArrow(_segments, "anchor long, ctx long, o long, node long, at long, rel smallint, m smallint")
-    held = stored(found.join(broadcast_if_small(shared, shared.count(), 16), "anchor"), "segments")
+    held = stored(found.join(shared, "anchor"), "segments")
     spot = F.struct("o", "node", "at")
     firsts = stored(held.groupBy("anchor", "ctx").agg(F.min(F.struct("o", "node", "at", "rel", "m")).alias("f"), F.count("*").alias("copies")), "contexts")
     copies = firsts.where("copies > 1").select("anchor", "ctx", F.struct("f.o", "f.node", "f.at").alias("first"))
@@ -252,7 +310,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     n_wanted = wanted.count()
     some = keyed.join(broadcast_if_small(wanted.select(F.col("node").alias("_row")), n_wanted, 16), "_row", "left_semi")
     texts = some.join(wanted, F.col("_row") == F.col("node")).select("_row", "o", "text", "wanted")
-    bits = stored(texts.mapInArrow(_snippets, "key long, crowded boolean, o long, node long, at long, m smallint, snippet binary"), "snippets")
+    bits = stored(texts.mapInArrow(_snippets, "key long, crowded boolean, o long, node long, at long, rel smallint, m smallint, snippet binary"), "snippets")
 
     pieces = bits.where("crowded")
     kept = stored(pieces.groupBy("key", "snippet").agg(F.min(F.struct("o", "node", "at", "m")).alias("f"), F.count("*").alias("copies")), "pieces")
@@ -262,8 +320,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     crowd = kept.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     split = kept.join(crowd, "key").select(
         "key", F.pmod(F.xxhash64("snippet"), F.ceil(F.col("n") / GROUP)).cast("int").alias("part"), (F.col("n") > GROUP).alias("split"),
-        "f.o", "f.node", "f.at", "f.m", "snippet")
-    plain = bits.where("not crowded").select("key", F.lit(0).alias("part"), F.lit(False).alias("split"), "o", "node", "at", "m", "snippet")
+        "f.o", "f.node", "f.at", "f.m", "snippet", F.lit(0).cast("smallint").alias("rel"), F.lit(True).alias("crowded"))
+    plain = bits.where("not crowded").select("key", F.lit(0).alias("part"), F.lit(False).alias("split"), "o", "node", "at", "m", "snippet", "rel", "crowded")
     groups = plain.unionByName(split).repartition("key", "part").sortWithinPartitions("key", "part", "o", "node", "at")
     ranked = stored(groups.mapInArrow(_sort_groups, "o long, node long, `from` long, `to` long, h1 long, h2 long"), "sorted")
     spans.append(ranked.where("h1 is null").select("node", "from", "to"))
@@ -297,16 +355,19 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items()], list(out))
 
 
-def _with_spans(keyed: DataFrame, docs: DataFrame) -> DataFrame:
-    spans = removed_spans(docs)
-    size = spans.agg(F.count("*").alias("n"), F.sum(F.size("begins")).alias("m")).first()
-    return keyed.join(broadcast_if_small(spans, size["n"] * 3 + (size["m"] or 0), 16), F.col("_row") == F.col("node"), "left")
+ROW, NODE, BEGINS, ENDS = "__cut_row", "__cut_node", "__cut_begins", "__cut_ends"  # beside any columns of the input
+
+
+def _with_spans(docs: DataFrame, columns: list) -> DataFrame:
+    spans = removed_spans(docs).toDF(NODE, BEGINS, ENDS)
+    size = spans.agg(F.count("*").alias("n"), F.sum(F.size(BEGINS)).alias("m")).first()
+    keyed = row_key(docs.select(*columns), ROW)
+    return keyed.join(broadcast_if_small(spans, size["n"] * 3 + (size["m"] or 0), 16), F.col(ROW) == F.col(NODE), "left").drop(ROW, NODE)
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    keyed = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return _with_spans(keyed, docs).select("doc_id", "text", "begins", "ends").mapInArrow(
+    return _with_spans(docs, [F.col("doc_id").cast("long").alias("doc_id"), "text"]).mapInArrow(
         _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -314,17 +375,16 @@ def cut(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs`` with the repeated bytes cut out of ``text``; a character of which only a part
     is left goes too.  A whole-number column n_chars gets the new length."""
     names = docs.columns
-    joined = _with_spans(row_key(docs), docs)
 
     def run(batches):
         for b in batches:
-            at = {n: b.schema.get_field_index(n) for n in (*names, "begins", "ends")}
+            at = {n: b.schema.get_field_index(n) for n in (*names, BEGINS, ENDS)}
             texts = []
-            for text, begins, ends in zip(*(b.column(at[n]).to_pylist() for n in ("text", "begins", "ends"))):
+            for text, begins, ends in zip(*(b.column(at[n]).to_pylist() for n in ("text", BEGINS, ENDS))):
                 texts.append(_kept(text.encode(), begins, ends).decode("utf-8", "ignore") if begins else text)
             new = {"text": pa.array(texts, pa.string())}
             if "n_chars" in at and pa.types.is_int64(b.schema.field(at["n_chars"]).type):
                 new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([new.get(n, b.column(at[n])) for n in names], names)
 
-    return joined.select(*names, "begins", "ends").mapInArrow(run, docs.schema)
+    return _with_spans(docs, names).mapInArrow(run, docs.schema)
