@@ -64,11 +64,11 @@ moves AS (SELECT src AS a, dst AS b, 't' AS k, CAST(n * 1000000 // sum(n) OVER (
 hosts AS (SELECT host, count(*) AS n FROM pg WHERE host <> '' GROUP BY host),
 ev AS (SELECT host, count(*) FILTER (verdict = 'allow') AS good, count(*) FILTER (verdict = 'block') AS bad FROM pg JOIN best USING (host, path) GROUP BY host),
 w AS (SELECT host, 't' AS kind, good * 1000000 // n AS w FROM ev JOIN hosts USING (host) UNION ALL SELECT host, 'd', bad * 1000000 // n FROM ev JOIN hosts USING (host)),
-seeds AS (SELECT host, kind, CAST(CAST(w AS HUGEINT) * 1000000000000 // sum(w) OVER (PARTITION BY kind) AS BIGINT) AS s FROM w WHERE w > 0),
+seeds AS (SELECT host, kind, CAST(CAST(w AS HUGEINT) * 1000000000000 // sum(w) OVER (PARTITION BY kind) AS BIGINT) AS s FROM w WHERE w * 2 >= 1000000),
 m0 AS (SELECT host, kind, s AS m FROM seeds),{rounds}
 sc AS (SELECT host, CAST(coalesce(sum(m) FILTER (kind = 't'), 0) AS BIGINT) AS trust, CAST(coalesce(sum(m) FILTER (kind = 'd'), 0) AS BIGINT) AS distrust FROM m8 GROUP BY host)
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) >
-    3000000000000 // (2 * greatest((SELECT count(*) FROM hosts), 1)) THEN 'block' ELSE 'allow' END) AS verdict,
+    3000000000000 // (10 * greatest((SELECT count(*) FROM hosts), 1)) THEN 'block' ELSE 'allow' END) AS verdict,
   CASE WHEN host = '' THEN 0 ELSE coalesce(trust, 0) END AS trust, CASE WHEN host = '' THEN 0 ELSE coalesce(distrust, 0) END AS distrust
 FROM pg LEFT JOIN best USING (host, path) LEFT JOIN sc USING (host)
 """

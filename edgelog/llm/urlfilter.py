@@ -1,9 +1,9 @@
 """URL filter: host and path rules, and link-graph propagation for everything that no rule fits.
 
 Hosts are linked by the hyperlinks of their pages and to their parent domain (both ways, so a host without any
-absolute link still belongs somewhere).  Trust starts at hosts whose pages the rules allow and follows the edges
-(personalised PageRank); distrust starts at hosts whose pages the rules block and follows the edges backwards, to
-those that link there.  A host whose distrust exceeds its trust by ``LEAST`` times the mean mass per host is blocked.
+absolute link still belongs somewhere).  Trust starts at hosts of whose pages the rules allow at least half and follows the
+edges (personalised PageRank); distrust starts at hosts of whose pages the rules block at least half and follows the
+edges backwards, to those that link there.  A host whose distrust exceeds its trust by ``LEAST`` times the mean mass per host is blocked.
 
 Masses are whole numbers (10**12 in all) and edge shares are in millionths, so sums don't depend on their order and
 every engine gets the same verdicts.  Everything is DataFrame expressions; rules and scores are joined per host, and
@@ -25,7 +25,7 @@ MASS = 10 ** 12
 SHARE = 10 ** 6
 DAMPING = 85  # of 100
 ROUNDS = 8
-LEAST = (3, 2)  # numerator and denominator: one and a half times the mean mass
+LEAST = (3, 10)  # of the mean mass per host; what a seed of mean size keeps for itself is 0.15 of it
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -102,7 +102,7 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
         .join(ruled.select("host", "n"), "host"))
     shares = stored(evidence.select("host", F.explode(F.array(
         F.struct(F.lit("t").alias("kind"), F.expr(f"good * {SHARE} div n").alias("w")),
-        F.struct(F.lit("d").alias("kind"), F.expr(f"bad * {SHARE} div n").alias("w")))).alias("x")).select("host", "x.*").where("w > 0"), "seeds")
+        F.struct(F.lit("d").alias("kind"), F.expr(f"bad * {SHARE} div n").alias("w")))).alias("x")).select("host", "x.*").where(f"w * 2 >= {SHARE}"), "seeds")
     total = shares.groupBy("kind").agg(F.sum("w").alias("of"))  # two rows
     seeds = shares.join(F.broadcast(total), "kind").select("host", "kind", F.expr(f"cast(floor(cast(w as decimal(20,0)) * {MASS} / of) as bigint)").alias("s"))
     mass = propagate(edges, seeds)
