@@ -2,9 +2,8 @@
 sanity-check fan-out and traffic per mirror / class.
 
 Static rule tables compile to CASE chains (O4).  Rule tables that arrive as
-data use ``classify_by_table``: the rules are joined to the *distinct* keys
-only (after a map-side distinct), the first match is picked with ``min_by``,
-and the result joins back on the key with an equi-join.
+data use ``classify_by_table``: the ordered rules travel as one array and each
+row takes the first that matches, in the scan.
 """
 
 from __future__ import annotations
@@ -134,23 +133,11 @@ def sanity_checks(targets: DataFrame) -> DataFrame:
         "check_name", F.concat(F.lit("MonitorProjectFor"), F.col("name"), F.col("image")))
 
 
-# Largest rule table joined by broadcast (a regex join has no equi-key, so the
-# only scalable plan is a broadcast of the rules against the distinct keys).
-MAX_BROADCAST_RULES = 10_000
-
-
-def classify_by_table(df: DataFrame, key: str, rules: DataFrame, out: str,
-                      max_rules: int = MAX_BROADCAST_RULES) -> DataFrame:
-    """First-match classification with the rule table given as data
-    (columns ``priority, pattern, value``): rules x distinct keys, min_by on
-    priority, equi-join back.  The rule table's size is checked before it is
-    broadcast; beyond the bound this raises instead of planning a cross
-    product.  The key side is deduplicated before the regex join."""
-    n_rules = rules.count()
-    if n_rules > max_rules:
-        raise ValueError(f"rule table has {n_rules} rules (> {max_rules}); compile it to a CASE chain "
-                         "per rule family or raise max_rules after checking executor memory")
-    keys = df.select(key).distinct()
-    matched = (keys.join(F.broadcast(rules), F.expr(f"{key} RLIKE pattern"), "inner")
-               .groupBy(key).agg(F.min_by("value", "priority").alias(out)))
-    return df.join(matched, key, "left")
+def classify_by_table(df: DataFrame, key: str, rules: DataFrame, out: str) -> DataFrame:
+    """First-match classification with the rule table given as data (columns ``priority, pattern, value``).
+
+    The rules, ordered, travel as one array (a scalar subquery); each row takes the first that matches.  Map-only: the
+    log is scanned once, nothing is joined or shuffled, and any number of rules works."""
+    ordered = rules.agg(F.sort_array(F.collect_list(F.struct("priority", "pattern", "value"))).alias("r")).scalar()
+    fits = F.filter("__rules", lambda r: F.rlike(F.col(key), r["pattern"]))
+    return df.withColumn("__rules", ordered).withColumn(out, F.try_element_at(fits, F.lit(1))["value"]).drop("__rules")

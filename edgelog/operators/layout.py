@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgelog.functions.timekeys import compaction_hour, hour_key, next_hour
-from edgelog.schema import ALL_COLUMNS, PARTITION_KEYS
-from edgelog.sources.accesslog import read_hot
+from edgelog.schema import ALL_COLUMNS, FULL_SCHEMA, PARTITION_KEYS
+from edgelog.session import path_exists
+from edgelog.sources.accesslog import file_name, read_hot
 
 # File-name date pattern (year, month, day, hour groups) and basename pattern.
 DATE_PATTERN = r"[^\d](\d{4})-(\d{2})-(\d{2})-(\d{2})[^\d]"
@@ -50,9 +51,17 @@ def list_files(spark: SparkSession, root: str, relative_to: str | None = None) -
     reading file contents (binaryFile only reads bytes when ``content`` is selected)."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
           .select("path", "length", "modificationTime"))
-    base = (relative_to or root).rstrip("/")
     # keys relative to the bucket root, as an object store names them
-    return df.withColumn("key", F.regexp_replace(F.col("path"), r"^.*?" + _re_escape(_strip_scheme(base)) + "/", ""))
+    return df.withColumn("key", object_key(F.col("path"), relative_to or root, encoded=False))
+
+
+def object_key(path: Column, root: str, encoded: bool = True) -> Column:
+    """Key of a file under ``root``: its path without scheme and authority, less exactly the root.  File paths of
+    ``_metadata`` are URI-encoded; a plus sign in them stands for itself."""
+    if encoded:
+        path = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    plain = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return plain.substr(F.lit(len(_strip_scheme(root)) + 2), F.length(plain))
 
 
 def route_files(spark: SparkSession, lake_root: str, source: str = "new", target: str = "hot",
@@ -67,7 +76,7 @@ def route_files(spark: SparkSession, lake_root: str, source: str = "new", target
     src = f"{lake_root}/{source}"
     lines = (spark.read.option("recursiveFileLookup", "true").text(src)
              .select("value", F.col("_metadata.file_path").alias("path")))
-    keyed = lines.withColumn("key", F.regexp_replace("path", r"^.*?" + _re_escape(_strip_scheme(lake_root)) + "/", ""))
+    keyed = lines.withColumn("key", object_key(F.col("path"), lake_root))
     routed = route_keys(keyed).where("routed")
     (routed.select("value", *PARTITION_KEYS)
      .write.mode(mode).option("partitionOverwriteMode", "static").partitionBy(*PARTITION_KEYS)
@@ -101,55 +110,51 @@ def hour_predicate(parts: dict[str, str]) -> Column:
     return cond
 
 
-def compact(spark: SparkSession, hot_root: str, cold_root: str, where: Column, mode: str = "overwrite",
-            ledger_root: str | None = None, folders: list[str] | None = None) -> None:
-    """Rewrite the selected hours of the gzip tier as SNAPPY Parquet.
+def snapshot(spark: SparkSession, hot_root: str, folders: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, files) of the hot tier from ONE listing: the reader lists when it is created and then reads just those
+    files, so ``files`` (file, year, month, day, hour) names exactly what ``rows`` holds, whatever lands meanwhile.
 
-    ``mode='overwrite'`` with dynamic partition overwrite replaces exactly the
-    hours present in the input (idempotent); ``mode='append'`` is the parity
-    option (a re-run duplicates rows).  ``rebalance`` lets AQE split a hot hour
-    over several tasks and merge small ones, so output files have an even size.
-    """
-    rows = read_hot(spark, hot_root).where(where).hint("rebalance", *PARTITION_KEYS)
-    (rows.select(*ALL_COLUMNS).write.mode(mode).option("partitionOverwriteMode", "dynamic")
-     .option("compression", "snappy").partitionBy(*PARTITION_KEYS).parquet(cold_root))
-    if ledger_root is not None:
-        compaction_ledger(spark, hot_root, where, folders).write.mode("overwrite") \
-            .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION_KEYS).parquet(ledger_root)
+    With ``folders`` only those hours are listed.  A tier fed by the file stream is read through its sink's commit log,
+    which a folder alone would bypass."""
+    if path_exists(spark, f"{hot_root}/_spark_metadata"):
+        folders = None
+    paths = [f for f in (folders if folders is not None else [hot_root]) if path_exists(spark, f)]
+    if paths:
+        rows = read_hot(spark, paths, base=hot_root)
+        names = rows.inputFiles()  # file names, which the reader's index holds on the driver anyway
+    else:
+        rows, names = spark.createDataFrame([], FULL_SCHEMA).select(*ALL_COLUMNS), []
+    files = spark.createDataFrame([(f,) for f in names], "file string")
+    files = files.select(file_name(F.col("file")).alias("file"))
+    return rows, files.select("file", *[F.regexp_extract("file", f"/{k}=([^/]+)/", 1).alias(k) for k in PARTITION_KEYS])
 
 
-def day_folders(hot_root: str, start: dt.datetime, end: dt.datetime) -> list[str]:
-    """The ``year=/month=/day=`` folders covering [start, end] (a handful of
-    path strings per lookback window - metadata, not data)."""
-    out, d = [], dt.datetime(start.year, start.month, start.day)
-    while d <= end:
-        out.append(f"{hot_root}/year={d:%Y}/month={d:%m}/day={d:%d}")
-        d += dt.timedelta(days=1)
-    return out
+def _write_hours(rows: DataFrame, root: str, mode: str = "overwrite") -> None:
+    """``rebalance`` lets AQE split a hot hour over several tasks and merge small ones, so files have an even size."""
+    (rows.hint("rebalance", *PARTITION_KEYS).select(*ALL_COLUMNS).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .option("compression", "snappy").partitionBy(*PARTITION_KEYS).parquet(root))
 
 
-def hot_listing(spark: SparkSession, hot_root: str, folders: list[str] | None = None) -> DataFrame:
-    """(file, modificationTime, year, month, day, hour) of hot-tier files, of
-    the whole tier or only under ``folders`` (so a check over the last days
-    does not list years of hours).
+def _write_ledger(files: DataFrame, root: str) -> None:
+    (files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION_KEYS).parquet(root))
 
-    Partition keys are taken from the path as strings, independent of the
-    session's partition type inference (which would turn ``01`` into 1)."""
-    from edgelog.session import path_exists
-    paths = [f for f in (folders or [hot_root]) if path_exists(spark, f)]
-    if not paths:
-        return spark.createDataFrame([], "file string, modificationTime timestamp, year string, month string, "
-                                         "day string, hour string")
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.gz").load(paths))
-    return files.select(F.col("path").alias("file"), "modificationTime",
-                        *[F.regexp_extract("path", f"/{k}=([^/]+)/", 1).alias(k) for k in PARTITION_KEYS])
 
+def hour_folder(hot_root: str, p: dict[str, str]) -> str:
+    return f"{hot_root}/" + "/".join(f"{k}={p[k]}" for k in PARTITION_KEYS)
 
-def compaction_ledger(spark: SparkSession, hot_root: str, where: Column,
-                      folders: list[str] | None = None) -> DataFrame:
-    """(hour, source file) of every hot file a compaction consumed (T3 ledger)."""
-    return hot_listing(spark, hot_root, folders).where(where)
+
+def compact(spark: SparkSession, hot_root: str, cold_root: str, where: Column, mode: str = "overwrite",
+            ledger_root: str | None = None, folders: list[str] | None = None) -> None:
+    """Rewrite the selected hours of the gzip tier as SNAPPY Parquet.
+
+    ``mode='overwrite'`` with dynamic partition overwrite replaces exactly the hours present in the input
+    (idempotent); ``mode='append'`` is the parity option (a re-run duplicates rows).  The ledger of consumed files
+    comes from the listing that was read, and is published after the data: a file that lands during the run is in
+    neither and shows up as late."""
+    rows, files = snapshot(spark, hot_root, folders)
+    _write_hours(rows.where(where), cold_root, mode)
+    if ledger_root is not None:
+        _write_ledger(files.where(where), ledger_root)
 
 
 def compact_hour(spark: SparkSession, hot_root: str, cold_root: str, now: dt.datetime,
@@ -158,8 +163,8 @@ def compact_hour(spark: SparkSession, hot_root: str, cold_root: str, now: dt.dat
     """D4 as scheduled: the hour two hours before ``now``.  With ``cold_table``
     the new hour is added to the catalog and the table's file cache refreshed."""
     p = compaction_hour(now)
-    folder = f"{hot_root}/year={p['year']}/month={p['month']}/day={p['day']}/hour={p['hour']}"
-    compact(spark, hot_root, cold_root, hour_predicate(p), mode=mode, ledger_root=ledger_root, folders=[folder])
+    compact(spark, hot_root, cold_root, hour_predicate(p), mode=mode, ledger_root=ledger_root,
+            folders=[hour_folder(hot_root, p)])
     if cold_table is not None:
         spark.sql(f"ALTER TABLE {cold_table} ADD IF NOT EXISTS PARTITION "
                   "(year = :year, month = :month, day = :day, hour = :hour)", args=p)
@@ -184,42 +189,26 @@ def _strip_scheme(path: str) -> str:
     return path.rstrip("/")
 
 
-def _re_escape(s: str) -> str:
-    import re
-    return re.escape(s)
-
-
-def late_files(spark: SparkSession, hot_root: str, ledger_root: str, cutoff: str,
-               lookback: dt.timedelta | None = dt.timedelta(hours=48)) -> DataFrame:
-    """Hot files of already compacted hours (key < cutoff) that no
-    compaction consumed - they arrived after their hour was compacted and the
-    combined view no longer shows them.  A listing anti-joined with the ledger
-    on the file path (both sides are file metadata, not rows).  Only the days
-    within ``lookback`` before the cut-off are listed (None = the whole tier)."""
-    folders = None
-    if lookback is not None:
-        end = dt.datetime.strptime(cutoff, "%Y%m%d%H")
-        folders = day_folders(hot_root, end - lookback, end)
-    hot = hot_listing(spark, hot_root, folders).where(hour_key() < F.lit(cutoff))
-    if lookback is not None:
-        hot = hot.where(hour_key() >= F.lit((end - lookback).strftime("%Y%m%d%H")))
-    hot = hot.select("file", *PARTITION_KEYS)
-    ledger = spark.read.parquet(ledger_root).select("file")
-    return hot.join(ledger, "file", "left_anti")
+def late_files(spark: SparkSession, hot_root: str, ledger_root: str, cutoff: str) -> DataFrame:
+    """Hot files of already compacted hours (key < cutoff) that no compaction consumed - they arrived after their
+    hour was compacted and the combined view no longer shows them.  A listing anti-joined with the ledger on the file
+    path; every hour counts, however old, and every file that the tier's reader would read."""
+    _, files = snapshot(spark, hot_root)
+    early = hour_key() < F.lit(cutoff)
+    ledger = spark.read.schema("file string, year string, month string, day string, hour string").parquet(ledger_root)
+    return files.where(early).join(ledger.where(early).select("file"), "file", "left_anti")
 
 
 def recompact_hours(spark: SparkSession, hot_root: str, cold_root: str, hours: DataFrame,
-                    ledger_root: str | None = None) -> None:
-    """Re-run D4 (dynamic overwrite) for the hours listed in ``hours``.
-
-    The hours stay a DataFrame: a left-semi join on the partition keys, which
-    dynamic partition pruning turns into a runtime partition filter on the hot
-    scan - nothing is collected to the driver."""
-    keys = hours.select(*PARTITION_KEYS).distinct()
-    rows = read_hot(spark, hot_root).join(keys, PARTITION_KEYS, "left_semi").hint("rebalance", *PARTITION_KEYS)
-    (rows.select(*ALL_COLUMNS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .option("compression", "snappy").partitionBy(*PARTITION_KEYS).parquet(cold_root))
-    if ledger_root is not None:
-        files = hot_listing(spark, hot_root).join(keys, PARTITION_KEYS, "left_semi")
-        files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy(*PARTITION_KEYS).parquet(ledger_root)
+                    ledger_root: str | None = None) -> list[dict[str, str]]:
+    """Re-run D4 (dynamic overwrite) for the hours listed in ``hours``; returns them.
+
+    The distinct hours (a handful of calendar entries) become folders, so only those are listed and read."""
+    wanted = [r.asDict() for r in hours.select(*PARTITION_KEYS).distinct().collect()]
+    if wanted:
+        rows, files = snapshot(spark, hot_root, [hour_folder(hot_root, p) for p in wanted])
+        keys = spark.createDataFrame([tuple(p[k] for k in PARTITION_KEYS) for p in wanted], ", ".join(f"{k} string" for k in PARTITION_KEYS))
+        _write_hours(rows.join(F.broadcast(keys), PARTITION_KEYS, "left_semi"), cold_root)
+        if ledger_root is not None:
+            _write_ledger(files.join(F.broadcast(keys), PARTITION_KEYS, "left_semi"), ledger_root)
+    return wanted

@@ -52,8 +52,13 @@ def _e(path: str) -> Column:
 
 # ---- rules: condition + projection over the parsed event ----------------------
 
+def build_cond() -> Column:
+    """A build's change of state (phase changes have another detail type)."""
+    return (_e("source") == "aws.codebuild") & (_e("detail-type") == "CodeBuild Build State Change")
+
+
 def failed_check_cond() -> Column:
-    return (_e("source") == "aws.codebuild") & (_e("detail.build-status") == "FAILED")
+    return build_cond() & (_e("detail.build-status") == "FAILED")
 
 
 def failed_check_fields() -> list[Column]:
@@ -86,7 +91,8 @@ def scale_text() -> Column:
 
 
 def cert_cond() -> Column:
-    return (_e("source") == "aws.codebuild") & (_e("detail.project-name") == CERT_PROJECT)
+    return (build_cond() & (_e("detail.project-name") == CERT_PROJECT)
+            & _e("detail.build-status").isin("FAILED", "SUCCEEDED"))
 
 
 def cert_failure_fields(domain: str) -> list[Column]:
@@ -211,6 +217,10 @@ def shape_notifications(messages: DataFrame, region: str = "us-east-1", channel:
     def g(k: str) -> Column:
         return F.col(f"_m.`{k}`")
 
+    def t(k: str) -> Column:
+        """A field inside a text: an absent one prints as ``None``."""
+        return F.coalesce(g(k), F.lit("None"))
+
     title = g("AlarmName")
     mtype = g("type")
     is_alarm = title.isNotNull()
@@ -223,30 +233,30 @@ def shape_notifications(messages: DataFrame, region: str = "us-east-1", channel:
     host = "amazonaws.cn" if region.startswith("cn-") else "aws.amazon.com"   # N6a
     log_url = F.concat(F.lit(f"https://{region}.console.{host}/cloudwatch/home?region={region}#alarmsV2:alarm/"),
                        title, F.lit("?~(alarmStateFilter~'ALARM)"))
-    alarm_text = F.format_string("%s\n%s\nAccount: %s\n%s\n<%s|AlarmState>", title, g("AlarmDescription"),
-                                 g("AWSAccountId"), g("NewStateReason"), log_url)
+    alarm_text = F.format_string("%s\n%s\nAccount: %s\n%s\n<%s|AlarmState>", title, t("AlarmDescription"),
+                                 t("AWSAccountId"), t("NewStateReason"), log_url)
     sanity_text = F.format_string(
         "Sanity testing for '%s' '%s' failed!\n%s got %s\nAccount: %s\nCheck build %s for detail info.",
-        g("sanityTarget"), g("sanityProjectImage"), g("sanityProjectName"), g("sanityBuildStatus"),
-        g("account"), g("sanityBuildId"))
+        t("sanityTarget"), t("sanityProjectImage"), t("sanityProjectName"), t("sanityBuildStatus"),
+        t("account"), t("sanityBuildId"))
     approval_text = F.format_string(
         site + " pipeline '%s' is going to next stage '%s' on commit '%s'.\n\n"
         "Check stage '%s' via https://%s,\n\n"
         "NOTE: below actions are one-time actions and the operation can NOT be revoked. \n"
         "Also below actions will be expired in %s minutes.\n\n"
         "<%s|Click to Approve>\n\n<%s|Click to Reject>\n",
-        g("stateMachineName"), g("nextStage"), g("commit"), g("stage"), g("domain"), g("timeout"),
-        g("approveAction"), g("rejectAction"))
+        t("stateMachineName"), t("nextStage"), t("commit"), t("stage"), t("domain"), t("timeout"),
+        t("approveAction"), t("rejectAction"))
     result = g("result")
     timed_out = F.from_json(g("output"), "Error string").getField("Error") == "States.Timeout"
-    approval_timeout = ~result.isin("FAILED", "TIMED_OUT", "ABORTED") & F.coalesce(timed_out, F.lit(False))
+    approval_timeout = F.coalesce(~result.isin("FAILED", "TIMED_OUT", "ABORTED"), F.lit(True)) & F.coalesce(timed_out, F.lit(False))
     emoji = (F.when(result == "FAILED", ":thumbsdown:")                              # N6b
               .when(result.isin("TIMED_OUT", "ABORTED"), ":point_right:")
               .when(approval_timeout, ":open_mouth:").otherwise(":clap:"))
     commit = F.coalesce(F.from_json(g("input"), "commit string").getField("commit"), F.lit("unknown"))  # N6c
     outcome_text = F.format_string(site + " pipeline execution '%s' on commit '%s' is %s in account %s.\n",
-                                   g("execution"), commit,
-                                   F.when(approval_timeout, "approval timeout").otherwise(result), g("account"))
+                                   t("execution"), commit,
+                                   F.when(approval_timeout, "approval timeout").otherwise(t("result")), t("account"))
     k = F.col("kind")
     return messages.withColumn("_m", parsed).withColumn("kind", kind).select(
         "msg_id", "kind",

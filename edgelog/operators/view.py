@@ -35,18 +35,15 @@ def combine_tiers(hot: DataFrame | None, cold: DataFrame | None, now: dt.datetim
     cut = F.lit(view_cutoff(now))
     parts = []
     if hot is not None:
-        parts.append(hot.where(hour_key() >= cut))
+        parts.append(hot.where(hour_key() >= cut).withColumn("tier", F.lit("hot")))
     if cold is not None:
-        parts.append(cold.where(hour_key() < cut))
+        parts.append(cold.where(hour_key() < cut).withColumn("tier", F.lit("cold")))
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p)
     df = df.withColumnRenamed("result_id", "request_id")
-    df = df.select(*VIEW_COLUMNS, *(["file"] if with_file else []))
+    df = df.select(*VIEW_COLUMNS, *(["file", "tier"] if with_file else []))
     if name:
         df.createOrReplaceTempView(name)
     return df
 
-
-def tier_of(file_col: str = "file", hot_marker: str = "/hot/") -> F.Column:
-    return F.when(F.instr(F.col(file_col), hot_marker) > 0, F.lit("hot")).otherwise(F.lit("cold"))

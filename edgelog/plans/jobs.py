@@ -48,9 +48,10 @@ def repair_job(spark: SparkSession, lake: Lake) -> None:
     if not path_exists(spark, lake.ledger):
         return
     late = late_files(spark, lake.hot, lake.ledger, view_cutoff(lake.now))
-    recompact_hours(spark, lake.hot, lake.cold, late, ledger_root=lake.ledger)
+    repaired = recompact_hours(spark, lake.hot, lake.cold, late, ledger_root=lake.ledger)
     _, cold = lake.tables(spark)
-    spark.sql(f"ALTER TABLE {cold} RECOVER PARTITIONS")
+    for p in repaired:
+        spark.sql(f"ALTER TABLE {cold} ADD IF NOT EXISTS PARTITION (year = :year, month = :month, day = :day, hour = :hour)", args=p)
     spark.catalog.refreshTable(cold)
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from edgelog.functions.timekeys import view_cutoff
 from edgelog.operators.layout import compact_before, route_files
 from edgelog.operators.view import combine_tiers, combined_view
-from edgelog.session import has_marker, path_exists, work_path, write_marker
+from edgelog.session import has_marker, input_tag, path_exists, work_path, write_marker
 from edgelog.sources.accesslog import read_hot, read_table, register_tier
 from edgelog.sources.arrivals import stage_arrivals
 from edgelog.sources.fixture import access_log
@@ -26,7 +25,7 @@ from edgelog.sources.fixture import access_log
 # Fixed value: the wall clock the lake and its view are evaluated at.  Hours
 # from 2024-01-30 21:00 on stay in the gzip tier, earlier hours are compacted.
 LAKE_NOW = dt.datetime(2024, 1, 30, 22, 20)
-LAKE_VERSION = "v4"
+LAKE_VERSION = "v6"
 
 
 class Lake:
@@ -74,6 +73,8 @@ class Lake:
         """U1 through the catalog tables: both cut-off predicates and the query's
         year/month filters prune partitions in the catalog."""
         hot, cold = self.tables(spark)
+        if hot:
+            spark.catalog.refreshTable(hot)  # files that landed in a registered hour since; the cold tier keeps its cache
         hot_df = read_table(spark, hot, with_file) if hot else read_hot(spark, self.hot, with_file)
         return combine_tiers(hot_df, read_table(spark, cold, with_file), self.now, with_file=with_file)
 
@@ -93,7 +94,7 @@ def build_lock(root: str) -> threading.Lock:
 
 
 def lake_for(spark: SparkSession, sf_dir: str, now: dt.datetime = LAKE_NOW) -> Lake:
-    tag = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{now.isoformat()}|{LAKE_VERSION}".encode()).hexdigest()[:16]
+    tag = input_tag(spark, sf_dir, now.isoformat(), LAKE_VERSION)
     lake = Lake(work_path(spark, "lake", tag), now)
     with build_lock(lake.root):
         return _build(spark, sf_dir, lake)

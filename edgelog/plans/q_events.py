@@ -11,7 +11,6 @@ from edgelog.operators.metrics import bucket_start
 from edgelog.plans.registry import register
 from edgelog.sources.catalog import PROD_SANITY_TARGETS, sanity_targets
 from edgelog.sources.eventsrc import ACCOUNT, envelopes, messages_of, raw_events
-from edgelog.session import spread
 from edgelog.sources.tables import table
 
 CHECKS = [(name, repo, image, f"MonitorProjectFor{name}{image}")
@@ -24,7 +23,7 @@ ALERTS_SQL = f"""WITH alerts AS (
          c.check_name AS "sanityProjectName", 'FAILED' AS "sanityBuildStatus", '{ACCOUNT}' AS account,
          'arn:aws:codebuild:us-east-1:{ACCOUNT}:build/' || c.check_name || ':' || e.event_id AS "sanityBuildId", c.repo
   FROM events e JOIN {CHECKS_SQL} ON e.event_id % {len(CHECKS)} = c.idx
-  WHERE e.event_type = 'error' AND e.event_id % 3 = 0)
+  WHERE e.event_type = 'error' AND e.event_id % 3 = 0 AND e.event_id % 16 <> 9)
 """
 
 
@@ -93,7 +92,7 @@ SELECT event_id, 'certificate' AS type, 'mirrors.example.com' AS "certificateDom
   CASE WHEN event_id % 2 = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS "certificateBuildStatus",
   'arn:aws:codebuild:us-east-1:{ACCOUNT}:build/CertificateRenewal:' || event_id AS "certificateBuildId",
   '{ACCOUNT}' AS account
-FROM events WHERE event_type = 'purchase'""")
+FROM events WHERE event_type = 'purchase' AND event_id % 8 < 6 AND event_id % 16 NOT IN (4, 5)""")
 def cert_events(spark, sf):
     """Certificate build events with array-indexed JSON paths."""
     return N.cert_events(_raw(spark, sf))
@@ -103,16 +102,17 @@ def topic_messages(spark, sf):
     """Everything published to the notification topic, as delivered
     envelopes unwrapped again (S7)."""
     ev = table(spark, sf, "events")
-    raw = raw_events(spread(ev))
+    raw = raw_events(ev)
     counts = (ev.groupBy(F.col("event_type").alias("metric"), bucket_start(F.col("ts"), "1 hour").alias("bucket"))
               .agg(F.count("*").alias("value")))
-    trans = alarm_transitions(counts, ["metric"], AlarmSpec("hourly-events", "1 hour", ">=", 5, 3, "BREACHING"))
+    end = ev.agg(F.max("ts").alias("ts")).select(bucket_start(F.col("ts"), "1 hour")).scalar()  # the evaluation clock: one narrow column
+    trans = alarm_transitions(counts, ["metric"], AlarmSpec("hourly-events", "1 hour", ">=", 5, 3, "BREACHING"), end)
     alarms = N.alarm_messages(trans, F.concat(F.lit("HourlyEvents-"), F.col("metric")), "Hourly event volume", ACCOUNT)
     msgs = alarms.unionByName(N.publish(raw, sanity_targets(spark)))
     return messages_of(envelopes(msgs))
 
 
-SUMMARY_SQL = ALERTS_SQL.replace("WITH alerts AS", "WITH alerts AS", 1) + f""",
+SUMMARY_SQL = ALERTS_SQL + f""",
 hourly AS (SELECT event_type AS metric, date_trunc('hour', ts) AS bucket, count(*) AS value FROM events GROUP BY ALL),
 spans AS (SELECT metric, min(bucket) AS first FROM hourly GROUP BY metric),
 grid AS (SELECT metric, unnest(generate_series(first, (SELECT max(bucket) FROM hourly), INTERVAL 1 HOUR)) AS bucket FROM spans),
@@ -131,7 +131,7 @@ kinds AS (
   UNION ALL SELECT 'pipeline', 'Pipeline', CASE WHEN result = 'FAILED' THEN ':thumbsdown:'
       WHEN result IN ('TIMED_OUT', 'ABORTED') THEN ':point_right:' WHEN timed_out THEN ':open_mouth:' ELSE ':clap:' END
     FROM execs WHERE result <> 'RUNNING'
-  UNION ALL SELECT 'dead-letter', NULL, NULL FROM events\n    WHERE event_type = 'click' OR (event_type = 'purchase' AND event_id % 2 = 0))
+  UNION ALL SELECT 'dead-letter', NULL, NULL FROM events\n    WHERE event_type = 'click' OR (event_type = 'purchase' AND event_id % 2 = 0 AND event_id % 8 < 6 AND event_id % 16 NOT IN (4, 5)))
 SELECT kind, username, icon_emoji, count(*) AS messages FROM kinds GROUP BY ALL"""
 
 
@@ -173,7 +173,7 @@ SELECT 'sanity-' || event_id, 'repo-sanity', 'mirrors', 'Repo Sanity Testing',
 FROM alerts
 UNION ALL
 SELECT 'approval-' || event_id, 'approval', 'mirrors', 'Pipeline',
-  {_sql_text("Mirrors pipeline 'DeployPipeline' is going to next stage 'prod' on commit '{coalesce(commit_id, 'null')}'.\n\nCheck stage 'uat' via https://mirrors.example.com,\n\nNOTE: below actions are one-time actions and the operation can NOT be revoked. \nAlso below actions will be expired in 60 minutes.\n\n<https://mirrors.example.com/approve?execution=exec-{event_id}|Click to Approve>\n\n<https://mirrors.example.com/reject?execution=exec-{event_id}|Click to Reject>\n")},
+  {_sql_text("Mirrors pipeline 'DeployPipeline' is going to next stage 'prod' on commit '{coalesce(commit_id, 'None')}'.\n\nCheck stage 'uat' via https://mirrors.example.com,\n\nNOTE: below actions are one-time actions and the operation can NOT be revoked. \nAlso below actions will be expired in 60 minutes.\n\n<https://mirrors.example.com/approve?execution=exec-{event_id}|Click to Approve>\n\n<https://mirrors.example.com/reject?execution=exec-{event_id}|Click to Reject>\n")},
   ':question:'
 FROM execs2 WHERE result = 'RUNNING'
 UNION ALL
@@ -190,6 +190,14 @@ def notifications(spark, sf):
     return N.notifications(N.shape_notifications(topic_messages(spark, sf)))
 
 
+@register("notifications_cn_region", NOTIFICATIONS_SQL.replace(
+    "https://us-east-1.console.aws.amazon.com/cloudwatch/home?region=us-east-1",
+    "https://cn-north-1.console.amazonaws.cn/cloudwatch/home?region=cn-north-1"))
+def notifications_cn_region(spark, sf):
+    """The same records from a China region, whose console has another host."""
+    return N.notifications(N.shape_notifications(topic_messages(spark, sf), region="cn-north-1"))
+
+
 DEAD_LETTERS_SQL = f"""
 SELECT 'scale-' || event_id AS msg_id, 'Service service/mirrors/content-server is scaled from ' || (event_id % 16 + 1)
        || ' to ' || ((event_id + user_id) % 16 + 1) AS message
@@ -199,7 +207,7 @@ SELECT 'cert-' || event_id, '{{"type":"certificate","certificateDomain":"mirrors
        || '"certificateProjectName":"CertificateRenewal","certificateBuildStatus":"FAILED",'
        || '"certificateBuildId":"arn:aws:codebuild:us-east-1:{ACCOUNT}:build/CertificateRenewal:' || event_id
        || '","account":"{ACCOUNT}"}}'
-FROM events WHERE event_type = 'purchase' AND event_id % 2 = 0"""
+FROM events WHERE event_type = 'purchase' AND event_id % 2 = 0 AND event_id % 8 < 6 AND event_id % 16 NOT IN (4, 5)"""
 
 
 @register("dead_letters", DEAD_LETTERS_SQL)

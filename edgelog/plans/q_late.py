@@ -6,9 +6,6 @@ the lake; the late ones are found and re-compacted."""
 
 from __future__ import annotations
 
-import hashlib
-import os
-
 from pyspark.sql import functions as F
 
 from edgelog.functions.timekeys import view_cutoff
@@ -16,7 +13,7 @@ from edgelog.operators.layout import compact_before, late_files as find_late, re
 from edgelog.plans.lake import LAKE_NOW, Lake, build_lock
 from edgelog.plans.oracle import LOG_CTE
 from edgelog.plans.registry import register
-from edgelog.session import has_marker, work_path, write_marker
+from edgelog.session import has_marker, input_tag, work_path, write_marker
 from edgelog.sources.accesslog import read_cold, read_hot
 from edgelog.sources.arrivals import stage_arrivals
 from edgelog.sources.fixture import access_log
@@ -26,7 +23,7 @@ CUT = view_cutoff(LAKE_NOW)
 
 
 def late_lake(spark, sf):
-    tag = hashlib.sha1(f"{os.path.abspath(sf)}|late|v4".encode()).hexdigest()[:16]
+    tag = input_tag(spark, sf, "late", "v6")
     lake = Lake(work_path(spark, "late_lake", tag), LAKE_NOW)
     with build_lock(lake.root):
         return _build_late(spark, sf, lake)
@@ -54,11 +51,9 @@ FROM log WHERE location = '{LATE_EDGE}' AND year||month||day||hour < '{CUT}' GRO
 def late_files(spark, sf):
     """Per compacted hour, the rows in late files (what the view misses).
     Rows, not files: how many physical files a delivery became is layout.
-    The whole month is checked here (lookback None); a scheduled check uses
-    the default 48-hour lookback.  The semi-join on the late hours lets
-    dynamic partition pruning restrict the hot scan to those hours."""
+    The semi-join on the late hours lets dynamic partition pruning restrict the hot scan to those hours."""
     lake = late_lake(spark, sf)
-    late = find_late(spark, lake.hot, lake.ledger, CUT, lookback=None)
+    late = find_late(spark, lake.hot, lake.ledger, CUT)
     keys = ["year", "month", "day", "hour"]
     rows = (read_hot(spark, lake.hot, with_file=True).join(late.select(*keys).distinct(), keys, "left_semi")
             .join(late.select("file"), "file", "left_semi"))
@@ -76,7 +71,7 @@ def late_files_recompacted(spark, sf):
     if not has_marker(spark, target):
         read_cold(spark, lake.cold).write.mode("overwrite").option("partitionOverwriteMode", "static") \
             .partitionBy("year", "month", "day", "hour").parquet(target)
-        late = find_late(spark, lake.hot, lake.ledger, CUT, lookback=None)
+        late = find_late(spark, lake.hot, lake.ledger, CUT)
         recompact_hours(spark, lake.hot, target, late)
         write_marker(spark, target)
     return read_cold(spark, target).groupBy("year", "month", "day", "hour").agg(F.count("*").alias("rows_in_cold"))

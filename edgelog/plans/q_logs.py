@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
-
 from pyspark.sql import functions as F
 
 from edgelog.operators import stitch as L
 from edgelog.plans.lake import build_lock
 from edgelog.plans.registry import register
-from edgelog.session import has_marker, work_path, write_marker
+from edgelog.session import has_marker, input_tag, work_path, write_marker
 from edgelog.sources.catalog import mirror_catalog
 from edgelog.sources.fixture import access_log
 from edgelog.sources.tables import table
@@ -18,8 +15,7 @@ from edgelog.sources.textlogs import read_text_logs, write_sync_logs
 
 
 def _logs_root(spark, sf, kind):
-    tag = hashlib.sha1(f"{os.path.abspath(sf)}|{kind}|v3".encode()).hexdigest()[:16]
-    return work_path(spark, "textlogs", tag)
+    return work_path(spark, "textlogs", input_tag(spark, sf, kind, "v4"))
 
 
 def _sync_logs(spark, sf):

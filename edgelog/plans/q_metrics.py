@@ -120,18 +120,23 @@ IGNORE_SQL = ALARM_SQL.format(
            "AND CURRENT ROW), 'OK') AS state FROM evald")
 
 
+def _clock(spark, sf, period):
+    """The evaluation clock of the fixture: the period of the last event (one narrow column, not the samples again)."""
+    return table(spark, sf, "events").agg(F.max("ts").alias("ts")).select(M.bucket_start(F.col("ts"), period)).scalar()
+
+
 @register("alarm_transitions_breaching", BREACHING_SQL)
 def alarm_transitions_breaching(spark, sf):
     """W1+W2+W3: hourly count per event type >= 5 (missing = breach), 3 of 3."""
     spec = AL.AlarmSpec("hourly-events", "1 hour", ">=", 5, 3, "BREACHING")
-    return AL.alarm_transitions(_hourly_counts(spark, sf), ["metric"], spec)
+    return AL.alarm_transitions(_hourly_counts(spark, sf), ["metric"], spec, _clock(spark, sf, "1 hour"))
 
 
 @register("alarm_transitions_ignore", IGNORE_SQL)
 def alarm_transitions_ignore(spark, sf):
     """W1+W2+W3 with the IGNORE policy: threshold 3, 3 of 3."""
     spec = AL.AlarmSpec("hourly-events", "1 hour", ">=", 3, 3, "IGNORE")
-    return AL.alarm_transitions(_hourly_counts(spark, sf), ["metric"], spec)
+    return AL.alarm_transitions(_hourly_counts(spark, sf), ["metric"], spec, _clock(spark, sf, "1 hour"))
 
 
 def _function_alarm_sql(fn, alarm, missing, n, thr):
@@ -175,6 +180,50 @@ def function_error_alarms(spark, sf):
     return out
 
 
+# The six alarms as literal values: name, seconds, comparison, threshold, N, missing data, notify on OK.
+_CATALOG = [("transform-partition-errors", 3600, ">=", 1, 3, "BREACHING", True),
+            ("create-partitions-errors", 3600, ">=", 1, 3, "BREACHING", True),
+            ("move-access-logs-errors", 3600, ">=", 1, 3, "IGNORE", True),
+            ("worker-process-count", 60, "<", 1, 3, "BREACHING", True),
+            ("cert-renew-scheduler-errors", 300, ">=", 1, 1, "IGNORE", False),
+            ("cert-event-errors", 300, ">=", 1, 1, "IGNORE", False)]
+
+
+def _catalog_sql(i, name, seconds, op, threshold, n, missing, notify_ok):
+    breach = f"value {op} {threshold}"
+    if missing == "BREACHING":
+        breach = f"CASE WHEN value IS NULL THEN TRUE ELSE {breach} END"
+        state = f"CASE WHEN breaches = {n} THEN 'ALARM' ELSE 'OK' END"
+    else:
+        state = (f"coalesce(last_value(CASE WHEN present < {n} THEN NULL WHEN breaches = {n} THEN 'ALARM' ELSE 'OK' END "
+                 "IGNORE NULLS) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'OK')")
+    frame = f"OVER (ORDER BY bucket ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    step = f"INTERVAL {seconds} SECOND"
+    return f"""SELECT * FROM (
+  WITH series AS (SELECT time_bucket({step}, ts) AS bucket, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS value
+                  FROM events WHERE event_id % 6 = {i} GROUP BY ALL),
+  filled AS (SELECT bucket, value FROM (SELECT unnest(generate_series((SELECT min(bucket) FROM series),
+               (SELECT time_bucket({step}, max(ts)) FROM events), {step})) AS bucket) LEFT JOIN series USING (bucket)),
+  evald AS (SELECT bucket, value, sum(CAST({breach} AS INT)) {frame} AS breaches, count(value) {frame} AS present FROM filled),
+  stated AS (SELECT bucket, value, {state} AS state FROM evald),
+  trans AS (SELECT bucket, coalesce(lag(state) OVER (ORDER BY bucket), 'OK') AS previous, state, value FROM stated)
+  SELECT '{name}' AS alarm, bucket, previous, state, value FROM trans WHERE state <> previous{'' if notify_ok else " AND state = 'ALARM'"})"""
+
+
+@register("catalog_alarms", "\nUNION ALL\n".join(_catalog_sql(i, *a) for i, a in enumerate(_CATALOG)))
+def catalog_alarms(spark, sf):
+    """W1-W3 for all six alarms of the catalog (``<``, N of 1, ALARM only), each over its own share of the events."""
+    events = table(spark, sf, "events").select("event_id", "ts", "event_type")
+    out = None
+    for i, spec in enumerate(AL.ALARM_CATALOG):
+        series = (events.where(F.col("event_id") % len(AL.ALARM_CATALOG) == i)
+                  .groupBy(F.lit(spec.name).alias("alarm"), M.bucket_start(F.col("ts"), spec.period).alias("bucket"))
+                  .agg(F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("value")))
+        r = AL.alarm_transitions(series, ["alarm"], spec, _clock(spark, sf, spec.period))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 @register("capacity_pressure", LOG_CTE + """
 , per_min AS (
   SELECT "date"||' '||substr("time", 1, 5) AS minute, CAST(sum(bytes) AS BIGINT) AS net_bytes,

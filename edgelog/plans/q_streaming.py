@@ -19,7 +19,9 @@ from edgelog.plans.registry import register
 from edgelog.schema import ALL_COLUMNS
 from edgelog.session import work_path
 from edgelog.sources.accesslog import read_hot
+from edgelog.sources.arrivals import stage_arrivals
 from edgelog.sources.eventsrc import envelopes
+from edgelog.sources.fixture import access_log
 from edgelog.sources.tables import table
 from edgelog.streaming.ingest import start_ingest
 from edgelog.streaming.metrics import start_windowed, windowed_counts
@@ -41,6 +43,31 @@ def stream_ingest(spark, sf):
     return read_hot(spark, f"{run}/hot").select(*ALL_COLUMNS)
 
 
+def _deliver(spark, staged: str, new: str) -> None:
+    """Move staged ``f=<name>/part-*`` files to where a log delivery puts them: flat, one or three folders deep, the
+    delivered name first.  A fixture step over file names; no data passes the driver."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for i, folder in enumerate(sorted(s.getPath().toString() for s in fs.listStatus(path(staged)) if s.isDirectory())):
+        target = f"{new}/" + ("", "a/", "a/b/c/")[i % 3]
+        fs.mkdirs(path(target))
+        for s in fs.listStatus(path(folder)):
+            if not s.getPath().getName().startswith((".", "_")):
+                name = folder.rsplit("f=", 1)[1] + "." + s.getPath().getName()
+                fs.rename(s.getPath(), path(target + name))
+
+
+@register("stream_ingest_flat", LOG_CTE + "SELECT " + DATA_COLS.format(rid="result_id") + " FROM log")
+def stream_ingest_flat(spark, sf):
+    """T1/S3 as an object store delivers: files directly under ``new/`` and one and three folders below."""
+    run = work_path(spark, "stream_flat", uuid.uuid4().hex)
+    stage_arrivals(access_log(spark, sf), f"{run}/staged", mode="overwrite")
+    _deliver(spark, f"{run}/staged", f"{run}/new")
+    _run(start_ingest(spark, run, f"{run}/hot", f"{run}/_checkpoint"))
+    return read_hot(spark, f"{run}/hot").select(*ALL_COLUMNS)
+
+
 @register("stream_metric_1m", """
 SELECT * FROM (
   SELECT date_trunc('minute', ts) AS bucket, event_type AS metric, count(*) AS samples, round(sum(value), 6) AS total

@@ -7,6 +7,7 @@ absent (local tests) do we create one of our own.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -41,11 +42,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Sets our own checkpoint folder only where the session has none (tests).
+    Sets our own checkpoint folder only where a local session has none (tests).
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         path = tempfile.mkdtemp(prefix="edgelog-ckpt-")
         sc.setCheckpointDir(path)
     elif not sc.getCheckpointDir():
@@ -65,6 +68,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
+def path_stamp(spark: SparkSession, path: str) -> str:
+    """Size and time of a file or folder (with its files): changes when the table behind a path does."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = [(s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(hpath)]
+    return str(sorted(parts))
+
+
+def input_tag(spark: SparkSession, sf_dir: str, *names: str) -> str:
+    """Identifier of derived data: the input folder, what its ``events`` and ``part`` hold, and further names."""
+    inputs = [path_stamp(spark, f"{sf_dir.rstrip('/')}/{t}.parquet") for t in ("events", "part")]
+    return hashlib.sha1("|".join([sf_dir.rstrip("/"), *inputs, *names]).encode()).hexdigest()[:16]
+
+
 def mkdirs(spark: SparkSession, path: str) -> None:
     """Create a folder through Hadoop's FileSystem (any FS the cluster uses)."""
     jvm = spark.sparkContext._jvm
@@ -81,14 +99,3 @@ def write_marker(spark: SparkSession, path: str) -> None:
 
 def has_marker(spark: SparkSession, path: str) -> bool:
     return path_exists(spark, f"{path}/_READY")
-
-
-def spread(df, min_partitions: int | None = None):
-    """Round-robin repartition only when ``df`` arrives in fewer partitions
-    than the session can run at once (e.g. one large row group), before
-    expensive per-row work.  Inputs that are already split - every input at
-    cluster scale - pass through untouched, so no shuffle is added there."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)

@@ -7,7 +7,7 @@ columns.  Partition keys are read as STRING (``month=01`` stays ``'01'``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgelog.schema import ALL_COLUMNS, DATA_COLUMNS, FULL_SCHEMA
@@ -24,9 +24,11 @@ HOT_OPTIONS = {
 }
 
 
-def read_hot(spark: SparkSession, root: str, with_file: bool = False) -> DataFrame:
-    """Scan of the gzip TSV tier (gz files are unsplittable: one task per file)."""
-    df = spark.read.schema(FULL_SCHEMA).options(**HOT_OPTIONS).csv(root)
+def read_hot(spark: SparkSession, root: str | list[str], with_file: bool = False, base: str | None = None) -> DataFrame:
+    """Scan of the gzip TSV tier (gz files are unsplittable: one task per file).  ``root`` may be some hour folders
+    of the tier ``base``."""
+    reader = spark.read.schema(FULL_SCHEMA).options(**HOT_OPTIONS)
+    df = (reader.option("basePath", base) if base else reader).csv(root)
     return _with_file(df, with_file)
 
 
@@ -40,10 +42,15 @@ def _with_file(df: DataFrame, with_file: bool) -> DataFrame:
     # The file path pseudo-column must be taken here, before any view.
     cols = [F.col(c) for c in ALL_COLUMNS]
     if with_file:
-        cols.append(F.col("_metadata.file_path").alias("file"))
+        cols.append(file_name(F.col("_metadata.file_path")).alias("file"))
     return df.select(*cols)
 
 
+def file_name(path: Column) -> Column:
+    """One spelling of local file URIs (``file:/x`` and ``file:///x`` both occur)."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def to_tsv_line(df: DataFrame) -> DataFrame:
     """Render the 33 data fields as one TAB-separated line; NULL -> '-'."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in DATA_COLUMNS]

@@ -40,8 +40,9 @@ def raw_body_sql() -> str:
     project = f"element_at({checks}, CAST(event_id % {n} + 1 AS INT))"
     eid = "CAST(event_id AS STRING)"
 
-    def env(source: str, detail_type: str, detail: str) -> str:
-        return (f"to_json(named_struct('source', '{source}', 'detail-type', '{detail_type}', "
+    def env(source: str, detail_type: str, detail: str, phase: str = "false") -> str:
+        return (f"to_json(named_struct('source', '{source}', 'detail-type', "
+                f"CASE WHEN {phase} THEN 'CodeBuild Build Phase Change' ELSE '{detail_type}' END, "
                 f"'account', '{ACCOUNT}', 'detail', {detail}))")
 
     build = (f"named_struct('project-name', {project}, "
@@ -57,16 +58,17 @@ def raw_body_sql() -> str:
                f"'oldDesiredCapacity', CAST(event_id % 16 + 1 AS STRING), "
                f"'newDesiredCapacity', CAST((event_id + user_id) % 16 + 1 AS STRING))")
     cert = (f"named_struct('project-name', '{CERT_PROJECT}', "
-            f"'build-status', CASE WHEN event_id % 2 = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END, "
+            f"'build-status', CASE WHEN event_id % 8 = 6 THEN 'IN_PROGRESS' WHEN event_id % 8 = 7 THEN 'STOPPED' "
+            f"WHEN event_id % 2 = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END, "
             f"'build-id', concat('arn:aws:codebuild:us-east-1:{ACCOUNT}:build/{CERT_PROJECT}:', {eid}), "
             f"'additional-information', named_struct('exported-environment-variables', array("
             f"named_struct('name', 'CERT_NAME', 'value', concat('cert-', {eid})), "
             f"named_struct('name', 'CERT_ID', 'value', concat('id-', {eid})))))")
     return ("CASE event_type "
-            f"WHEN 'error' THEN {env('aws.codebuild', 'CodeBuild Build State Change', build)} "
+            f"WHEN 'error' THEN {env('aws.codebuild', 'CodeBuild Build State Change', build, 'event_id % 16 = 9')} "
             f"WHEN 'signup' THEN {env('aws.states', 'Step Functions Execution Status Change', execution)} "
             f"WHEN 'click' THEN {env('aws.application-autoscaling', 'Application Auto Scaling Scaling Activity State Change', scaling)} "
-            f"WHEN 'purchase' THEN {env('aws.codebuild', 'CodeBuild Build State Change', cert)} "
+            f"WHEN 'purchase' THEN {env('aws.codebuild', 'CodeBuild Build State Change', cert, 'event_id % 16 in (4, 5)')} "
             f"ELSE {env('aws.health', 'AWS Health Event', "named_struct('eventTypeCode', 'MAINTENANCE')")} END")
 
 

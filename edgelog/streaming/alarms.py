@@ -20,72 +20,85 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from edgelog.functions.timekeys import micros_to_ntz
 from edgelog.operators.alarms import AlarmSpec
 
-OUTPUT_SCHEMA = "metric string, bucket_us long, previous string, state string, value long"
-STATE_SCHEMA = "last_us long, present string, breach string, state string"
+STATE_SCHEMA = "last_us long, present string, breach string, state string, waiting string"
 
 
-def _compare(spec: AlarmSpec, v: float) -> bool:
-    t = spec.threshold
-    return {">=": v >= t, ">": v > t, "<": v < t, "<=": v <= t}[spec.comparator]
-
-
-def evaluate_stream(closed: DataFrame, spec: AlarmSpec, period_seconds: int) -> DataFrame:
-    """``closed``: streaming (metric, bucket TIMESTAMP, value) with a watermark
+def evaluate_stream(closed: DataFrame, spec: AlarmSpec, period_seconds: int, keys: list[str] | None = None,
+                    hold: bool = False) -> DataFrame:
+    """``closed``: streaming (keys, bucket TIMESTAMP, value) with a watermark
     on ``bucket``.  Buckets travel to the state function as epoch microseconds
     (no time-zone conversion in between); the result has ``bucket`` as
-    TIMESTAMP_NTZ (UTC wall clock)."""
+    TIMESTAMP_NTZ (UTC wall clock).
+
+    ``hold``: periods wait until the watermark has passed them, so a period that is delivered late, but within the
+    watermark's delay, is still evaluated in its place; without it a period counts when it arrives.  The state
+    function holds plain values only, so workers need no copy of this package."""
+    keys = keys or ["metric"]
     step = period_seconds * 1_000_000
-    n = spec.periods
+    n, threshold, comparator = spec.periods, spec.threshold, spec.comparator
+    breaching, notify_ok = spec.missing == "BREACHING", spec.notify_ok
+    columns = [*keys, "bucket_us", "previous", "state", "value"]
+    kinds = dict(closed.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", bucket_us long, previous string, state string, value {kinds['value']}"
+    whole = kinds["value"] in ("tinyint", "smallint", "int", "bigint")
 
     def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        metric = key[0]
         if state.exists:
-            last, present, breach, cur = state.get
-            last = int(last)
+            last, present, breach, cur, waiting = state.get
+            last = None if last is None or last < 0 else int(last)
             present, breach = list(present), list(breach)
         else:
-            last, present, breach, cur = None, [], [], "OK"
+            last, present, breach, cur, waiting = None, [], [], "OK", ""
+        queue = [(int(b), float.fromhex(v) if v else None) for b, v in (x.split("=") for x in waiting.split())]
         out = []
 
         def step_to(b, value):
             nonlocal present, breach, cur
             has = value is not None
             present = (present + ["1" if has else "0"])[-n:]
-            brk = _compare(spec, value) if has else (spec.missing == "BREACHING")
+            brk = breaching
+            if has:
+                brk = (value >= threshold if comparator == ">=" else value > threshold if comparator == ">" else
+                       value < threshold if comparator == "<" else value <= threshold)
             breach = (breach + ["1" if brk else "0"])[-n:]
             full = len(breach) == n
-            if spec.missing == "BREACHING":
+            if breaching:
                 raw = "ALARM" if full and all(x == "1" for x in breach) else "OK"
             else:
                 raw = None if (not full or "0" in present) else ("ALARM" if all(x == "1" for x in breach) else "OK")
             new = raw if raw is not None else cur
-            if new != cur and (spec.notify_ok or new == "ALARM"):
-                out.append((metric, b, cur, new, value))
+            if new != cur and (notify_ok or new == "ALARM"):
+                out.append((*key, b, cur, new, int(value) if has and whole else value))
             cur = new
 
-        if state.hasTimedOut:
-            wm = state.getCurrentWatermarkMs() * 1000
+        wm = state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            rows = pd.concat(list(pdfs))
+            queue += [(int(b), None if pd.isna(v) else float(v)) for b, v in zip(rows["bucket_us"], rows["value"])]
+        queue.sort(key=lambda x: x[0])
+        while queue and not (hold and queue[0][0] > wm):
+            b, v = queue.pop(0)
+            if last is not None:
+                g = last + step
+                while g < b:
+                    step_to(g, None)
+                    g += step
+            step_to(b, v)
+            last = b
+        if state.hasTimedOut and last is not None:
             b = last + step
-            while b <= wm:
+            while b <= wm and not (queue and b >= queue[0][0]):
                 step_to(b, None)
                 last = b
                 b += step
-        else:
-            rows = pd.concat(list(pdfs)).sort_values("bucket_us")
-            for b, v in zip(rows["bucket_us"], rows["value"]):
-                b = int(b)
-                if last is not None:
-                    g = last + step
-                    while g < b:
-                        step_to(g, None)
-                        g += step
-                step_to(b, None if pd.isna(v) else int(v))
-                last = b
-        state.update((last, "".join(present), "".join(breach), cur))
-        state.setTimeoutTimestamp((last + step) // 1000)
-        yield pd.DataFrame(out, columns=["metric", "bucket_us", "previous", "state", "value"])
+        kept = " ".join(f"{b}=" + ("" if v is None else v.hex()) for b, v in queue)
+        state.update((-1 if last is None else last, "".join(present), "".join(breach), cur, kept))
+        after = queue[0][0] if queue else last + step
+        state.setTimeoutTimestamp(max(after // 1000, state.getCurrentWatermarkMs() + 1))
+        frame = pd.DataFrame(out, columns=columns)
+        yield frame.astype({"value": "Int64"}) if whole else frame
 
     keyed = closed.withColumn("bucket_us", F.unix_micros("bucket"))
-    trans = keyed.groupBy("metric").applyInPandasWithState(
-        run, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
-    return trans.select("metric", micros_to_ntz(F.col("bucket_us")).alias("bucket"), "previous", "state", "value")
+    trans = keyed.groupBy(*keys).applyInPandasWithState(
+        run, schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    return trans.select(*keys, micros_to_ntz(F.col("bucket_us")).alias("bucket"), "previous", "state", "value")

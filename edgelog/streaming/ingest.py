@@ -9,17 +9,17 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from edgelog.operators.layout import _re_escape, _strip_scheme, route_keys
+from edgelog.operators.layout import object_key, route_keys
 from edgelog.schema import PARTITION_KEYS
 
 
 def start_ingest(spark: SparkSession, lake_root: str, target: str, checkpoint: str, source: str = "new",
                  available_now: bool = True, clean_source: str | None = None) -> StreamingQuery:
-    reader = spark.readStream.format("text")
+    reader = spark.readStream.format("text").option("recursiveFileLookup", "true")  # delivered flat or in folders
     if clean_source:  # "archive" / "delete": the object-store clean-up after routing
         reader = reader.option("cleanSource", clean_source)
-    lines = reader.load(f"{lake_root}/{source}/*/*").select("value", F.col("_metadata.file_path").alias("path"))
-    keyed = lines.withColumn("key", F.regexp_replace("path", r"^.*?" + _re_escape(_strip_scheme(lake_root)) + "/", ""))
+    lines = reader.load(f"{lake_root}/{source}").select("value", F.col("_metadata.file_path").alias("path"))
+    keyed = lines.withColumn("key", object_key(F.col("path"), lake_root))
     routed = route_keys(keyed).where("routed").select("value", *PARTITION_KEYS)
     w = (routed.writeStream.format("text").option("compression", "gzip").partitionBy(*PARTITION_KEYS)
          .option("checkpointLocation", checkpoint).option("path", target).outputMode("append"))

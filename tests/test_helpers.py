@@ -1,38 +1,57 @@
-"""spread(), day folders and the late-file lookback bound."""
+"""Late files of any age and name, and compaction against one listing."""
 
-import datetime as dt
+import gzip
 import os
 
-from edgelog.operators.layout import compact, day_folders, hour_predicate, late_files
-from edgelog.session import spread
-from tests.test_layout import _row, _write_hour
+from pyspark.sql import functions as F
 
+from edgelog.operators import layout
+from edgelog.operators.layout import compact, hour_predicate, late_files, object_key, recompact_hours
+from edgelog.sources.accesslog import read_cold
+from tests.test_layout import _row, _write_hour
 
-def test_spread_only_when_under_parallelism(spark):
-    one = spark.range(100).coalesce(1)
-    spread_one = spread(one)
-    assert spread_one.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(100).repartition(spark.sparkContext.defaultParallelism * 2)
-    assert spread(many) is many                                   # already split: untouched
-    assert sorted(r.id for r in spread_one.collect()) == list(range(100))
+HOUR = {"year": "2024", "month": "01", "day": "02", "hour": "03"}
 
 
-def test_day_folders_cross_month():
-    got = day_folders("/lake/hot", dt.datetime(2024, 1, 30, 22), dt.datetime(2024, 2, 1, 3))
-    assert got == ["/lake/hot/year=2024/month=01/day=30", "/lake/hot/year=2024/month=01/day=31",
-                   "/lake/hot/year=2024/month=02/day=01"]
+def _lake(spark, root):
+    hot, cold, ledger = (os.path.join(root, d) for d in ("hot", "cold", "ledger"))
+    _write_hour(hot, "03", [_row()])
+    return hot, cold, ledger, os.path.join(hot, "year=2024", "month=01", "day=02", "hour=03")
 
 
-def test_late_file_lookback(spark, tmpdir_path):
-    hot, cold, ledger = (os.path.join(tmpdir_path, d) for d in ("hot", "cold", "ledger"))
-    _write_hour(hot, "03", [_row()])
-    p = {"year": "2024", "month": "01", "day": "02", "hour": "03"}
-    compact(spark, hot, cold, hour_predicate(p), ledger_root=ledger)
-    # a late file for hour 03 on 2024-01-02
-    import gzip
-    d = os.path.join(hot, "year=2024", "month=01", "day=02", "hour=03")
-    with gzip.open(os.path.join(d, "E1.2024-01-02-03.late.gz"), "wt") as f:
+def test_late_files_of_any_age_and_name_are_found_and_repaired(spark, tmpdir_path):
+    hot, cold, ledger, folder = _lake(spark, tmpdir_path)
+    compact(spark, hot, cold, hour_predicate(HOUR), ledger_root=ledger)
+    with gzip.open(os.path.join(folder, "E1.2024-01-02-03.late.gz"), "wt") as f:
+        f.write(_row() + "\n")
+    with open(os.path.join(folder, "late.log"), "w") as f:
         f.write(_row() + "\n")
-    assert late_files(spark, hot, ledger, "2024010206").count() == 1                        # within 48 h
-    assert late_files(spark, hot, ledger, "2024010906").count() == 0                        # older than the lookback
-    assert late_files(spark, hot, ledger, "2024010906", lookback=None).count() == 1         # whole tier
+    late = late_files(spark, hot, ledger, "2024060100")  # five months after
+    assert late.count() == 2
+    recompact_hours(spark, hot, cold, late, ledger_root=ledger)
+    assert read_cold(spark, cold).count() == 3 and late_files(spark, hot, ledger, "2024060100").count() == 0
+
+
+def test_file_that_lands_during_compaction_is_late_not_lost(spark, tmpdir_path, monkeypatch):
+    hot, cold, ledger, folder = _lake(spark, tmpdir_path)
+    write = layout._write_hours
+
+    def then_one_more(rows, root, mode="overwrite"):
+        write(rows, root, mode)
+        with gzip.open(os.path.join(folder, "E1.2024-01-02-03.meanwhile.gz"), "wt") as f:
+            f.write(_row() + "\n")
+
+    monkeypatch.setattr(layout, "_write_hours", then_one_more)
+    compact(spark, hot, cold, hour_predicate(HOUR), ledger_root=ledger)
+    monkeypatch.undo()
+    late = late_files(spark, hot, ledger, "2024010306")
+    assert read_cold(spark, cold).count() == 1 and late.count() == 1
+    recompact_hours(spark, hot, cold, late, ledger_root=ledger)
+    assert read_cold(spark, cold).count() == 2
+
+
+def test_object_key_strips_exactly_the_root(spark):
+    cases = [("file:///data/2023-01-01-01/my%20lake/new/E1.2024-01-02-03.a%2Bb.gz", "/data/2023-01-01-01/my lake", "new/E1.2024-01-02-03.a+b.gz"),
+             ("s3://bucket/lake/new/x+y.gz", "s3://bucket/lake", "new/x+y.gz"), ("viewfs://store/lake/new/a", "viewfs://store/lake/", "new/a")]
+    for path, root, key in cases:
+        assert spark.range(1).select(object_key(F.lit(path), root).alias("k")).first().k == key
