@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import sys
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,28 +16,53 @@ from pyspark.sql import functions as F
 
 from edgelog.session import shared_dir
 
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 """Texts are handled in slices of about this many bytes (never less than one whole text)."""
 
 
 ROWS_PER_CHUNK = 20_000
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Arrow batches for long texts: the default of 10,000 rows would take a worker and the JVM tens of MB per task or,
+    where long texts meet, GB.  Settings that are stricter already stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", spark.conf.get(key).strip().lower()).groups()
+        if not 0 < int(number) << 10 * " kmgt".index(unit or " ") <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_folders: set[str] = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """The application's stored tables go when its driver ends."""
+    if spark.sparkContext._jsc is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: later stages start from files every executor can
-    reach, so a lost executor costs no recomputation and each expensive pass runs once."""
+    reach, so a lost executor costs no recomputation and each expensive pass runs once.  The tables go when the
+    driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/edgelog-llm/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/edgelog-llm/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def row_key(df: DataFrame, column: str = "_row") -> DataFrame:
-    """A key per row, equal on every evaluation of the same file splits (repeated ids stay apart)."""
+    """A key per row (repeated ids stay apart).  It is the same on every evaluation of rows read from files or from another
+    fixed order; store rows that were dealt at random (``repartition`` without a key) first."""
     return df.withColumn(column, F.monotonically_increasing_id())
 
 
@@ -99,6 +126,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at), data[offsets[at]: offsets[to]], offsets[at: to + 1] - offsets[at]
             at = to
+    pa.default_memory_pool().release_unused()  # a worker lives on; what its task needed goes back
 
 
 def list_column(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelog.llm.common import row_key, slices
+from edgelog.llm.common import bounded_batches, row_key, slices
 from edgelog.llm.textops import (Powers, byte_values, int64, lower_table, ngrams, prefix_sums, sliding_min, spans_hash,
                                  words)
 
@@ -94,6 +94,7 @@ def _document_windows(bits: bytes, lengths: list[int]):
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of ``docs`` (with its row key ``_row``): doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    bounded_batches(docs.sparkSession)
     items = (benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text"))
              .mapInArrow(_item_windows, "item string, n int, fp long, words string"))
     # one row per distinct window, with the items that hold it
@@ -127,6 +128,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a benchmark window, all columns kept."""
-    hit = contamination(docs, benchmark).where("contaminated").select(F.col("_row").alias("_hit"))
-    keyed = row_key(docs, "_at")
-    return keyed.join(hit, keyed["_at"] == hit["_hit"], "left_anti").drop("_at")
+    hit = contamination(docs, benchmark).where("contaminated").select(F.col("_row").alias("__hit_row"))
+    keyed = row_key(docs, "__keep_row")
+    return keyed.join(hit, keyed["__keep_row"] == hit["__hit_row"], "left_anti").drop("__keep_row")

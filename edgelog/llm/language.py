@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelog.llm.common import slices, worker_cache
+from edgelog.llm.common import bounded_batches, slices, worker_cache
 
 DIMENSIONS = 1024
 CODES = 64
@@ -67,7 +67,11 @@ def trigram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def bundles(counts: np.ndarray, grams: np.ndarray) -> np.ndarray:
     """Sum of the trigram vectors of each row of counts."""
     first, second, third = worker_cache("letter vectors", letter_vectors)
-    return counts @ (first[grams >> 12] * second[grams >> 6 & 63] * third[grams & 63])
+    out = np.zeros((len(counts), DIMENSIONS), counts.dtype)
+    for at in range(0, len(grams), 2048):  # few trigram vectors at a time
+        g = grams[at: at + 2048]
+        out += counts[:, at: at + 2048] @ (first[g >> 12] * second[g >> 6 & 63] * third[g & 63])
+    return out
 
 
 def _learn(batches):
@@ -79,9 +83,7 @@ def _learn(batches):
         names = sorted(set(langs))
         if len(grams):
             by_lang = np.stack([counts[langs == x].sum(axis=0, dtype=np.float64) for x in names])
-            first, second, third = worker_cache("letter vectors", letter_vectors)
-            vectors = first[grams >> 12] * second[grams >> 6 & 63] * third[grams & 63]
-            for x, v in zip(names, by_lang @ vectors):
+            for x, v in zip(names, bundles(by_lang, grams)):
                 sums[x] = sums.get(x, 0) + np.rint(v).astype(np.int64)
     yield pa.RecordBatch.from_arrays(
         [pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "sums"])
@@ -89,6 +91,7 @@ def _learn(batches):
 
 def learn_prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
     """Prototype per language from all rows (text, lang); the driver gets DIMENSIONS numbers per language."""
+    bounded_batches(labelled.sparkSession)
     known = labelled.select("text", "lang").where("lang is not null and text is not null")
     parts = known.mapInArrow(_learn, "lang string, sums array<bigint>")
     rows = (parts.select("lang", F.posexplode("sums").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
@@ -112,11 +115,12 @@ def judge(texts: list[str | None], names: list[str], units: np.ndarray) -> tuple
 
 def _units(prototypes: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
     names = [k for k, v in prototypes.items() if np.any(v)]
-    return names, np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names]).reshape(len(names), -1)
+    return names, np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names]).reshape(len(names), DIMENSIONS)
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, lang_pred, score of every row."""
+    bounded_batches(docs.sparkSession)
     names, units = _units(prototypes)
 
     def run(batches):

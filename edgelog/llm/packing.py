@@ -14,6 +14,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelog.llm.common import row_key, stored, with_slots, worker_cache
+from edgelog.llm.common import bounded_batches, row_key, stored, with_slots, worker_cache
 
 CAPACITY = 1024
 CLOSE = 2  # id that ends every document
@@ -38,10 +39,9 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
-        self.exact = Tokenizer.from_file(path)
+        self.path = path
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         # the printable stand-ins that byte-level vocabularies use for bytes
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -50,6 +50,13 @@ class Encoder:
         ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def exact(self):
+        """The library itself, loaded by the first text that needs it (it takes as much memory as all the rest)."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> np.ndarray:
         if not any(s in text for s in self.special):
             try:
@@ -172,6 +179,7 @@ def _place(rows: np.ndarray):
 
 def tokenised_pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: _row, doc_id, piece, start, length, ids_crc32."""
+    bounded_batches(docs.sparkSession)
     keyed = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("_row", "doc_id", "text")
     return keyed.mapInArrow(_pieces(path, pattern, capacity),
                             "_row long, doc_id long, piece int, start long, length long, ids_crc32 long")

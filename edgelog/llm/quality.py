@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelog.llm.common import labelled_sample, list_column, slices
+from edgelog.llm.common import bounded_batches, labelled_sample, list_column, slices
 from edgelog.llm.textops import Powers, byte_values, prefix_sums, spans_hash, words
 
 ROWS, TERMS, RANK, NEIGHBOURS = 6000, 2048, 48, 15
@@ -75,6 +75,7 @@ def _sample_counts(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS):
     """(rarity, projection, labelled unit vectors, labels) from ``labels`` (doc_id, quality)."""
+    bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "quality", rows, "quality-sample")
     got = sample.mapInArrow(_sample_counts, "y int, term array<smallint>, n array<int>").toArrow()  # at most ``rows`` rows
     if not got.num_rows:

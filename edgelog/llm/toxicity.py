@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelog.llm.common import labelled_sample, list_column, slices
+from edgelog.llm.common import bounded_batches, labelled_sample, list_column, slices
 from edgelog.llm.textops import Powers, byte_values, int64, lower_table, mix, prefix_sums, spans_hash, words
 
 ROWS, FEATURES, LEAST_DOCS = 8000, 4096, 3
@@ -191,6 +191,7 @@ def train(y: np.ndarray, has: list, swapped: list, width: int, penalty: float =
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """(sorted feature hashes, weights, intercept) learned from ``labels`` (doc_id, toxic)."""
+    bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", rows, "toxic-sample")
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     none = np.zeros(0, np.uint64), np.zeros(0), -40.0
