@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from edgelog.plans.lake import LAKE_NOW, lake_for
 from edgelog.plans.oracle import DATA_COLS, LOG_CTE
 from edgelog.plans.registry import register
 from edgelog.schema import ALL_COLUMNS
-from edgelog.session import work_path
+from edgelog.session import scratch_path
 from edgelog.sources.accesslog import read_cold
 from edgelog.sources.tables import table
 
@@ -81,7 +80,7 @@ COMPACT_SQL = LOG_CTE + "SELECT " + DATA_COLS.format(rid="result_id") + \
 
 def _compact(spark, sf, runs, mode="overwrite"):
     lake = lake_for(spark, sf)
-    target = work_path(spark, "compact", uuid.uuid4().hex)
+    target = scratch_path(spark, "compact")
     for _ in range(runs):
         D.compact_hour(spark, lake.hot, target, LAKE_NOW, mode=mode)
     return read_cold(spark, target).select(*ALL_COLUMNS)

@@ -4,7 +4,6 @@ through the two-tier view over files, tier scans and view properties."""
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from edgelog.plans.lake import LAKE_NOW, Lake, lake_for
 from edgelog.plans.named import run_named, save_result
 from edgelog.plans.registry import register
 from edgelog.schema import ALL_COLUMNS, VIEW_COLUMNS
-from edgelog.session import work_path
+from edgelog.session import scratch_path
 from edgelog.sources.accesslog import read_hot, to_tsv_line
 from edgelog.sources.fixture import access_log
 
@@ -73,7 +72,7 @@ _LAST_HOURS = "2024013020"
 SELECT year, month, day, hour, count(*) * 2 AS requests FROM log WHERE year||month||day||hour >= '{_LAST_HOURS}' GROUP BY ALL""")
 def combined_view_after_arrival(spark, sf):
     """U1 within one session: files that land in a registered hour after a first query show up in the next one."""
-    lake = Lake(work_path(spark, "arrival_lake", uuid.uuid4().hex), dt.datetime(2024, 1, 30, 21, 20))
+    lake = Lake(scratch_path(spark, "arrival_lake"), dt.datetime(2024, 1, 30, 21, 20))
     rows = access_log(spark, sf).where(hour_key() >= _LAST_HOURS)
     lines = to_tsv_line(rows).select("value", "year", "month", "day", "hour")
     for seen in (False, True):
@@ -88,7 +87,7 @@ def combined_view_after_arrival(spark, sf):
 def saved_result(spark, sf):
     """A named query's result written under the results location and read back."""
     result = run_named(spark, "monthly_requests_per_day", access_log(spark, sf), YEAR, MONTH)
-    path = save_result(result, work_path(spark, "results", uuid.uuid4().hex), "monthly_requests_per_day", "parquet")
+    path = save_result(result, scratch_path(spark, "results"), "monthly_requests_per_day", "parquet")
     return spark.read.parquet(path)
 
 

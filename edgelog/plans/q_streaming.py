@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from edgelog.plans.oracle import DATA_COLS, LOG_CTE
 from edgelog.plans.q_events import NOTIFICATIONS_SQL, topic_messages
 from edgelog.plans.registry import register
 from edgelog.schema import ALL_COLUMNS
-from edgelog.session import work_path
+from edgelog.session import scratch_path
 from edgelog.sources.accesslog import read_hot
 from edgelog.sources.arrivals import stage_arrivals
 from edgelog.sources.eventsrc import envelopes
@@ -38,7 +37,7 @@ def _run(q):
 def stream_ingest(spark, sf):
     """The delivered files streamed into a fresh hot tier, read back whole."""
     lake = lake_for(spark, sf)
-    run = work_path(spark, "stream_ingest", uuid.uuid4().hex)
+    run = scratch_path(spark, "stream_ingest")
     _run(start_ingest(spark, lake.root, f"{run}/hot", f"{run}/_checkpoint"))
     return read_hot(spark, f"{run}/hot").select(*ALL_COLUMNS)
 
@@ -61,7 +60,7 @@ def _deliver(spark, staged: str, new: str) -> None:
 @register("stream_ingest_flat", LOG_CTE + "SELECT " + DATA_COLS.format(rid="result_id") + " FROM log")
 def stream_ingest_flat(spark, sf):
     """T1/S3 as an object store delivers: files directly under ``new/`` and one and three folders below."""
-    run = work_path(spark, "stream_flat", uuid.uuid4().hex)
+    run = scratch_path(spark, "stream_flat")
     stage_arrivals(access_log(spark, sf), f"{run}/staged", mode="overwrite")
     _deliver(spark, f"{run}/staged", f"{run}/new")
     _run(start_ingest(spark, run, f"{run}/hot", f"{run}/_checkpoint"))
@@ -75,7 +74,7 @@ SELECT * FROM (
 WHERE bucket + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 15 MINUTE""")
 def stream_metric_1m(spark, sf):
     """T4: closed 1-minute windows (end <= max(ts) - 15 min) from a stream."""
-    run = work_path(spark, "stream_metric", uuid.uuid4().hex)
+    run = scratch_path(spark, "stream_metric")
     src = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf.rstrip('/')}/events.parquet*")
     stream = windowed_counts(metric_samples(src).select("metric", "ts", "value"))
     _run(start_windowed(stream, f"{run}/out", f"{run}/_checkpoint"))
@@ -85,7 +84,7 @@ def stream_metric_1m(spark, sf):
 @register("stream_notifications", NOTIFICATIONS_SQL)
 def stream_notifications(spark, sf):
     """Envelopes as a stream -> the same notifications as the batch form."""
-    run = work_path(spark, "stream_notify", uuid.uuid4().hex)
+    run = scratch_path(spark, "stream_notify")
     envelopes(topic_messages_raw(spark, sf)).write.json(f"{run}/in")
     _run(start_notifications(spark, f"{run}/in", f"{run}/out", f"{run}/_checkpoint"))
     return accepted(spark.read.parquet(f"{run}/out").drop("batch_id"))
@@ -102,7 +101,7 @@ def stream_alarm_transitions(spark, sf):
     """T5: hourly event counts as a stream of closed windows (T4 job), fed to
     the stateful alarm operator (second streaming job); equals the batch W1-W3
     on every closed hour (the last hour is still open when the stream ends)."""
-    run = work_path(spark, "stream_alarm", uuid.uuid4().hex)
+    run = scratch_path(spark, "stream_alarm")
     src = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf.rstrip('/')}/events.parquet*")
     hourly = windowed_counts(metric_samples(src).select("metric", "ts", "value"), period="1 hour", delay="0 seconds")
     _run(start_windowed(hourly, f"{run}/closed", f"{run}/_ckpt_closed"))

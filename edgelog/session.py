@@ -7,8 +7,10 @@ absent (local tests) do we create one of our own.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -60,6 +62,24 @@ def work_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([shared_dir(spark), "edgelog", *parts])
 
 
+_scratch: set[str] = set()
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh folder for one run's output; all of them go when the driver ends."""
+    top = work_path(spark, "scratch", spark.sparkContext.applicationId)
+    if top not in _scratch:
+        _scratch.add(top)
+        atexit.register(_remove, spark, top)
+    return f"{top}/{label}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through Hadoop's FileSystem so it works on any FS."""
     jvm = spark.sparkContext._jvm
