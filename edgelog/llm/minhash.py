@@ -9,8 +9,9 @@ long it is; texts with an empty register left are repeated with twice the time.
 
 BANDS bands of BAND_ROWS registers: at similarity 0.8 a pair shares no bucket with probability 3e-6.  Equal texts are
 one node.  Inside a bucket, members are compared with one leader at a time (a row per member, never all pairs), with exact
-bag overlaps; linked texts form components.  Buckets that still hold several classes get other leaders, and when few
-pairs across classes remain, those are all compared, so no link of a shared bucket is lost to the choice of leaders.
+bag overlaps; linked texts form components.  Members of buckets that still hold several classes are then compared across
+classes, bucket by bucket, so no link of a shared bucket is lost to the choice of leaders; while very many such pairs
+are left, other leaders are tried before.
 
 Defined cases: a null text counts as empty; texts with fewer than SHINGLE words are one shingle of all their words;
 texts without words are alike only when equal; a class is named by its smallest doc_id (null if all are null) and keeps
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelog.llm.common import broadcast_if_small, list_column, row_key, slices, stored
+from edgelog.llm.common import bounded_batches, broadcast_if_small, list_column, row_key, slices, stored
 from edgelog.llm.components import components
 from edgelog.llm.textops import Powers, byte_values, int64, lower_table, mix, ngrams, prefix_sums, spans_hash, words
 
@@ -32,7 +33,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 24, 4
 REGISTERS = BANDS * BAND_ROWS
 HASH_BITS = 48
-LEADER_ROUNDS = 6
+LEADER_ROUNDS = 2
+ENOUGH = 100  # cross-class pairs per open member at which leaders have done their work
+BLOCK = 256
 U = np.uint64
 
 
@@ -167,9 +170,79 @@ def _linked(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(_verify(similarity), "a long, b long")
 
 
+def _compare_block(similarity: float):
+    """Links between different classes among the members of one pair of blocks (or inside one)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        node, label, side = (rows[c].to_numpy() for c in ("node", "label", "side"))
+        weight, inner = rows["weight"].to_numpy(), rows["i"][0].as_py() == rows["j"][0].as_py()
+        a, b = np.nonzero(label[:, None] != label[None, :])
+        wanted = (node[a] < node[b]) if inner else (side[a] < side[b])
+        small, large = np.minimum(weight[a], weight[b]), np.maximum(weight[a], weight[b])
+        wanted &= small >= similarity * large
+        a, b = a[wanted], b[wanted]
+        bags = [(np.array(s.as_py(), np.int64), np.array(c.as_py(), np.int64)) for s, c in zip(rows["shingles"], rows["counts"])]
+        keep = np.zeros(len(a), bool)
+        if len(a) < 300:
+            keep[:] = [bag_similarity(*bags[x], *bags[y]) >= similarity for x, y in zip(a, b)]
+        else:
+            # the n-th copy of a shingle is an item of its own, so common items are what bags share; blocked products count them
+            items = np.concatenate([np.repeat(s, c) for s, c in bags])
+            nth = np.concatenate([_copies(c) for _, c in bags])
+            owner = np.repeat(np.arange(len(bags)), [c.sum() for _, c in bags])
+            column = np.unique(mix(items.view(U) * U(0x9E3779B97F4A7C15) + nth.astype(U)), return_inverse=True)[1]
+            order = np.argsort(column, kind="stable")
+            column, owner = column[order], owner[order]
+            both = np.zeros((len(bags), len(bags)))
+            for at in range(0, int(column[-1]) + 1, 4096):
+                part = slice(*np.searchsorted(column, [at, at + 4096]))
+                x = np.zeros((len(bags), 4096), np.float32)
+                x[owner[part], column[part] - at] = 1
+                both += x @ x.T
+            keep = both[a, b] >= similarity * (weight[a] + weight[b] - both[a, b])
+        return pa.table({"a": pa.array(np.minimum(node[a], node[b])[keep]), "b": pa.array(np.maximum(node[a], node[b])[keep])})
+
+    return run
+
+
+def _copies(counts: np.ndarray) -> np.ndarray:
+    """0 .. count - 1 for every count."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _across_classes(members: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """Every link between members of one bucket that are in different classes.
+
+    A bucket is compared in one task; one of more than BLOCK members (``n``) is dealt by hash into blocks, and each pair
+    of its blocks is a task.  No pair is a row, and no task holds more than two blocks.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK)
+    block, other = F.pmod(F.xxhash64("node"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = (members.withColumn("blocks", blocks.cast("long")).withColumn("block", block).withColumn("other", other)
+             .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                     (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "label", "weight"))
+    return dealt.join(bags, "node").groupBy("bucket", "i", "j").applyInArrow(_compare_block(similarity), "a long, b long").distinct()
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Labels after further links; only the classes that those connect change."""
+    if labels is None:
+        return components(links)
+    if links.isEmpty():
+        return labels
+    for c in ("a", "b"):
+        of = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        links = links.join(of, F.col(c) == F.col("_n"), "left").withColumn(c, F.coalesce("_l", c)).select("a", "b")
+    moved = components(links).select(F.col("node").alias("was"), F.col("label").alias("now"))
+    kept = labels.join(moved, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label"))
+    fresh = moved.join(labels, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("label"))
+    return stored(kept.unionByName(fresh), "labels")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row of ``docs``: _row, doc_id, class_id (smallest doc_id of the class), class_row (its first row) and
     text_row (first row with an equal text)."""
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")))
     signed = stored(keyed.select("_row", "doc_id", F.md5(F.col("text").cast("binary")).alias("cls"), "text")
@@ -189,39 +262,32 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     def close(a: str, b: str):  # necessary for the similarity, and cheap
         return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity)
 
-    links, labels, tested = None, None, None
+    labels = None
     for turn in range(LEADER_ROUNDS + 1):
-        labelled = members if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        labelled = labelled.withColumn("label", F.col("node")) if labels is None else labelled
+        labelled = members.withColumn("label", F.col("node")) if labels is None else \
+            members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
         lead = (labelled.groupBy("bucket").agg(
             F.min(F.struct(order.alias("o"), F.col("node").alias("leader"), F.col("weight").alias("w"), F.col("label").alias("l"))).alias("x"),
             F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
             .where("low != high").select("bucket", "x.leader", F.col("x.w").alias("lw"), F.col("x.l").alias("ll"), "n"))
-        # pairs across classes that are left in all buckets: n * n less the squares of the classes' sizes, halved
         open_members = stored(labelled.join(lead, "bucket"), "open")
+        # pairs across classes that are left in all buckets: n * n less the squares of the classes' sizes
         per_class = open_members.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.max("n").alias("n"))
         left = per_class.agg(F.sum(F.expr("k * (n - k)")).alias("p"), F.sum("k").alias("m")).first()
         if not left["m"]:
             break
-        last = turn == LEADER_ROUNDS or turn > 0 and left["p"] <= 8 * left["m"]
+        last = turn == LEADER_ROUNDS or turn > 0 and left["p"] <= ENOUGH * left["m"]
         if last:
-            other = open_members.select("bucket", F.col("node").alias("b"), F.col("label").alias("bl"), F.col("weight").alias("bw"))
-            pairs = (open_members.select("bucket", F.col("node").alias("a"), F.col("label").alias("al"), F.col("weight").alias("aw"))
-                     .join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & close("aw", "bw")))
+            found = _across_classes(open_members, bags, similarity)
         else:
             pairs = (open_members.where((F.col("label") != F.col("ll")) & close("weight", "lw"))
-                     .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
-        pairs = pairs.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = stored(_linked(pairs, bags, similarity), "found")
-        links = found if links is None else links.union(found)
-        labels = components(links)
+                     .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+            found = _linked(pairs, bags, similarity)
+        labels = _joined(labels, stored(found, "found"))
         if last:
             break
+        members = open_members.select("bucket", "node", "weight")  # a bucket of one class stays one
 
     named = nodes.select("cls", "node", "node_id")
     if labels is not None:
@@ -238,6 +304,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The first row of each class, all columns kept."""
-    gone = stored(near_duplicates(docs, similarity).where("_row != class_row").select(F.col("_row").alias("_gone")), "gone")
-    keyed = row_key(docs, "_at")
-    return keyed.join(broadcast_if_small(gone, gone.count(), 16), keyed["_at"] == gone["_gone"], "left_anti").drop("_at")
+    gone = stored(near_duplicates(docs, similarity).where("_row != class_row").select(F.col("_row").alias("__gone_row")), "gone")
+    keyed = row_key(docs, "__keep_row")
+    return keyed.join(broadcast_if_small(gone, gone.count(), 16), keyed["__keep_row"] == gone["__gone_row"], "left_anti").drop("__keep_row")
