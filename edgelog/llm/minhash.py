@@ -171,7 +171,7 @@ def _linked(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
 
 
 def _compare_block(similarity: float):
-    """Links between different classes among the members of one pair of blocks (or inside one)."""
+    """Links that join different classes among the members of one pair of blocks (or inside one)."""
 
     def run(rows: pa.Table) -> pa.Table:
         node, label, side = (rows[c].to_numpy() for c in ("node", "label", "side"))
@@ -200,7 +200,22 @@ def _compare_block(similarity: float):
                 x[owner[part], column[part] - at] = 1
                 both += x @ x.T
             keep = both[a, b] >= similarity * (weight[a] + weight[b] - both[a, b])
-        return pa.table({"a": pa.array(np.minimum(node[a], node[b])[keep]), "b": pa.array(np.maximum(node[a], node[b])[keep])})
+        # links that join classes which others here have joined already change nothing: one per join is enough
+        of = {x: x for x in label.tolist()}
+
+        def find(x: int) -> int:
+            while of[x] != x:
+                of[x] = x = of[of[x]]
+            return x
+
+        found = []
+        for i in np.flatnonzero(keep):
+            p, q = find(int(label[a[i]])), find(int(label[b[i]]))
+            if p != q:
+                of[p] = q
+                found.append(i)
+        first, second = np.minimum(node[a], node[b])[np.array(found, int)], np.maximum(node[a], node[b])[np.array(found, int)]
+        return pa.table({"a": pa.array(first, pa.int64()), "b": pa.array(second, pa.int64())})
 
     return run
 
