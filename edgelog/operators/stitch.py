@@ -1,13 +1,16 @@
 """L1-L4: multi-line log records.
 
 A record starts at every line matching the start pattern; other lines are
-appended to the record before them.  The split is a single regex split of
-each file's text at newlines followed by a start line (look-ahead), so it is
-map-only: no window, no shuffle, and line order is the file's own order."""
+appended to the record before them.  ``stitch_lines`` numbers the records of a
+log split by split: start lines are counted inside each split, and one row per
+split tells how many records earlier splits began, so the lines that lead a
+split join the record before it.  ``stitch`` does the same for texts that are
+at hand as one value each."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Record start patterns and timestamp formats.
@@ -35,6 +38,27 @@ def stitch(files: DataFrame, start_pattern: Column | str | None, text_col: str =
             .withColumn("n_lines", F.size(F.split("record", r"\n"))))
 
 
+def stitch_lines(lines: DataFrame, start_pattern: Column | str | None, anchored: bool = True) -> DataFrame:
+    """L1/L2 over lines (log, file, block, at, line): one row per record with its position in the log, numbered and cut as
+    by ``stitch`` on the log's whole text.  Other columns must be the same for all lines of a log."""
+    pat = start_pattern if isinstance(start_pattern, Column) else F.lit(start_pattern).cast("string")
+    begins = F.rlike("line", F.concat(F.lit("^(?:" if anchored else "(?:"), F.regexp_replace(pat, r"^\^", ""), F.lit(")")))
+    flagged = lines.withColumn("_start", F.when(pat.isNull(), 1).otherwise(begins.cast("int")))
+    keep = [c for c in lines.columns if c not in ("log", "file", "block", "at", "line")]
+    splits = flagged.groupBy("log", "file", "block").agg(F.sum("_start").alias("_n"))
+    first = F.min(F.struct("file", "block", "at", "_start")).alias("first")
+    orphan = flagged.groupBy("log").agg(first).select("log", (1 - F.col("first._start")).alias("_orphan"))
+    before = (splits.withColumn("_before", F.sum("_n").over(W.partitionBy("log").orderBy("file", "block")) - F.col("_n"))
+              .join(orphan, "log").select("log", "file", "block", (F.col("_before") + F.col("_orphan") - 1).alias("_before")))
+    inside = F.sum("_start").over(W.partitionBy("log", "file", "block").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    numbered = (flagged.withColumn("_in", inside).join(before, ["log", "file", "block"])
+                .withColumn("record_no", (F.col("_in") + F.col("_before")).cast("int")))
+    out = numbered.groupBy("log", *keep, "record_no").agg(
+        F.array_sort(F.collect_list(F.struct("file", "block", "at", "line"))).alias("_lines"))
+    return (out.withColumn("record", F.regexp_replace(F.array_join("_lines.line", "\n"), r"\r$", "")).where("record != ''")
+            .select("log", *keep, "record_no", "record", F.size("_lines").alias("n_lines")))
+
+
 def sync_timestamp(record: Column) -> Column:
     """L3: ``yyyy-MM-dd HH:mm:ss,SSS`` at the start of the record (UTC wall time, NTZ)."""
     raw = F.regexp_extract(record, r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),(\d{3})", 1)

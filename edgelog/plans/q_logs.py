@@ -11,11 +11,11 @@ from edgelog.session import has_marker, input_tag, work_path, write_marker
 from edgelog.sources.catalog import mirror_catalog
 from edgelog.sources.fixture import access_log
 from edgelog.sources.tables import table
-from edgelog.sources.textlogs import read_text_logs, write_sync_logs
+from edgelog.sources.textlogs import read_log_lines, write_sync_logs
 
 
 def _logs_root(spark, sf, kind):
-    return work_path(spark, "textlogs", input_tag(spark, sf, kind, "v4"))
+    return work_path(spark, "textlogs", input_tag(spark, sf, kind, "v5"))
 
 
 def _sync_logs(spark, sf):
@@ -24,7 +24,7 @@ def _sync_logs(spark, sf):
         if not has_marker(spark, root):
             write_sync_logs(table(spark, sf, "events"), root)
             write_marker(spark, root)
-    return read_text_logs(spark, root)
+    return read_log_lines(spark, root)
 
 
 SYNC_SQL = r"""WITH lines AS (
@@ -53,12 +53,12 @@ FROM recs"""
 def stitched_log_records(spark, sf):
     """L1 + L3 + L4: sync-job logs stitched by each mirror's start pattern
     (from the catalog; mirrors without one give one record per line)."""
-    files = _sync_logs(spark, sf)
+    lines = _sync_logs(spark, sf)
     cat = F.broadcast(mirror_catalog(spark).select(F.col("name").alias("mirror"), "log_start_pattern"))
-    files = files.join(cat, "mirror", "left")
-    recs = L.stitch(files, F.col("log_start_pattern"))
+    lines = lines.join(cat, "mirror", "left")
+    recs = L.stitch_lines(lines, F.col("log_start_pattern"))
     return recs.select(
-        "mirror", F.regexp_extract("file", r"day=(\d+)", 1).alias("day"), "record_no", "record", "n_lines",
+        "mirror", F.regexp_extract("log", r"day=(\d+)", 1).alias("day"), "record_no", "record", "n_lines",
         F.when(F.col("log_start_pattern").isNotNull(), L.sync_timestamp(F.col("record"))).alias("ts"),
         L.log_group("sync", F.col("mirror")).alias("log_group"))
 
@@ -66,11 +66,11 @@ def stitched_log_records(spark, sf):
 def _container_logs(spark, sf):
     """Content-server access lines (combined log format) from the access log,
     in hourly folders; range partitioning splits a busy hour over several
-    files (one line is one record here, so records never straddle files)."""
+    files, which stitching takes as one log."""
     root = _logs_root(spark, sf, "container")
     with build_lock(root):
         _write_container_logs(spark, sf, root)
-    return read_text_logs(spark, root)
+    return read_log_lines(spark, root)
 
 
 def _write_container_logs(spark, sf, root):
@@ -95,7 +95,7 @@ FROM events GROUP BY 1""")
 def container_log_records(spark, sf):
     """L2 + L3: container access lines stitched on the bracketed timestamp,
     parsed to UTC, summarised per hourly file."""
-    recs = L.stitch(_container_logs(spark, sf), L.CONTAINER_START, anchored=False)
+    recs = L.stitch_lines(_container_logs(spark, sf), L.CONTAINER_START, anchored=False)
     recs = recs.withColumn("ts", L.container_timestamp(F.col("record")))
-    return (recs.groupBy(F.regexp_extract("file", r"hour=(\d+)", 1).alias("hour"))
+    return (recs.groupBy(F.regexp_extract("log", r"hour=(\d+)", 1).alias("hour"))
             .agg(F.count("*").alias("records"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))

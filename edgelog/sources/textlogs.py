@@ -1,8 +1,9 @@
 """Raw text logs (sync-job logs per mirror, container access logs).
 
-``write_sync_logs`` lays down one rotated file per (mirror, day) derived from
-``events``; ``read_text_logs`` reads every file whole (a rotated job log is a
-bounded unit) and names the mirror from its folder."""
+``write_sync_logs`` lays down one log per (mirror, day) derived from
+``events``, a busy one as several consecutive files; ``read_log_lines`` reads
+lines with their place (log folder, file, split, line), so files are cut into
+splits and no file is ever one value."""
 
 from __future__ import annotations
 
@@ -29,16 +30,19 @@ def sync_log_lines(events: DataFrame) -> DataFrame:
 
 
 def write_sync_logs(events: DataFrame, root: str) -> None:
-    """One file per (mirror, day): a rotated job log is the unit the stitcher
-    works on (records must not straddle files), as the log agent rotates."""
+    """One folder per (mirror, day); its files follow each other by name, and a record may go on in the next file."""
     lines = sync_log_lines(events)
-    (lines.repartition("mirror", "day").sortWithinPartitions("mirror", "day", "ts", "event_id", "line_no")
+    order = ["mirror", "day", "ts", "event_id", "line_no"]
+    (lines.repartitionByRange(*order).sortWithinPartitions(*order)
      .select("line", "mirror", "day").write.mode("overwrite").partitionBy("mirror", "day").text(root))
 
 
-def read_text_logs(spark: SparkSession, root: str) -> DataFrame:
-    """(mirror, file, text) - one row per file."""
-    df = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
+def read_log_lines(spark: SparkSession, root: str) -> DataFrame:
+    """(mirror, log, file, block, at, line): ``log`` is the folder, ``block`` the offset of the split in its file, and ``at``
+    grows inside a split."""
+    df = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(root)
     path = F.col("_metadata.file_path")
-    return df.select(F.regexp_extract(path, r"mirror=([^/]+)", 1).alias("mirror"), path.alias("file"),
-                     F.col("value").alias("text"))
+    return df.select(F.regexp_extract(path, r"mirror=([^/]+)", 1).alias("mirror"),
+                     F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("log"), path.alias("file"),
+                     F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+                     F.col("value").alias("line"))
