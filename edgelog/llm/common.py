@@ -46,20 +46,41 @@ def _remove(spark: SparkSession, folder: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _drop(spark: SparkSession, name: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _shared(spark: SparkSession) -> str:
+    folder = f"{shared_dir(spark)}/edgelog-llm/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: later stages start from files every executor can
     reach, so a lost executor costs no recomputation and each expensive pass runs once.  The tables go when the
     driver ends."""
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/edgelog-llm/{spark.sparkContext.applicationId}"
-    if folder not in _folders:
-        _folders.add(folder)
-        atexit.register(_remove, spark, folder)
+    folder = _shared(spark)
     path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_buckets(df: DataFrame, label: str, column: str) -> DataFrame:
+    """As ``stored``, and bucketed by ``column``: what later groups or joins by that column stays where it is."""
+    spark = df.sparkSession
+    name = f"edgelog_llm_{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions()),
+                  int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    df.write.option("compression", "zstd").option("path", f"{_shared(spark)}/{name}").bucketBy(buckets, column).saveAsTable(name)
+    atexit.register(_drop, spark, name)
+    return spark.table(name)
+
+
 def row_key(df: DataFrame, column: str = "_row") -> DataFrame:
     """A key per row (repeated ids stay apart).  It is the same on every evaluation of rows read from files or from another
     fixed order; store rows that were dealt at random (``repartition`` without a key) first."""

@@ -74,4 +74,48 @@ FROM pg LEFT JOIN best USING (host, path) LEFT JOIN sc USING (host)
 """
 
 
-ORACLES: dict[str, str] = {"op3_link_graph": _op3(), "op7_dual_tree": _OP7, "op9_winnowing": _OP9}
+_FINE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_OP12 = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINE}),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.r AS ar, c.vec_id, c.label = a.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM v AS a, v AS c WHERE a.vec_id % 100 = 0 AND a.r <> c.r),
+p AS (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) AS pr FROM s WHERE same),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.ar, p.pr ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.ar = p.ar AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+  WHERE p.pr <= 5)
+SELECT * FROM n WHERE rank <= 10
+"""
+
+
+def _op13(rounds: int = 10) -> str:
+    """Every round as two tables: the nearest centroid of each vector, and the centroids that follow from it."""
+    parts = [f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND {_FINE})""", """c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS INTEGER) AS k, v AS c
+  FROM v QUALIFY k < 8)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := d, k := k)) AS near FROM (
+    SELECT r, vec_id, v, k, CAST(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{i})
+  GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT k, coalesce(m, c) AS c FROM c{i} LEFT JOIN (
+    SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM (
+      SELECT near.k AS k, i, sum(v[i]) AS s, count(*) AS n FROM a{i}, range(1, 65) AS t(i) GROUP BY ALL) GROUP BY k) USING (k))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, near.k AS cluster, near.d AS distance, CAST(sum(near.d) OVER (PARTITION BY near.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(near.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON near.k = k
+"""
+
+
+ORACLES: dict[str, str] = {"op3_link_graph": _op3(), "op7_dual_tree": _OP7, "op9_winnowing": _OP9, "op12_four_russians": _OP12,
+                           "op13_ptolemaic": _op13()}

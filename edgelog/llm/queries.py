@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from edgelog.llm import decontaminate, language, minhash, packing, quality, repeats, sharding, topk, toxicity, urlfilter
+from edgelog.llm import (centroids, decontaminate, language, minhash, negatives, packing, quality, repeats, sharding, topk, toxicity,
+                         urlfilter, wordcodes)
 from edgelog.llm.common import crc_mod, table
 
 SHARDS = [1.0] * 8
@@ -73,6 +74,25 @@ def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op11_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = wordcodes.decode(wordcodes.encode(table(spark, sf_dir, "documents"), path), path)
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return texts.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_four_russians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_ptolemaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bagminhash": op1_bagminhash,
     "op2_hyperdimensional": op2_hyperdimensional,
@@ -84,4 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_groups": op8_suffix_groups,
     "op9_winnowing": op9_winnowing,
     "op10_rendezvous": op10_rendezvous,
+    "op11_word_table": op11_word_table,
+    "op12_four_russians": op12_four_russians,
+    "op13_ptolemaic": op13_ptolemaic,
 }
