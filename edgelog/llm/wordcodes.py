@@ -34,11 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgelog.llm.common import bounded_batches, list_column, stored, stored_buckets, worker_cache
+from edgelog.llm.common import bounded_batches, list_column, slices, stored_buckets, text_buffer, worker_cache
 
 CHUNK_BYTES = 64 << 20
-PLAIN_LIMIT = "ƀ"
-"""Below this every character is its own NFC form, and letters and lower case are alike in all Unicode versions."""
+PLAIN_LIMIT, PLAIN_BYTE = "\u0180", 0xC6
+"""The first character whose UTF-8 bytes begin with PLAIN_BYTE or more.  Below it every character is its own NFC form, and letters and lower case are alike in all Unicode versions."""
 
 _PART = "_chunk long, _code int, word string, _place int, doc_id long, codes binary"
 
@@ -49,28 +49,29 @@ class Splitter:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
         rules = spec["pre_tokenizer"]["pretokenizers"]
-        self.normalise = whole.normalizer.normalize_str
-        split = json.dumps({**spec, "added_tokens": [], "normalizer": None, "pre_tokenizer": rules[0]})
-        self.exact = Tokenizer.from_str(split).pre_tokenizer.pre_tokenize_str
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
+        bare = {**spec, "added_tokens": [], "pre_tokenizer": rules[0], "model": {**spec["model"], "vocab": {}, "merges": []}}
+        bare = Tokenizer.from_str(json.dumps(bare))
+        self.normalise, self.exact = bare.normalizer.normalize_str, bare.pre_tokenizer.pre_tokenize_str
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.at_special = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
         below = [chr(c) for c in range(ord(PLAIN_LIMIT))]
         kinds = {k: "".join(re.escape(c) for c in below if unicodedata.category(c)[0] == k) for k in "LN"}
         space = "".join(re.escape(c) for c in below if self.exact(c) == [])
         pattern = rules[0]["pattern"]["Regex"].replace(r"\p{L}", kinds["L"]).replace(r"\p{N}", kinds["N"]).replace(r"\s", space)
-        self.plain, self.spaces = re.compile(pattern), re.compile(f"[{space}]+")
+        self.pattern, self.spaces = re.compile(pattern), re.compile(f"[{space}]+")
 
     def runs(self, text: str) -> list[str] | None:
-        """The parts between white space of a text that the plain pattern can split, else None."""
-        if max(text, default="") >= PLAIN_LIMIT or self.special.search(text):
-            return None
-        return self.spaces.split(text.lower())
+        """The parts between white space of a text whose characters are below PLAIN_LIMIT; None if it spells a special token."""
+        return None if any(t in text for t in self.special) else self.spaces.split(text.lower())
+
+    def plain(self, run: str) -> list[str]:
+        return [run] if run.isalpha() else self.pattern.findall(run)
 
     def words(self, text: str) -> list[str]:
         out, at = [], 0
-        for m in [*self.special.finditer(text), None]:
+        for m in [*self.at_special.finditer(text), None]:
             part = text[at: m.start() if m else len(text)]
             out += [w for w, _ in self.exact(self.normalise(part))] if part else []
             if m:
@@ -94,65 +95,63 @@ class Numbers(dict):
         return tuple(self.words.setdefault(w, len(self.words)) for w in words)
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Whole numbers below 2**31, seven bits a byte, low bits first; the last byte of each is below 128."""
+def packed(values: np.ndarray, counts: np.ndarray) -> pa.BinaryArray:
+    """Runs of ``counts`` whole numbers below 2**31, seven bits a byte, low bits first; a number's last byte is below 128."""
     size = np.ones(len(values), np.int64)
     for k in range(1, 5):
         size += values >= 1 << 7 * k
-    at = np.cumsum(size) - size
+    ends = np.cumsum(size)
     out = np.zeros(int(size.sum()), np.uint8)
     for k in range(5):
-        own = size > k
-        out[at[own] + k] = values[own] >> 7 * k & 127 | (size[own] > k + 1) * 128
-    return out.tobytes()
+        own = np.flatnonzero(size > k) if k else slice(None)
+        out[(ends - size)[own] + k] = values[own] >> 7 * k & 127 | (size[own] > k + 1) * 128
+    edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(edges), pa.py_buffer(out)])
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.int64)
+def unpacked(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column and how many each row holds."""
+    raw, offsets = text_buffer(column)
     last = np.flatnonzero(raw < 128)
+    counts = np.diff(np.searchsorted(last, offsets))
+    if not len(raw):
+        return np.zeros(0, np.int64), counts
     first = np.concatenate([[0], last[:-1] + 1])
     place = np.arange(len(raw)) - np.repeat(first, last - first + 1)
-    return np.add.reduceat((raw & 127).astype(np.int64) << 7 * place, first)
+    return np.add.reduceat((raw & 127).astype(np.int64) << 7 * place, first), counts
 
 
 def _split(path: str, chunk_bytes: int):
-    def part(chunk: int, **columns) -> pa.RecordBatch:
-        n = len(next(iter(columns.values())))
-        kinds = {"_chunk": pa.int64(), "_code": pa.int32(), "word": pa.string(), "_place": pa.int32(), "doc_id": pa.int64(), "codes": pa.binary()}
-        columns["_chunk"] = [chunk] * n
+    kinds = {"_chunk": pa.int64(), "_code": pa.int32(), "word": pa.string(), "_place": pa.int32(), "doc_id": pa.int64(), "codes": pa.binary()}
+
+    def part(n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], list(kinds))
 
     def run(batches):
         splitter = worker_cache(f"words:{path}", lambda: Splitter(path))
-        first = TaskContext.get().partitionId() << 24
-        chunk, size, place, numbers = first, 0, 0, Numbers(splitter.plain.findall)
+        chunk, size, place, numbers = TaskContext.get().partitionId() << 24, 0, 0, Numbers(splitter.plain)
 
         def dictionary():
             words = list(numbers.words)
             for at in range(0, len(words), 20_000):
                 own = words[at: at + 20_000]
-                yield part(chunk, _code=np.arange(at, at + len(own), dtype=np.int32), word=own)
-
-        for batch in batches:
-            texts, ids = batch.column("text"), batch.column("doc_id").to_pylist()
-            done = 0
-            while done < len(ids):
-                places, codes = [], []
-                while done + len(codes) < len(ids) and (not size or size < chunk_bytes):
-                    text = texts[done + len(codes)].as_py() or ""
-                    runs = splitter.runs(text)
-                    own = chain.from_iterable(map(numbers.__getitem__, runs)) if runs is not None else numbers.of(splitter.words(text))
-                    codes.append(packed(np.fromiter(own, np.int64)))
-                    places.append(place)
-                    place += 1
-                    size += len(text) + 1
-                yield part(chunk, _place=places, doc_id=ids[done: done + len(codes)], codes=codes)
-                done += len(codes)
-                if size >= chunk_bytes:
-                    yield from dictionary()
-                    chunk, size, place, numbers = chunk + 1, 0, 0, Numbers(splitter.plain.findall)
+                yield part(len(own), _chunk=np.full(len(own), chunk), _code=np.arange(at, at + len(own), dtype=np.int32), word=own)
+
+        for rows, data, offsets in slices(batches):
+            texts, n = rows.column("text"), rows.num_rows
+            odd = set((np.searchsorted(offsets, np.flatnonzero(data >= PLAIN_BYTE), side="right") - 1).tolist())
+            found = []
+            for i in range(n):
+                text = texts[i].as_py() or ""
+                runs = None if i in odd else splitter.runs(text)
+                own = chain.from_iterable(map(numbers.__getitem__, runs)) if runs is not None else numbers.of(splitter.words(text))
+                found.append(np.fromiter(own, np.int64))
+            codes = packed(np.concatenate(found), np.array([len(f) for f in found]))
+            yield part(n, _chunk=np.full(n, chunk), _place=np.arange(place, place + n, dtype=np.int32), doc_id=rows.column("doc_id"), codes=codes)
+            place, size = place + n, size + len(data) + n
+            if size >= chunk_bytes:
+                yield from dictionary()
+                chunk, size, place, numbers = chunk + 1, 0, 0, Numbers(splitter.plain)
         yield from dictionary()
 
     return run
@@ -170,7 +169,7 @@ class WordEncoder:
         self.exact = Tokenizer.from_str(json.dumps(alone))
 
     def ids(self, words: list[str]) -> list[list[int]]:
-        found = self.exact.encode_batch(words, add_special_tokens=False)
+        found = self.exact.encode_batch_fast(words, add_special_tokens=False)
         return [[self.special[w]] if w in self.special else e.ids for w, e in zip(words, found)]
 
 
@@ -178,9 +177,10 @@ def _encode(path: str):
     def run(batches):
         encoder = worker_cache(f"word-ids:{path}", lambda: WordEncoder(path))
         for batch in batches:
-            ids = encoder.ids(batch.column("word").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([packed(np.array(i, np.int64)) for i in ids], pa.binary())],
-                                             ["word", "ids"])
+            if batch.num_rows:
+                ids = encoder.ids(batch.column("word").to_pylist())
+                flat = np.fromiter(chain.from_iterable(ids), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("word"), packed(flat, np.array([len(i) for i in ids]))], ["word", "ids"])
 
     return run
 
@@ -188,21 +188,19 @@ def _encode(path: str):
 def _by_position(rows: pa.Table, dictionary: pa.Table) -> pa.Table:
     """One chunk: word numbers of each document -> ids."""
     code = dictionary["_code"].to_numpy()
-    raw = [b.as_py() for b in dictionary["ids"]]
-    ids = unpacked(b"".join(raw))
-    size = np.array([sum(x < 128 for x in b) for b in raw], np.int64)  # each number ends with a byte below 128
-    start = np.zeros(len(code), np.int64)
-    start[code], length = np.cumsum(size) - size, np.zeros(len(code), np.int64)
-    length[code] = size
+    ids, size = unpacked(dictionary["ids"])
+    ids = ids.astype(np.int32)
+    start, length = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+    start[code], length[code] = np.cumsum(size) - size, size
     rows = rows.sort_by("_place")
-    out, counts = [], np.zeros(len(rows), np.int64)
-    for i, blob in enumerate(rows["codes"]):
-        own = unpacked(blob.as_py())
+    out, counts = [np.zeros(0, np.int32)], []
+    for batch in rows.select(["codes"]).to_batches(max_chunksize=64):
+        own, words = unpacked(batch.column(0))
         n = length[own]
-        counts[i] = n.sum()
         ends = np.cumsum(n)
-        out.append(ids[np.repeat(start[own] - ends + n, n) + np.arange(counts[i])].astype(np.int32))
-    return pa.table({"doc_id": rows["doc_id"], "ids": list_column(np.concatenate(out) if out else np.zeros(0, np.int32), counts, pa.int32())})
+        out.append(ids[np.repeat(start[own] - ends + n, n) + np.arange(n.sum())])
+        counts.append(np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words)])]))
+    return pa.table({"doc_id": rows["doc_id"], "ids": list_column(np.concatenate(out), np.concatenate(counts), pa.int32())})
 
 
 def word_parts(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -212,19 +210,22 @@ def word_parts(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> Da
     return stored_buckets(texts.mapInArrow(_split(path, chunk_bytes), _PART), "word-parts", "_chunk")
 
 
-def word_table(parts: DataFrame, path: str) -> DataFrame:
-    """Every distinct word with its packed ids, each encoded once."""
-    words = parts.where(F.col("word").isNotNull()).select("word").distinct()
-    return stored(words.mapInArrow(_encode(path), "word string, ids binary"), "words")
+def word_table(dictionary: DataFrame, path: str) -> DataFrame:
+    """Every distinct word with its packed ids, each encoded once.  ``dictionary`` is dealt by word already; the other
+    columns stay in the grouping so that Spark reads that one exchange here and in the join."""
+    words = dictionary.groupBy("word").agg(F.min("_of").alias("_of"), F.min("_code").alias("_code"))
+    return words.mapInArrow(_encode(path), "word string, ids binary")
 
 
 def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id and ids (array of int) of every row of ``docs``."""
     parts = word_parts(docs, path, chunk_bytes)
-    dictionary = (parts.where(F.col("word").isNotNull()).select("_chunk", "_code", "word")
-                  .join(word_table(parts, path), "word").select(F.col("_chunk").alias("_of"), "_code", "ids"))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts.rdd.getNumPartitions())
+    dictionary = (parts.where(F.col("word").isNotNull()).select("word", F.col("_chunk").alias("_of"), "_code")
+                  .repartition(tasks, "word"))  # dealt once, for the distinct words and for the join
+    known = dictionary.join(word_table(dictionary, path).hint("merge"), "word").select("_of", "_code", "ids")
     rows = parts.where(F.col("word").isNull()).select("_chunk", "_place", "doc_id", "codes")
-    return (rows.groupBy("_chunk").cogroup(dictionary.groupBy("_of"))
+    return (rows.groupBy("_chunk").cogroup(known.groupBy("_of"))
             .applyInArrow(_by_position, "doc_id long, ids array<int>"))
 
 

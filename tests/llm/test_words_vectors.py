@@ -1,5 +1,6 @@
 """Word-table BPE, hard negatives and centroid clustering: the library, brute force and defined cases."""
 
+import functools
 import hashlib
 import math
 import random
@@ -19,27 +20,34 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-@pytest.fixture(scope="module")
-def library():
+@functools.cache
+def _library():
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(PATH)
 
 
+@pytest.fixture
+def library():
+    return _library()
+
+
 # --- BPE through the word table -------------------------------------------------------------------------------------
-def _ids(text):
+@functools.cache
+def _ids():
     splitter, encoder = wordcodes.Splitter(PATH), wordcodes.WordEncoder(PATH)
 
     def of(t):
-        runs = splitter.runs(t)
-        words = splitter.words(t) if runs is None else [w for r in runs for w in splitter.plain.findall(r)]
+        runs = splitter.runs(t) if max(t, default="") < wordcodes.PLAIN_LIMIT else None
+        words = splitter.words(t) if runs is None else [w for r in runs for w in splitter.plain(r)]
         return [i for own in encoder.ids(words) for i in own]
 
-    return of if text is None else of(text)
+    return of
 
 
 def test_plain_splitting_equals_the_library_on_every_character(library):
-    of = _ids(None)
+    of = _ids()
+    assert wordcodes.PLAIN_LIMIT.encode()[0] == wordcodes.PLAIN_BYTE > chr(ord(wordcodes.PLAIN_LIMIT) - 1).encode()[0]
     for c in range(ord(wordcodes.PLAIN_LIMIT)):
         for text in (chr(c), f"a{chr(c)}B1{chr(c)}{chr(c)} {chr(c)}'S x'{chr(c)}", "É" + chr(c)):
             assert of(text) == library.encode(text, add_special_tokens=False).ids, (hex(c), text)
@@ -51,18 +59,17 @@ ODD = st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_fro
 @settings(max_examples=150, deadline=None)
 @given(ODD, st.sampled_from(["", "<|startoftext|>", "<|endoftext|>x", "<|endoftext"]))
 def test_words_give_the_ids_of_the_library(text, special):
-    from tokenizers import Tokenizer
-
-    library = test_words_give_the_ids_of_the_library.__dict__.setdefault("library", Tokenizer.from_file(PATH))
-    of = test_words_give_the_ids_of_the_library.__dict__.setdefault("of", _ids(None))
     whole = text + special + text
-    assert of(whole) == library.encode(whole, add_special_tokens=False).ids
+    assert _ids()(whole) == _library().encode(whole, add_special_tokens=False).ids
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(0, 2 ** 31 - 1), max_size=50))
-def test_packed_numbers_round_trip(values):
-    assert wordcodes.unpacked(wordcodes.packed(np.array(values, np.int64))).tolist() == values
+@given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2 ** 31 - 1)), max_size=9), max_size=9))
+def test_packed_numbers_round_trip(rows):
+    column = wordcodes.packed(np.array([x for r in rows for x in r], np.int64), np.array([len(r) for r in rows], np.int64))
+    for part, expected in ((column, rows), (column[1:], rows[1:])):
+        values, counts = wordcodes.unpacked(part)
+        assert [v.tolist() for v in np.split(values, np.cumsum(counts)[:-1])][: len(expected)] == expected and counts.tolist() == [len(r) for r in expected]
 
 
 def test_encode_and_decode_equal_the_library(spark, documents, library):
@@ -93,6 +100,19 @@ def test_word_numbers_are_not_shuffled(spark, documents):
     assert not any("Exchange" in line for line in above)
 
 
+def test_dictionaries_are_dealt_by_word_once(spark, documents):
+    rows = wordcodes.encode(documents([(i, f"a b{i} c{i % 5}", "en") for i in range(50)]), PATH)
+    rows.write.format("noop").mode("overwrite").save()
+    from pyspark.sql import functions as F  # the adaptive plan shows reuse only once it has run
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = rows.select(F.size("ids"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("REPARTITION_BY_NUM") - plan.count("ReusedExchange") <= 1
+
+
 def test_query_on_whole_documents(spark, library):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
     rows = QUERIES["op11_word_table"](spark, SF_SMALL).collect()
