@@ -4,8 +4,8 @@ A word-level BPE never merges across words, so the ids of a text are the ids of
 
 1. *split*: tasks cut the texts into words and write, for each chunk of about CHUNK_BYTES of text, the word numbers of
    each document and the chunk's dictionary (number, word) into one table that is bucketed by chunk;
-2. *encode*: the distinct words of all dictionaries make the word table; the library encodes each of them once;
-3. *join back*: dictionaries join the word table by word, and each chunk's numbers meet its ids by position.
+2. *encode*: all dictionaries, dealt and sorted by word, are the table of distinct words; the library encodes each once;
+3. *join back*: the ids go to the chunks that hold the word, where each document's numbers meet them by position.
 
 Bucketing leaves the numbers (one for every word of the corpus) where they were written; only dictionaries are shuffled.
 A word that a third of all text consists of is one dictionary row per chunk.  Decoding joins ids with the pieces of the
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from edgelog.llm.common import bounded_batches, list_column, slices, stored_buckets, text_buffer, worker_cache
 
-CHUNK_BYTES = 64 << 20
+CHUNK_BYTES, ROWS_A_BLOCK = 14 << 20, 1 << 17
 PLAIN_LIMIT, PLAIN_BYTE = "\u0180", 0xC6
 """The first character whose UTF-8 bytes begin with PLAIN_BYTE or more.  Below it every character is its own NFC form, and letters and lower case are alike in all Unicode versions."""
 
@@ -174,33 +174,62 @@ class WordEncoder:
 
 
 def _encode(path: str):
+    """Rows sorted by word -> per chunk the word numbers, how many ids each has, and the ids.  Equal words stand side by
+    side, so a word is encoded once however many chunks hold it."""
+
     def run(batches):
         encoder = worker_cache(f"word-ids:{path}", lambda: WordEncoder(path))
+        held, before, known = [], None, None
+
+        def flush():
+            of, code, sizes, ids = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.argsort(of, kind="stable")
+            starts = np.cumsum(sizes) - sizes
+            n = sizes[order]
+            ends = np.cumsum(n)
+            at = np.repeat(starts[order] - ends + n, n) + np.arange(n.sum())
+            chunks, counts = np.unique(of, return_counts=True)
+            inside = np.add.reduceat(n, np.cumsum(counts) - counts)
+            return pa.RecordBatch.from_arrays([pa.array(chunks), packed(code[order], counts), packed(n, counts), packed(ids[at], inside)],
+                                              ["_of", "numbers", "sizes", "ids"])
+
         for batch in batches:
-            if batch.num_rows:
-                ids = encoder.ids(batch.column("word").to_pylist())
-                flat = np.fromiter(chain.from_iterable(ids), np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("word"), packed(flat, np.array([len(i) for i in ids]))], ["word", "ids"])
+            if not batch.num_rows:
+                continue
+            words = batch.column("word")
+            new = np.concatenate([[0], np.flatnonzero(pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)) + 1])
+            distinct = words.take(pa.array(new)).to_pylist()
+            again = distinct[0] == before
+            ids = ([known] if again else []) + encoder.ids(distinct[again:])
+            before, known = distinct[-1], ids[-1]
+            runs = np.diff(np.append(new, batch.num_rows))
+            of_each = [np.array(i, np.int64) for i in ids]
+            held.append((batch.column("_of").to_numpy(), batch.column("_code").to_numpy().astype(np.int64),
+                         np.repeat([len(i) for i in ids], runs), np.concatenate([np.tile(i, r) for i, r in zip(of_each, runs)])))
+            if sum(len(h[0]) for h in held) >= ROWS_A_BLOCK:
+                yield flush()
+        if held:
+            yield flush()
 
     return run
 
 
 def _by_position(rows: pa.Table, dictionary: pa.Table) -> pa.Table:
     """One chunk: word numbers of each document -> ids."""
-    code = dictionary["_code"].to_numpy()
-    ids, size = unpacked(dictionary["ids"])
+    (code, _), (size, _), (ids, _) = (unpacked(dictionary[c]) for c in ("numbers", "sizes", "ids"))
     ids = ids.astype(np.int32)
     start, length = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
     start[code], length[code] = np.cumsum(size) - size, size
-    rows = rows.sort_by("_place")
-    out, counts = [np.zeros(0, np.int32)], []
-    for batch in rows.select(["codes"]).to_batches(max_chunksize=64):
-        own, words = unpacked(batch.column(0))
+    rows, out = rows.sort_by("_place"), []
+    for batch in rows.select(["doc_id", "codes"]).to_batches(max_chunksize=64):
+        own, words = unpacked(batch.column("codes"))
         n = length[own]
         ends = np.cumsum(n)
-        out.append(ids[np.repeat(start[own] - ends + n, n) + np.arange(n.sum())])
-        counts.append(np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words)])]))
-    return pa.table({"doc_id": rows["doc_id"], "ids": list_column(np.concatenate(out), np.concatenate(counts), pa.int32())})
+        found = ids[np.repeat(start[own] - ends + n, n) + np.arange(n.sum())]
+        counts = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words)])])
+        out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), list_column(found, counts, pa.int32())], ["doc_id", "ids"]))
+    return pa.Table.from_batches(out, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
 
 def word_parts(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -210,22 +239,19 @@ def word_parts(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> Da
     return stored_buckets(texts.mapInArrow(_split(path, chunk_bytes), _PART), "word-parts", "_chunk")
 
 
-def word_table(dictionary: DataFrame, path: str) -> DataFrame:
-    """Every distinct word with its packed ids, each encoded once.  ``dictionary`` is dealt by word already; the other
-    columns stay in the grouping so that Spark reads that one exchange here and in the join."""
-    words = dictionary.groupBy("word").agg(F.min("_of").alias("_of"), F.min("_code").alias("_code"))
-    return words.mapInArrow(_encode(path), "word string, ids binary")
+def word_ids(parts: DataFrame, path: str) -> DataFrame:
+    """The dictionaries of all chunks with ids for words: dealt and sorted by word, each distinct word encoded once."""
+    tasks = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts.rdd.getNumPartitions())
+    words = parts.where(F.col("word").isNotNull()).select("word", F.col("_chunk").alias("_of"), "_code")
+    return (words.repartition(tasks, "word").sortWithinPartitions("word")
+            .mapInArrow(_encode(path), "_of long, numbers binary, sizes binary, ids binary"))
 
 
 def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id and ids (array of int) of every row of ``docs``."""
     parts = word_parts(docs, path, chunk_bytes)
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts.rdd.getNumPartitions())
-    dictionary = (parts.where(F.col("word").isNotNull()).select("word", F.col("_chunk").alias("_of"), "_code")
-                  .repartition(tasks, "word"))  # dealt once, for the distinct words and for the join
-    known = dictionary.join(word_table(dictionary, path).hint("merge"), "word").select("_of", "_code", "ids")
     rows = parts.where(F.col("word").isNull()).select("_chunk", "_place", "doc_id", "codes")
-    return (rows.groupBy("_chunk").cogroup(known.groupBy("_of"))
+    return (rows.groupBy("_chunk").cogroup(word_ids(parts, path).groupBy("_of"))
             .applyInArrow(_by_position, "doc_id long, ids array<int>"))
 
 

@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -100,17 +101,25 @@ def test_word_numbers_are_not_shuffled(spark, documents):
     assert not any("Exchange" in line for line in above)
 
 
-def test_dictionaries_are_dealt_by_word_once(spark, documents):
-    rows = wordcodes.encode(documents([(i, f"a b{i} c{i % 5}", "en") for i in range(50)]), PATH)
-    rows.write.format("noop").mode("overwrite").save()
-    from pyspark.sql import functions as F  # the adaptive plan shows reuse only once it has run
-
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        plan = rows.select(F.size("ids"))._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert plan.count("REPARTITION_BY_NUM") - plan.count("ReusedExchange") <= 1
+def test_each_distinct_word_is_encoded_once(spark, documents, monkeypatch):
+    monkeypatch.setattr(wordcodes, "ROWS_A_BLOCK", 3)
+    rows = [(i, f"a a b{i % 7} c{i % 5}", "en") for i in range(50)]
+    seen = []
+
+    class Counting(wordcodes.WordEncoder):
+        def ids(self, words):
+            seen.extend(words)
+            return super().ids(words)
+
+    monkeypatch.setattr(wordcodes, "worker_cache", lambda key, build: Counting(PATH))
+    words = sorted((w, c, i) for i, w in enumerate(["a", "b", "c", "d"]) for c in range(9))
+    table = pa.table({"word": [w for w, _, _ in words], "_of": [c for _, c, _ in words], "_code": pa.array([i for _, _, i in words], pa.int32())})
+    parts = list(wordcodes._encode(PATH)(iter(table.to_batches(max_chunksize=4))))
+    assert seen == ["a", "b", "c", "d"]
+    got = {(of, code) for p in parts for of, codes in zip(p.column("_of").to_pylist(), p.column("numbers")) for code in codes.as_py()}
+    assert got == {(c, i) for _, c, i in words}
+    monkeypatch.undo()
+    assert wordcodes.encode(documents(rows, 3), PATH, 20).count() == 50
 
 
 def test_query_on_whole_documents(spark, library):
