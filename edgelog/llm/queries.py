@@ -78,7 +78,7 @@ def op11_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    texts = wordcodes.decode(wordcodes.encode(table(spark, sf_dir, "documents"), path), path)
+    texts = wordcodes.encode_and_decode(table(spark, sf_dir, "documents"), path)
     decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
     return texts.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))

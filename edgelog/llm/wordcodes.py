@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from edgelog.llm.common import bounded_batches, list_column, slices, stored_buckets, text_buffer, worker_cache
 
-CHUNK_BYTES, ROWS_A_BLOCK = 14 << 20, 1 << 17
+CHUNK_BYTES, RUNS_KEPT, ROWS_A_BLOCK = 20 << 20, 1 << 17, 1 << 17
 PLAIN_LIMIT, PLAIN_BYTE = "\u0180", 0xC6
 """The first character whose UTF-8 bytes begin with PLAIN_BYTE or more.  Below it every character is its own NFC form, and letters and lower case are alike in all Unicode versions."""
 
@@ -88,6 +88,8 @@ class Numbers(dict):
         self.split, self.words = split, {}
 
     def __missing__(self, run: str) -> tuple[int, ...]:
+        if len(self) >= RUNS_KEPT:
+            self.clear()  # only a cache; the words stay
         self[run] = found = self.of(self.split(run))
         return found
 
@@ -215,8 +217,8 @@ def _encode(path: str):
     return run
 
 
-def _by_position(rows: pa.Table, dictionary: pa.Table) -> pa.Table:
-    """One chunk: word numbers of each document -> ids."""
+def _by_position(rows: pa.Table, dictionary: pa.Table, pieces: pa.Array | None = None) -> pa.Table:
+    """One chunk: word numbers of each document -> ids (and, given the pieces, their text)."""
     (code, _), (size, _), (ids, _) = (unpacked(dictionary[c]) for c in ("numbers", "sizes", "ids"))
     ids = ids.astype(np.int32)
     start, length = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
@@ -228,8 +230,10 @@ def _by_position(rows: pa.Table, dictionary: pa.Table) -> pa.Table:
         ends = np.cumsum(n)
         found = ids[np.repeat(start[own] - ends + n, n) + np.arange(n.sum())]
         counts = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words)])])
-        out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), list_column(found, counts, pa.int32())], ["doc_id", "ids"]))
-    return pa.Table.from_batches(out, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+        columns = {"doc_id": batch.column("doc_id"), "ids": list_column(found, counts, pa.int32())}
+        out.append(pa.RecordBatch.from_pydict(columns if pieces is None else columns | {"decoded": joined_pieces(columns["ids"], pieces)}))
+    fields = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))] + ([] if pieces is None else [("decoded", pa.string())])
+    return pa.Table.from_batches(out, pa.schema(fields))
 
 
 def word_parts(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -247,12 +251,26 @@ def word_ids(parts: DataFrame, path: str) -> DataFrame:
             .mapInArrow(_encode(path), "_of long, numbers binary, sizes binary, ids binary"))
 
 
-def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id and ids (array of int) of every row of ``docs``."""
+def _chunks(docs: DataFrame, path: str, chunk_bytes: int, assemble, types: str) -> DataFrame:
     parts = word_parts(docs, path, chunk_bytes)
     rows = parts.where(F.col("word").isNull()).select("_chunk", "_place", "doc_id", "codes")
-    return (rows.groupBy("_chunk").cogroup(word_ids(parts, path).groupBy("_of"))
-            .applyInArrow(_by_position, "doc_id long, ids array<int>"))
+    return rows.groupBy("_chunk").cogroup(word_ids(parts, path).groupBy("_of")).applyInArrow(assemble, types)
+
+
+def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id and ids (array of int) of every row of ``docs``."""
+    def assemble(rows: pa.Table, dictionary: pa.Table) -> pa.Table:
+        return _by_position(rows, dictionary)
+
+    return _chunks(docs, path, chunk_bytes, assemble, "doc_id long, ids array<int>")
+
+
+def encode_and_decode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """As ``decode(encode(docs))``, in one pass over the chunks: doc_id, ids and decoded."""
+    def assemble(rows: pa.Table, dictionary: pa.Table) -> pa.Table:
+        return _by_position(rows, dictionary, piece_column(path))
+
+    return _chunks(docs, path, chunk_bytes, assemble, "doc_id long, ids array<int>, decoded string")
 
 
 @functools.lru_cache(maxsize=4)
@@ -268,22 +286,28 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, p) for i, p in enumerate(pieces_of(path)) if p is not None], "id int, piece string")
 
 
+def piece_column(path: str) -> pa.Array:
+    return worker_cache(f"pieces:{path}", lambda: pa.array(pieces_of(path), pa.string()))
+
+
+def joined_pieces(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
+    """The join by id: the pieces of each row's ids, in their order, with one space between."""
+    flat, counts = ids.flatten(), ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    known = pc.and_(pc.less(flat, len(pieces)), pc.greater_equal(flat, 0))
+    found = pieces.take(pc.if_else(known, flat, pa.scalar(None, flat.type)))
+    ends = np.zeros(len(counts) + 1, np.int32)
+    np.cumsum(counts, out=ends[1:])
+    if found.null_count:  # ids that the vocabulary lacks are left out
+        there = np.concatenate([[0], np.cumsum(found.is_valid().to_numpy(zero_copy_only=False))]).astype(np.int32)
+        found, ends = found.drop_null(), there[ends]
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), found), " ")
+
+
 def _decode(path: str):
     def run(batches):
-        pieces = worker_cache(f"pieces:{path}", lambda: pa.array(pieces_of(path), pa.string()))
         for batch in batches:
-            at = batch.schema.get_field_index("ids")
-            flat, sizes = batch.column(at).flatten(), batch.column(at).value_lengths().fill_null(0)
-            known = pc.and_(pc.less(flat, len(pieces)), pc.greater_equal(flat, 0))
-            joined = pieces.take(pc.if_else(known, flat, pa.scalar(None, flat.type)))  # the join: piece of each id, by position
-            counts = sizes.to_numpy(zero_copy_only=False)
-            ends = np.zeros(len(counts) + 1, np.int32)
-            np.cumsum(counts, out=ends[1:])
-            if joined.null_count:  # ids that the vocabulary lacks are left out
-                there = np.concatenate([[0], np.cumsum(joined.is_valid().to_numpy(zero_copy_only=False))]).astype(np.int32)
-                joined, ends = joined.drop_null(), there[ends]
-            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), joined), " ")
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
+            ids = batch.column(batch.schema.get_field_index("ids"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, joined_pieces(ids, piece_column(path))], [*batch.schema.names, "decoded"])
 
     return run
 

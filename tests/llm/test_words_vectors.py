@@ -76,7 +76,9 @@ def test_packed_numbers_round_trip(rows):
 def test_encode_and_decode_equal_the_library(spark, documents, library):
     rows = AWKWARD + [(20, "Zoë's <|startoftext|> 12 ΣΑΣ H̱", "en"), (21, "x" * 5000, None), (22, "same words", "en"), (22, "same words", "en")]
     for chunk in (1, 40, 1 << 26):  # a chunk per row, chunks of a few rows, one chunk a task
-        got = wordcodes.decode(wordcodes.encode(documents(rows, 3), PATH, chunk), PATH).collect()
+        docs = documents(rows, 3)
+        got = wordcodes.decode(wordcodes.encode(docs, PATH, chunk), PATH).collect()
+        assert sorted(map(str, got)) == sorted(map(str, wordcodes.encode_and_decode(docs, PATH, chunk).collect()))
         expected = []
         for i, text, _ in rows:
             ids = library.encode(text or "", add_special_tokens=False).ids
@@ -103,6 +105,9 @@ def test_word_numbers_are_not_shuffled(spark, documents):
 
 def test_each_distinct_word_is_encoded_once(spark, documents, monkeypatch):
     monkeypatch.setattr(wordcodes, "ROWS_A_BLOCK", 3)
+    monkeypatch.setattr(wordcodes, "RUNS_KEPT", 2)
+    numbers = wordcodes.Numbers(str.split)
+    assert [numbers[r] for r in ("a b", "a", "c a b", "a b")] == [(0, 1), (0,), (2, 0, 1), (0, 1)]
     rows = [(i, f"a a b{i % 7} c{i % 5}", "en") for i in range(50)]
     seen = []
 
