@@ -82,11 +82,16 @@ def stored_buckets(df: DataFrame, label: str, column: str) -> DataFrame:
 
 
 def row_key(df: DataFrame, column: str = "_row") -> DataFrame:
-    """A key per row (repeated ids stay apart).  It is the same on every evaluation of rows read from files or from another
-    fixed order; store rows that were dealt at random (``repartition`` without a key) first."""
+    """A key per row (repeated ids stay apart) for one evaluation.  How files are cut into tasks decides it, and that may
+    change between passes (an executor more or less): what is read twice takes ``keyed``."""
     return df.withColumn(column, F.monotonically_increasing_id())
 
 
+def keyed(df: DataFrame, column: str = "_row") -> DataFrame:
+    """The rows with a key each, stored once: every pass reads the same keys."""
+    return stored(row_key(df, column), "keyed")
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the value as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(n)
@@ -159,8 +164,10 @@ def list_column(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, label_name: str) -> DataFrame:
     """Stored (text, y) of at most ``rows`` labelled documents, drawn by hash of the id so that the choice doesn't depend
-    on order or partitions.  A document with several labels counts with the highest; null labels don't count."""
+    on order or partitions.  A document with several labels counts with the highest; null labels don't count; of documents
+    with one id the smallest text counts."""
     chosen = (labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("y"))
               .orderBy(F.xxhash64("_id"), "_id").limit(rows))
-    texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-    return stored(texts.select(F.coalesce("text", F.lit("")).alias("text"), "y").repartition(16), label_name)
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id", "y").agg(F.min("text").alias("text"))
+    return stored(texts.select("text", "y"), label_name)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelog.llm.common import bounded_batches, row_key, slices
+from edgelog.llm.common import bounded_batches, keyed, row_key, slices
 from edgelog.llm.textops import (Powers, byte_values, int64, lower_table, ngrams, prefix_sums, sliding_min, spans_hash,
                                  words)
 
@@ -92,8 +92,8 @@ def _document_windows(bits: bytes, lengths: list[int]):
     return scan
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (with its row key ``_row``): doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str | None = None) -> DataFrame:
+    """Per row of ``docs`` (with its row key ``_row``, the stored column ``key`` if given): doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     bounded_batches(docs.sparkSession)
     items = (benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text"))
              .mapInArrow(_item_windows, "item string, n int, fp long, words string"))
@@ -105,8 +105,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     np.bitwise_or.at(table, positions >> 3, (1 << (positions & 7)).astype(np.uint8))
     lengths = sorted(r[0] for r in items.select("n").distinct().collect())  # at most WINDOW values
 
-    keyed = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("_row", "doc_id", "text")
-    scanned = keyed.mapInArrow(
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")]
+    rows = docs.select(F.col(key).alias("_row"), *columns) if key else row_key(docs.select(*columns)).select("_row", "doc_id", "text")
+    scanned = rows.mapInArrow(
         _document_windows(table.tobytes(), lengths),
         "_row long, doc_id long, n_words long, found array<struct<at:int,n:int,fp:long,words:string>>")
     hits = (scanned.select("_row", "doc_id", "n_words", F.explode_outer("found").alias("f"))
@@ -128,6 +129,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a benchmark window, all columns kept."""
-    hit = contamination(docs, benchmark).where("contaminated").select(F.col("_row").alias("__hit_row"))
-    keyed = row_key(docs, "__keep_row")
-    return keyed.join(hit, keyed["__keep_row"] == hit["__hit_row"], "left_anti").drop("__keep_row")
+    rows = keyed(docs, "__keep_row")
+    hit = contamination(rows, benchmark, "__keep_row").where("contaminated").select(F.col("_row").alias("__hit_row"))
+    return rows.join(hit, rows["__keep_row"] == hit["__hit_row"], "left_anti").drop("__keep_row")

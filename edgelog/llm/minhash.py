@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelog.llm.common import bounded_batches, broadcast_if_small, list_column, row_key, slices, stored
+from edgelog.llm.common import bounded_batches, broadcast_if_small, keyed, list_column, slices, stored
 from edgelog.llm.components import components
-from edgelog.llm.textops import Powers, byte_values, int64, lower_table, mix, ngrams, prefix_sums, spans_hash, words
+from edgelog.llm.textops import Powers, byte_values, int64, lower_table, mix, ngrams, prefix_sums, words, words_hash
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 24, 4
@@ -43,7 +43,7 @@ def shingle_bags(data: np.ndarray, offsets: np.ndarray, powers: Powers, values:
     """(text number, shingle hash, count) of all texts, sorted by text and hash."""
     n = len(offsets) - 1
     start, end, text = words(data, offsets)
-    hashes = spans_hash(prefix_sums(data, values, powers), start, end, powers)
+    hashes = words_hash(data, prefix_sums(data, values, powers), start, end, powers)
     own, grams = [], []
     g = ngrams(hashes, SHINGLE)
     inside = text[: len(g)] == text[SHINGLE - 1:] if len(g) else np.zeros(0, bool)
@@ -254,13 +254,14 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return stored(kept.unionByName(fresh), "labels")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Per row of ``docs``: _row, doc_id, class_id (smallest doc_id of the class), class_row (its first row) and
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str | None = None) -> DataFrame:
+    """Per row of ``docs``: _row (its stored column ``key``, or a key made here), doc_id, class_id (smallest doc_id of the class), class_row (its first row) and
     text_row (first row with an equal text)."""
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")))
-    signed = stored(keyed.select("_row", "doc_id", F.md5(F.col("text").cast("binary")).alias("cls"), "text")
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")]
+    rows = docs.select(F.col(key).alias("_row"), *columns) if key else keyed(docs.select(*columns))
+    signed = stored(rows.select("_row", "doc_id", F.md5(F.col("text").cast("binary")).alias("cls"), "text")
                     .mapInArrow(_sign, "_row long, doc_id long, cls string, weight long, bands array<bigint>"), "signatures")
     # equal texts are one node, named by their first row, before anything is dealt by bucket
     nodes = signed.groupBy("cls").agg(F.min("_row").alias("node"), F.min("doc_id").alias("node_id"))
@@ -271,7 +272,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     candidates = members.select("node").distinct()
     n_candidates = candidates.count()
     wanted = broadcast_if_small(candidates.select(F.col("node").alias("_row")), n_candidates, 16)
-    bags = stored(keyed.select("_row", "text").join(wanted, "_row", "left_semi")
+    bags = stored(rows.select("_row", "text").join(wanted, "_row", "left_semi")
                   .mapInArrow(_bags, "node long, shingles array<bigint>, counts array<int>"), "bags")
 
     def close(a: str, b: str):  # necessary for the similarity, and cheap
@@ -319,6 +320,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The first row of each class, all columns kept."""
-    gone = stored(near_duplicates(docs, similarity).where("_row != class_row").select(F.col("_row").alias("__gone_row")), "gone")
-    keyed = row_key(docs, "__keep_row")
-    return keyed.join(broadcast_if_small(gone, gone.count(), 16), keyed["__keep_row"] == gone["__gone_row"], "left_anti").drop("__keep_row")
+    rows = keyed(docs, "__keep_row")
+    gone = stored(near_duplicates(rows, similarity, "__keep_row").where("_row != class_row").select(F.col("_row").alias("__gone_row")), "gone")
+    return rows.join(broadcast_if_small(gone, gone.count(), 16), rows["__keep_row"] == gone["__gone_row"], "left_anti").drop("__keep_row")

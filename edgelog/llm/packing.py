@@ -116,13 +116,22 @@ def _exact(gap: int, left: list[int], most: int) -> list[int] | None:
 
 
 def plan(counts: list[int], capacity: int) -> list[tuple[int, list[int]]]:
-    """(how many sequences, lengths in each) for a histogram: counts[l] pieces of length l."""
+    """(how many sequences, lengths in each) for a histogram: counts[l] pieces of length l.
+
+    Complements of small pieces may use up what long pieces need, so the exact phase is planned down to each of a few
+    least lengths (none: plain best-fit) and the plan of fewest sequences is taken, the one with most exact fits among equals."""
+    plans = [_plan(counts, capacity, least) for least in (1, capacity // 4, capacity // 3, capacity // 2, 3 * capacity // 4, capacity)]
+    return min(plans, key=lambda p: sum(times for times, _ in p))
+
+
+def _plan(counts: list[int], capacity: int, least: int) -> list[tuple[int, list[int]]]:
+    """Exact complements for lengths from ``least`` up, the rest best-fit."""
     left, out = [*counts, *[0] * (capacity + 1 - len(counts))], []
     residual = [0] * (capacity + 1)
     for big in range(capacity, 0, -1):
         while left[big]:
             left[big] -= 1
-            rest = _exact(capacity - big, left, big) if big < capacity else []
+            rest = (_exact(capacity - big, left, big) if big >= least else None) if big < capacity else []
             left[big] += 1
             if rest is None:
                 residual[big], left[big] = left[big], 0

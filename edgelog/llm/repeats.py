@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelog.llm.common import bounded_batches, broadcast_if_small, list_column, row_key, slices, stored
+from edgelog.llm.common import bounded_batches, broadcast_if_small, keyed, list_column, slices, stored
 from edgelog.llm.suffixes import suffix_arrays
 from edgelog.llm.textops import Powers, byte_values, int64, mix, prefix_sums, sliding_min, spans_hash
 
@@ -285,18 +285,19 @@ def _merge(batches):
                                           list_column(np.array(out_to, np.int64), np.array(per), pa.int64())], ["node", "begins", "ends"])
 
 
-def _ordered(docs: DataFrame) -> DataFrame:
-    return row_key(docs.select("doc_id", "text")).select(
-        "_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("o"), F.coalesce("text", F.lit("")).alias("text"))
+def _ordered(docs: DataFrame, key: str) -> DataFrame:
+    return docs.select(
+        F.col(key).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("o"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
-    """Stored (node, begins, ends): disjoint byte spans to remove, ascending, of every row that has any."""
+def removed_spans(docs: DataFrame, key: str = "_row") -> DataFrame:
+    """Stored (node, begins, ends): disjoint byte spans to remove, ascending, of every row that has any.  ``node`` is the
+    row's stored column ``key``."""
     bounded_batches(docs.sparkSession)
-    keyed = _ordered(docs)
-    shared = stored(keyed.select("text").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
+    rows = _ordered(docs, key)
+    shared = stored(rows.select("text").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
                     .where("n > 1").select("anchor"), "anchors")
-    found = keyed.mapInArrow(_segments, "anchor long, ctx long, o long, node long, at long, rel smallint, m smallint")
+    found = rows.mapInArrow(_segments, "anchor long, ctx long, o long, node long, at long, rel smallint, m smallint")
     held = stored(found.join(shared, "anchor"), "segments")
     spot = F.struct("o", "node", "at")
     firsts = stored(held.groupBy("anchor", "ctx").agg(F.min(F.struct("o", "node", "at", "rel", "m")).alias("f"), F.count("*").alias("copies")), "contexts")
@@ -308,7 +309,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     open_ = firsts.join(several, "anchor").select("anchor", "f.*", "n")
     wanted = stored(open_.groupBy("node").agg(F.collect_list(F.struct("anchor", "at", "rel", "m", "n")).alias("wanted")), "wanted")
     n_wanted = wanted.count()
-    some = keyed.join(broadcast_if_small(wanted.select(F.col("node").alias("_row")), n_wanted, 16), "_row", "left_semi")
+    some = rows.join(broadcast_if_small(wanted.select(F.col("node").alias("_row")), n_wanted, 16), "_row", "left_semi")
     texts = some.join(wanted, F.col("_row") == F.col("node")).select("_row", "o", "text", "wanted")
     bits = stored(texts.mapInArrow(_snippets, "key long, crowded boolean, o long, node long, at long, rel smallint, m smallint, snippet binary"), "snippets")
 
@@ -359,10 +360,10 @@ ROW, NODE, BEGINS, ENDS = "__cut_row", "__cut_node", "__cut_begins", "__cut_ends
 
 
 def _with_spans(docs: DataFrame, columns: list) -> DataFrame:
-    spans = removed_spans(docs).toDF(NODE, BEGINS, ENDS)
+    rows = keyed(docs.select(*columns), ROW)
+    spans = removed_spans(rows, ROW).toDF(NODE, BEGINS, ENDS)
     size = spans.agg(F.count("*").alias("n"), F.sum(F.size(BEGINS)).alias("m")).first()
-    keyed = row_key(docs.select(*columns), ROW)
-    return keyed.join(broadcast_if_small(spans, size["n"] * 3 + (size["m"] or 0), 16), F.col(ROW) == F.col(NODE), "left").drop(ROW, NODE)
+    return rows.join(broadcast_if_small(spans, size["n"] * 3 + (size["m"] or 0), 16), F.col(ROW) == F.col(NODE), "left").drop(ROW, NODE)
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ every non-ASCII character.  Every byte of a non-ASCII character is >= 0x80, so U
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -66,6 +68,18 @@ def spans_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Pow
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U) * U(0xA0761D6478BD642F))
 
 
+LONG_WORD = 256
+
+
+def words_hash(data: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
+    """As ``spans_hash``, but spans over LONG_WORD bytes go through BLAKE2: for sequences like Thue and Morse's, from some
+    thousand bytes on, a polynomial modulo 2**64 gives a word and its complement one hash."""
+    out = spans_hash(sums, start, end, powers)
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i]: end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text number) of every word of the texts that ``offsets`` delimit."""
     inside = word_table()[data]

@@ -4,8 +4,8 @@ Features are the words and word beginnings that a text holds once, twice or four
 penalty on (z(x) - z(x'))**2, where x' is the text with its identity terms swapped for another of the same group:
 the score may not depend on which group a text mentions, so neutral mentions aren't taken for toxicity.
 
-The classifier is fitted on at most ROWS labelled rows (drawn by hash), with the FEATURES features that tell the classes apart
-best by the G-test; counts come from Spark jobs over that sample, the driver holds the chosen features of the sample only.
+The classifier is fitted on at most ROWS labelled rows (drawn by hash), with the at most FEATURES features that tell the classes
+apart best by the G-test, above the value that the best of so many features reaches by chance; counts come from Spark jobs over that sample, the driver holds the chosen features of the sample only.
 Scoring covers every whole text, vectorised in the scan.
 
 Defined cases: a null or empty text has no feature and gets the score of the intercept; repeated rows are scored
@@ -218,7 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[np.ndarra
 
     share = (k1 + k0) / (n1 + n0)
     g = part(k1, n1 * share) + part(k0, n0 * share) + part(n1 - k1, n1 * (1 - share)) + part(n0 - k0, n0 * (1 - share))
-    best = np.lexsort((hashes, -g.max(axis=1)))[:FEATURES]
+    # by chance alone the best of n features reaches a G of about ln(n); what stays below can't be told from noise
+    best = np.lexsort((hashes, -g.max(axis=1)))[:min(FEATURES, max(1, int((g.max(axis=1) > np.log(len(hashes))).sum())))]
     chosen = np.sort(hashes[best].view(np.uint64))
     design = sample.mapInArrow(_design(chosen), "y int, has array<int>, swapped array<int>").toArrow()
     order = sorted(range(design.num_rows), key=lambda i: (design["y"][i].as_py(), design["has"][i].as_py()))
