@@ -8,10 +8,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgelog.functions.timekeys import compaction_hour, hour_key, next_hour
-from edgelog.schema import ALL_COLUMNS, FULL_SCHEMA, PARTITION_KEYS
+from edgelog.functions.timekeys import compaction_hour, next_hour
+from edgelog.schema import ALL_COLUMNS, PARTITION_KEYS
 from edgelog.session import path_exists
-from edgelog.sources.accesslog import file_name, read_hot
+from edgelog.sources.accesslog import read_hot
 
 # File-name date pattern (year, month, day, hour groups) and basename pattern.
 DATE_PATTERN = r"[^\d](\d{4})-(\d{2})-(\d{2})-(\d{2})[^\d]"
@@ -64,26 +64,6 @@ def object_key(path: Column, root: str, encoded: bool = True) -> Column:
     return plain.substr(F.lit(len(_strip_scheme(root)) + 2), F.length(plain))
 
 
-def route_files(spark: SparkSession, lake_root: str, source: str = "new", target: str = "hot",
-                mode: str = "append") -> DataFrame:
-    """D1 as a data route: every line of every matched file under ``source``
-    goes into ``target/year=/month=/day=/hour=`` (hour from the *file name*).
-
-    Map-only: each gz file is one task and writes one file into its hour, so
-    there is no shuffle and no hot-hour task.  Returns the D2 report.
-    ``mode="overwrite"`` replaces the whole target (an idempotent rebuild);
-    incremental routing is the exactly-once stream (T1)."""
-    src = f"{lake_root}/{source}"
-    lines = (spark.read.option("recursiveFileLookup", "true").text(src)
-             .select("value", F.col("_metadata.file_path").alias("path")))
-    keyed = lines.withColumn("key", object_key(F.col("path"), lake_root))
-    routed = route_keys(keyed).where("routed")
-    (routed.select("value", *PARTITION_KEYS)
-     .write.mode(mode).option("partitionOverwriteMode", "static").partitionBy(*PARTITION_KEYS)
-     .option("compression", "gzip").text(f"{lake_root}/{target}"))
-    return unrouted(list_files(spark, src, relative_to=lake_root))
-
-
 def register_next_hour(spark: SparkSession, table: str, now: dt.datetime) -> dict[str, str]:
     """D3: ``ALTER TABLE .. ADD IF NOT EXISTS PARTITION`` for the hour after ``now``.
 
@@ -110,72 +90,45 @@ def hour_predicate(parts: dict[str, str]) -> Column:
     return cond
 
 
-def snapshot(spark: SparkSession, hot_root: str, folders: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, files) of the hot tier from ONE listing: the reader lists when it is created and then reads just those
-    files, so ``files`` (file, year, month, day, hour) names exactly what ``rows`` holds, whatever lands meanwhile.
-
-    With ``folders`` only those hours are listed.  A tier fed by the file stream is read through its sink's commit log,
-    which a folder alone would bypass."""
-    if path_exists(spark, f"{hot_root}/_spark_metadata"):
-        folders = None
-    paths = [f for f in (folders if folders is not None else [hot_root]) if path_exists(spark, f)]
-    if paths:
-        rows = read_hot(spark, paths, base=hot_root)
-        names = rows.inputFiles()  # file names, which the reader's index holds on the driver anyway
-    else:
-        rows, names = spark.createDataFrame([], FULL_SCHEMA).select(*ALL_COLUMNS), []
-    files = spark.createDataFrame([(f,) for f in names], "file string")
-    files = files.select(file_name(F.col("file")).alias("file"))
-    return rows, files.select("file", *[F.regexp_extract("file", f"/{k}=([^/]+)/", 1).alias(k) for k in PARTITION_KEYS])
-
-
 def _write_hours(rows: DataFrame, root: str, mode: str = "overwrite") -> None:
     """``rebalance`` lets AQE split a hot hour over several tasks and merge small ones, so files have an even size."""
     (rows.hint("rebalance", *PARTITION_KEYS).select(*ALL_COLUMNS).write.mode(mode).option("partitionOverwriteMode", "dynamic")
      .option("compression", "snappy").partitionBy(*PARTITION_KEYS).parquet(root))
 
 
-def _write_ledger(files: DataFrame, root: str) -> None:
-    (files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION_KEYS).parquet(root))
-
-
 def hour_folder(hot_root: str, p: dict[str, str]) -> str:
     return f"{hot_root}/" + "/".join(f"{k}={p[k]}" for k in PARTITION_KEYS)
 
 
 def compact(spark: SparkSession, hot_root: str, cold_root: str, where: Column, mode: str = "overwrite",
-            ledger_root: str | None = None, folders: list[str] | None = None) -> None:
+            folders: list[str] | None = None) -> None:
     """Rewrite the selected hours of the gzip tier as SNAPPY Parquet.
 
     ``mode='overwrite'`` with dynamic partition overwrite replaces exactly the hours present in the input
-    (idempotent); ``mode='append'`` is the parity option (a re-run duplicates rows).  The ledger of consumed files
-    comes from the listing that was read, and is published after the data: a file that lands during the run is in
-    neither and shows up as late."""
-    rows, files = snapshot(spark, hot_root, folders)
-    _write_hours(rows.where(where), cold_root, mode)
-    if ledger_root is not None:
-        _write_ledger(files.where(where), ledger_root)
+    (idempotent); ``mode='append'`` is the parity option (a re-run duplicates rows).  ``folders`` are the hours to list.
+    A lake with an arrival manifest is compacted by ``arrivals.compact_arrived``, which also keeps the ledger."""
+    paths = [f for f in (folders if folders is not None else [hot_root]) if path_exists(spark, f)]
+    if paths:
+        _write_hours(read_hot(spark, paths, base=hot_root).where(where), cold_root, mode)
 
 
 def compact_hour(spark: SparkSession, hot_root: str, cold_root: str, now: dt.datetime,
-                 mode: str = "overwrite", ledger_root: str | None = None,
-                 cold_table: str | None = None) -> dict[str, str]:
+                 mode: str = "overwrite", cold_table: str | None = None) -> dict[str, str]:
     """D4 as scheduled: the hour two hours before ``now``.  With ``cold_table``
     the new hour is added to the catalog and the table's file cache refreshed."""
     p = compaction_hour(now)
-    compact(spark, hot_root, cold_root, hour_predicate(p), mode=mode, ledger_root=ledger_root,
-            folders=[hour_folder(hot_root, p)])
+    compact(spark, hot_root, cold_root, hour_predicate(p), mode=mode, folders=[hour_folder(hot_root, p)])
     if cold_table is not None:
-        spark.sql(f"ALTER TABLE {cold_table} ADD IF NOT EXISTS PARTITION "
-                  "(year = :year, month = :month, day = :day, hour = :hour)", args=p)
-        spark.catalog.refreshTable(cold_table)
+        add_hours(spark, cold_table, [p])
     return p
 
 
-def compact_before(spark: SparkSession, hot_root: str, cold_root: str, cutoff: str,
-                   ledger_root: str | None = None) -> None:
-    """Backfill: compact every hour whose key is below ``cutoff`` in one job."""
-    compact(spark, hot_root, cold_root, hour_key() < F.lit(cutoff), ledger_root=ledger_root)
+def add_hours(spark: SparkSession, table: str, hours: list[dict[str, str]]) -> None:
+    """Add hours to a registered tier and drop its cached file list."""
+    for p in hours:
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION "
+                  "(year = :year, month = :month, day = :day, hour = :hour)", args=p)
+    spark.catalog.refreshTable(table)
 
 
 def _strip_scheme(path: str) -> str:
@@ -187,28 +140,3 @@ def _strip_scheme(path: str) -> str:
         path = path.split("://", 1)[1]
         path = path[path.find("/"):] if "/" in path else ""
     return path.rstrip("/")
-
-
-def late_files(spark: SparkSession, hot_root: str, ledger_root: str, cutoff: str) -> DataFrame:
-    """Hot files of already compacted hours (key < cutoff) that no compaction consumed - they arrived after their
-    hour was compacted and the combined view no longer shows them.  A listing anti-joined with the ledger on the file
-    path; every hour counts, however old, and every file that the tier's reader would read."""
-    _, files = snapshot(spark, hot_root)
-    early = hour_key() < F.lit(cutoff)
-    ledger = spark.read.schema("file string, year string, month string, day string, hour string").parquet(ledger_root)
-    return files.where(early).join(ledger.where(early).select("file"), "file", "left_anti")
-
-
-def recompact_hours(spark: SparkSession, hot_root: str, cold_root: str, hours: DataFrame,
-                    ledger_root: str | None = None) -> list[dict[str, str]]:
-    """Re-run D4 (dynamic overwrite) for the hours listed in ``hours``; returns them.
-
-    The distinct hours (a handful of calendar entries) become folders, so only those are listed and read."""
-    wanted = [r.asDict() for r in hours.select(*PARTITION_KEYS).distinct().collect()]
-    if wanted:
-        rows, files = snapshot(spark, hot_root, [hour_folder(hot_root, p) for p in wanted])
-        keys = spark.createDataFrame([tuple(p[k] for k in PARTITION_KEYS) for p in wanted], ", ".join(f"{k} string" for k in PARTITION_KEYS))
-        _write_hours(rows.join(F.broadcast(keys), PARTITION_KEYS, "left_semi"), cold_root)
-        if ledger_root is not None:
-            _write_ledger(files.join(F.broadcast(keys), PARTITION_KEYS, "left_semi"), ledger_root)
-    return wanted

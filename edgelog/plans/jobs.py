@@ -1,7 +1,7 @@
 """The lake's recurring jobs as single runs (T7: the caller's scheduler -
 cron, an orchestrator - decides when; each job takes ``now``):
 
-- ``route``     on arrival / every few minutes: D1 via the exactly-once file stream (T1)
+- ``route``     on arrival / every few minutes: D1 via the exactly-once file stream (T1), names kept, manifest written
 - ``register``  at minute 55: D3, the next hour's partition in the hot table
 - ``compact``   at minute 1: D4 for hour ``now - 2h``, registered in the cold table, ledger updated
 - ``repair``    any time: T3, re-compact every compacted hour that received late files
@@ -15,44 +15,42 @@ import argparse
 import datetime as dt
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from edgelog.functions.timekeys import next_hour, view_cutoff
-from edgelog.operators.layout import compact_hour, late_files, recompact_hours, register_next_hour
+from edgelog.functions.timekeys import view_cutoff
+from edgelog.operators.arrivals import compact_arrived_hour, last_batch, manifest_of, repair_arrivals
+from edgelog.operators.layout import add_hours, register_next_hour
 from edgelog.plans.lake import Lake
-from edgelog.session import get_session, path_exists
-from edgelog.streaming.ingest import start_ingest
+from edgelog.schema import PARTITION_KEYS
+from edgelog.session import get_session
+from edgelog.streaming.delivery import start_delivery
 
 
 def route_job(spark: SparkSession, lake: Lake) -> None:
-    q = start_ingest(spark, lake.root, lake.hot, f"{lake.root}/_checkpoints/route")
+    """Hours that the new batches touched are added to the hot table (a few calendar entries)."""
+    before = last_batch(manifest_of(spark, lake.manifest))
+    q = start_delivery(spark, lake.root, lake.hot, lake.manifest, f"{lake.root}/_checkpoints/route")
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+    fresh = manifest_of(spark, lake.manifest).where(F.col("batch") > before)
+    add_hours(spark, lake.tables(spark)[0], [r.asDict() for r in fresh.select(*PARTITION_KEYS).distinct().collect()])
 
 
 def register_job(spark: SparkSession, lake: Lake) -> dict[str, str]:
-    """D3.  A stream-fed hot tier exposes new hours through its commit log, so
-    only a catalog-registered hot tier needs the DDL."""
-    hot, _ = lake.tables(spark)
-    if hot is None:
-        return next_hour(lake.now)
-    return register_next_hour(spark, hot, lake.now)
+    """D3."""
+    return register_next_hour(spark, lake.tables(spark)[0], lake.now)
 
 
 def compact_job(spark: SparkSession, lake: Lake) -> dict[str, str]:
-    _, cold = lake.tables(spark)
-    return compact_hour(spark, lake.hot, lake.cold, lake.now, ledger_root=lake.ledger, cold_table=cold)
+    p = compact_arrived_hour(spark, lake.hot, lake.cold, lake.manifest, lake.ledger, lake.now)
+    add_hours(spark, lake.tables(spark)[1], [p])
+    return p
 
 
 def repair_job(spark: SparkSession, lake: Lake) -> None:
-    if not path_exists(spark, lake.ledger):
-        return
-    late = late_files(spark, lake.hot, lake.ledger, view_cutoff(lake.now))
-    repaired = recompact_hours(spark, lake.hot, lake.cold, late, ledger_root=lake.ledger)
-    _, cold = lake.tables(spark)
-    for p in repaired:
-        spark.sql(f"ALTER TABLE {cold} ADD IF NOT EXISTS PARTITION (year = :year, month = :month, day = :day, hour = :hour)", args=p)
-    spark.catalog.refreshTable(cold)
+    repaired = repair_arrivals(spark, lake.hot, lake.cold, lake.manifest, lake.ledger, view_cutoff(lake.now))
+    add_hours(spark, lake.tables(spark)[1], repaired)
 
 
 JOBS = {"route": route_job, "register": register_job, "compact": compact_job, "repair": repair_job}
@@ -61,7 +59,7 @@ JOBS = {"route": route_job, "register": register_job, "compact": compact_job, "r
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     ap.add_argument("job", choices=sorted(JOBS))
-    ap.add_argument("--lake", required=True, help="lake root folder (contains new/ hot/ cold/ ledger/)")
+    ap.add_argument("--lake", required=True, help="lake root folder (contains new/ hot/ cold/ manifest/ ledger/)")
     ap.add_argument("--now", default=None, help="UTC wall time, ISO format (default: now)")
     a = ap.parse_args(argv)
     now = dt.datetime.fromisoformat(a.now) if a.now else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)

@@ -13,19 +13,20 @@ import hashlib
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from edgelog.functions.timekeys import view_cutoff
-from edgelog.operators.layout import compact_before, route_files
+from edgelog.functions.timekeys import hour_key, view_cutoff
+from edgelog.operators.arrivals import compact_arrived, deliver, listed_files
 from edgelog.operators.view import combine_tiers, combined_view
-from edgelog.session import has_marker, input_tag, path_exists, work_path, write_marker
-from edgelog.sources.accesslog import read_hot, read_table, register_tier
+from edgelog.session import has_marker, input_tag, remove_path, work_path, write_marker
+from edgelog.sources.accesslog import read_table, register_tier
 from edgelog.sources.arrivals import stage_arrivals
 from edgelog.sources.fixture import access_log
 
 # Fixed value: the wall clock the lake and its view are evaluated at.  Hours
 # from 2024-01-30 21:00 on stay in the gzip tier, earlier hours are compacted.
 LAKE_NOW = dt.datetime(2024, 1, 30, 22, 20)
-LAKE_VERSION = "v6"
+LAKE_VERSION = "v7"
 
 
 class Lake:
@@ -49,23 +50,18 @@ class Lake:
     def ledger(self) -> str:
         return f"{self.root}/ledger"
 
+    @property
+    def manifest(self) -> str:
+        return f"{self.root}/manifest"
+
     @property
     def tag(self) -> str:
         """Identifier-safe name of this lake (hash of its root)."""
         return hashlib.sha1(self.root.encode()).hexdigest()[:16]
 
-    def hot_is_stream_output(self, spark: SparkSession) -> bool:
-        """A hot tier fed by the file stream (T1) carries the sink's commit log;
-        readers then take the committed files from that log (exactly-once, and
-        no folder listing), and new hours need no registration."""
-        return path_exists(spark, f"{self.hot}/_spark_metadata")
-
-    def tables(self, spark: SparkSession) -> tuple[str | None, str]:
-        """The tiers as partitioned catalog tables (registered once per session
-        catalog); the hot table is None when the hot tier is a stream output."""
-        hot = None
-        if not self.hot_is_stream_output(spark):
-            hot = register_tier(spark, f"edgelog.hot_{self.tag}", self.hot, "csv")
+    def tables(self, spark: SparkSession) -> tuple[str, str]:
+        """The tiers as partitioned catalog tables (registered once per session catalog)."""
+        hot = register_tier(spark, f"edgelog.hot_{self.tag}", self.hot, "csv")
         cold = register_tier(spark, f"edgelog.cold_{self.tag}", self.cold, "parquet")
         return hot, cold
 
@@ -73,10 +69,8 @@ class Lake:
         """U1 through the catalog tables: both cut-off predicates and the query's
         year/month filters prune partitions in the catalog."""
         hot, cold = self.tables(spark)
-        if hot:
-            spark.catalog.refreshTable(hot)  # files that landed in a registered hour since; the cold tier keeps its cache
-        hot_df = read_table(spark, hot, with_file) if hot else read_hot(spark, self.hot, with_file)
-        return combine_tiers(hot_df, read_table(spark, cold, with_file), self.now, with_file=with_file)
+        spark.catalog.refreshTable(hot)  # files that landed in a registered hour since; the cold tier keeps its cache
+        return combine_tiers(read_table(spark, hot, with_file), read_table(spark, cold, with_file), self.now, with_file=with_file)
 
     def path_view(self, spark: SparkSession, with_file: bool = False) -> DataFrame:
         """U1 over the tier folders directly (no catalog)."""
@@ -104,9 +98,9 @@ def _build(spark: SparkSession, sf_dir: str, lake: Lake) -> Lake:
     now = lake.now
     if has_marker(spark, lake.root):
         return lake
-    # every step overwrites, so a build interrupted before _READY is simply redone
+    remove_path(spark, lake.root)  # what a build interrupted before _READY left
     stage_arrivals(access_log(spark, sf_dir), lake.new, mode="overwrite")
-    route_files(spark, lake.root, "new", "hot", mode="overwrite")
-    compact_before(spark, lake.hot, lake.cold, view_cutoff(now), ledger_root=lake.ledger)
+    deliver(listed_files(spark, lake.new), lake.root, lake.hot, lake.manifest, 1)
+    compact_arrived(spark, lake.hot, lake.cold, lake.manifest, lake.ledger, hour_key() < F.lit(view_cutoff(now)))
     write_marker(spark, lake.root)
     return lake

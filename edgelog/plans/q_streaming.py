@@ -10,6 +10,7 @@ from edgelog.operators.alarms import AlarmSpec
 from edgelog.operators.metrics import metric_samples
 from edgelog.plans.q_metrics import BREACHING_SQL
 from edgelog.streaming.alarms import evaluate_stream
+from edgelog.streaming.delivery import start_delivery
 from edgelog.operators.notify import notifications as accepted
 from edgelog.plans.lake import lake_for
 from edgelog.plans.oracle import DATA_COLS, LOG_CTE
@@ -22,7 +23,6 @@ from edgelog.sources.arrivals import stage_arrivals
 from edgelog.sources.eventsrc import envelopes
 from edgelog.sources.fixture import access_log
 from edgelog.sources.tables import table
-from edgelog.streaming.ingest import start_ingest
 from edgelog.streaming.metrics import start_windowed, windowed_counts
 from edgelog.streaming.notify import start_notifications
 
@@ -38,7 +38,7 @@ def stream_ingest(spark, sf):
     """The delivered files streamed into a fresh hot tier, read back whole."""
     lake = lake_for(spark, sf)
     run = scratch_path(spark, "stream_ingest")
-    _run(start_ingest(spark, lake.root, f"{run}/hot", f"{run}/_checkpoint"))
+    _run(start_delivery(spark, lake.root, f"{run}/hot", f"{run}/manifest", f"{run}/_checkpoint"))
     return read_hot(spark, f"{run}/hot").select(*ALL_COLUMNS)
 
 
@@ -63,7 +63,7 @@ def stream_ingest_flat(spark, sf):
     run = scratch_path(spark, "stream_flat")
     stage_arrivals(access_log(spark, sf), f"{run}/staged", mode="overwrite")
     _deliver(spark, f"{run}/staged", f"{run}/new")
-    _run(start_ingest(spark, run, f"{run}/hot", f"{run}/_checkpoint"))
+    _run(start_delivery(spark, run, f"{run}/hot", f"{run}/manifest", f"{run}/_checkpoint"))
     return read_hot(spark, f"{run}/hot").select(*ALL_COLUMNS)
 
 

@@ -70,11 +70,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     top = work_path(spark, "scratch", spark.sparkContext.applicationId)
     if top not in _scratch:
         _scratch.add(top)
-        atexit.register(_remove, spark, top)
+        atexit.register(remove_path, spark, top)
     return f"{top}/{label}-{uuid.uuid4().hex}"
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove_path(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None:
         hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)

@@ -12,7 +12,7 @@ from edgelog.operators.layout import compact_hour, register_next_hour
 from edgelog.plans.named import run_named, save_result
 from edgelog.schema import DATA_COLUMNS
 from edgelog.sources.accesslog import read_hot, read_table, register_tier
-from edgelog.streaming.ingest import start_ingest
+from edgelog.streaming.delivery import start_delivery
 from tests.test_layout import _row, _write_hour
 
 
@@ -55,15 +55,15 @@ def test_result_sink(spark, tmpdir_path):
 
 def test_stream_ingest_exactly_once(spark, tmpdir_path):
     lake = tmpdir_path
-    target, ckpt = os.path.join(lake, "hot"), os.path.join(lake, "_ckpt")
+    target, manifest, ckpt = (os.path.join(lake, d) for d in ("hot", "manifest", "_ckpt"))
     _gz(os.path.join(lake, "new", "d1", "E1.2024-01-02-03.a.gz"), [_row(), _row()])
     _gz(os.path.join(lake, "new", "d1", "notalog.gz"), [_row()])
-    start_ingest(spark, lake, target, ckpt).awaitTermination()
+    start_delivery(spark, lake, target, manifest, ckpt).awaitTermination()
     assert read_hot(spark, target).count() == 2                  # non-log name filtered
-    start_ingest(spark, lake, target, ckpt).awaitTermination()
+    start_delivery(spark, lake, target, manifest, ckpt).awaitTermination()
     assert read_hot(spark, target).count() == 2                  # nothing ingested twice
     _gz(os.path.join(lake, "new", "d2", "E1.2024-01-02-04.b.gz"), [_row()])
-    start_ingest(spark, lake, target, ckpt).awaitTermination()
+    start_delivery(spark, lake, target, manifest, ckpt).awaitTermination()
     df = read_hot(spark, target)
     assert df.count() == 3 and df.where(F.col("hour") == "04").count() == 1
 

@@ -1,53 +1,8 @@
-"""Late files of any age and name, and compaction against one listing."""
-
-import gzip
-import os
+"""Object keys."""
 
 from pyspark.sql import functions as F
 
-from edgelog.operators import layout
-from edgelog.operators.layout import compact, hour_predicate, late_files, object_key, recompact_hours
-from edgelog.sources.accesslog import read_cold
-from tests.test_layout import _row, _write_hour
-
-HOUR = {"year": "2024", "month": "01", "day": "02", "hour": "03"}
-
-
-def _lake(spark, root):
-    hot, cold, ledger = (os.path.join(root, d) for d in ("hot", "cold", "ledger"))
-    _write_hour(hot, "03", [_row()])
-    return hot, cold, ledger, os.path.join(hot, "year=2024", "month=01", "day=02", "hour=03")
-
-
-def test_late_files_of_any_age_and_name_are_found_and_repaired(spark, tmpdir_path):
-    hot, cold, ledger, folder = _lake(spark, tmpdir_path)
-    compact(spark, hot, cold, hour_predicate(HOUR), ledger_root=ledger)
-    with gzip.open(os.path.join(folder, "E1.2024-01-02-03.late.gz"), "wt") as f:
-        f.write(_row() + "\n")
-    with open(os.path.join(folder, "late.log"), "w") as f:
-        f.write(_row() + "\n")
-    late = late_files(spark, hot, ledger, "2024060100")  # five months after
-    assert late.count() == 2
-    recompact_hours(spark, hot, cold, late, ledger_root=ledger)
-    assert read_cold(spark, cold).count() == 3 and late_files(spark, hot, ledger, "2024060100").count() == 0
-
-
-def test_file_that_lands_during_compaction_is_late_not_lost(spark, tmpdir_path, monkeypatch):
-    hot, cold, ledger, folder = _lake(spark, tmpdir_path)
-    write = layout._write_hours
-
-    def then_one_more(rows, root, mode="overwrite"):
-        write(rows, root, mode)
-        with gzip.open(os.path.join(folder, "E1.2024-01-02-03.meanwhile.gz"), "wt") as f:
-            f.write(_row() + "\n")
-
-    monkeypatch.setattr(layout, "_write_hours", then_one_more)
-    compact(spark, hot, cold, hour_predicate(HOUR), ledger_root=ledger)
-    monkeypatch.undo()
-    late = late_files(spark, hot, ledger, "2024010306")
-    assert read_cold(spark, cold).count() == 1 and late.count() == 1
-    recompact_hours(spark, hot, cold, late, ledger_root=ledger)
-    assert read_cold(spark, cold).count() == 2
+from edgelog.operators.layout import object_key
 
 
 def test_object_key_strips_exactly_the_root(spark):
