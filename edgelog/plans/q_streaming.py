@@ -90,6 +90,17 @@ def stream_notifications(spark, sf):
     return accepted(spark.read.parquet(f"{run}/out").drop("batch_id"))
 
 
+@register("doubled_messages", NOTIFICATIONS_SQL)
+def doubled_messages(spark, sf):
+    """Every envelope delivered twice, in batches of one file; each message becomes one record."""
+    run = scratch_path(spark, "stream_doubled")
+    envs = envelopes(topic_messages_raw(spark, sf)).repartition(3)
+    for _ in range(2):
+        envs.write.mode("append").json(f"{run}/in")
+    _run(start_notifications(spark, f"{run}/in", f"{run}/out", f"{run}/_checkpoint", files_per_batch=1))
+    return accepted(spark.read.parquet(f"{run}/out").drop("batch_id"))
+
+
 def topic_messages_raw(spark, sf):
     """Published messages (before envelope delivery) as (msg_id, message)."""
     return topic_messages(spark, sf).select("msg_id", "message")
