@@ -26,13 +26,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from edgelog.sources.namedfiles import filesystem
 
 BLOCK = 4 << 20
-RANGE_BYTES = 128 << 20
+RANGE_BYTES, OPEN_COST = 128 << 20, 4 << 20
 ROWS = 4096
 SCHEMA = "mirror string, log string, range_no int, no_in_range int, record string, n_lines int"
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     log: str
     file: str
     begin: int
@@ -40,6 +40,13 @@ class Range(InputPartition):
     number: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads, one after the other: small files share tasks."""
+
+    parts: list[Range]
+
+
 def _files(root: str) -> list[pafs.FileInfo]:
     fs, path = filesystem(root)
     found = fs.get_file_info(pafs.FileSelector(path, recursive=True, allow_not_found=True))
@@ -69,17 +76,31 @@ class RecordReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.root = options["path"]
         self.size = int(options.get("rangebytes", RANGE_BYTES))
+        self.tasks = int(options.get("tasks", 1))  # at least so many, if there is enough to read
         self.patterns = json.loads(options["patterns"])  # of mirrors; "" is the default, null: every line is a record
         self.anchored = options.get("anchored", "true").lower() == "true"
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
+        found = self.ranges()
+        cost = sum(r.end - r.begin + OPEN_COST for r in found)
+        most = min(max(self.size, OPEN_COST), max(OPEN_COST, cost // self.tasks))
+        out, size = [Ranges([])], 0
+        for r in found:
+            if size and size + r.end - r.begin + OPEN_COST > most:
+                out.append(Ranges([]))
+                size = 0
+            out[-1].parts.append(r)
+            size += r.end - r.begin + OPEN_COST
+        return out
+
+    def ranges(self) -> list[Range]:
         out, numbers = [], {}
         for info in _files(self.root):
             log = posixpath.dirname(info.path)
             for begin in range(0, info.size, self.size):
                 number = numbers[log] = numbers.get(log, -1) + 1
                 out.append(Range(log, info.path, begin, min(begin + self.size, info.size), number))
-        return out or [Range("", "", 0, 0, 0)]
+        return out
 
     def _records(self, part: Range, pattern: str | None) -> Iterator[tuple[int, list[bytes]]]:
         fs, _ = filesystem(self.root)
@@ -110,9 +131,11 @@ class RecordReader(DataSourceReader):
         if lines is not None:
             yield number, lines
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if not part.file:
-            return
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts:
+            yield from self._read(part)
+
+    def _read(self, part: Range) -> Iterator[pa.RecordBatch]:
         mirror = re.search(r"mirror=([^/]+)", part.file)
         mirror = mirror[1] if mirror else None
         pattern = self.patterns[mirror] if mirror in self.patterns else self.patterns.get("")
@@ -156,7 +179,7 @@ def read_records(spark: SparkSession, root: str, patterns: dict[str, str | None]
     """Records of all logs below ``root``; ``patterns`` are start patterns by mirror, "" for the others."""
     spark.dataSource.register(LogRecords)
     return (spark.read.format(LogRecords.name()).option("patterns", json.dumps(patterns)).option("anchored", str(anchored))
-            .option("rangeBytes", range_bytes).load(root))
+            .option("rangeBytes", range_bytes).option("tasks", spark.sparkContext.defaultParallelism).load(root))
 
 
 def with_record_numbers(spark: SparkSession, root: str, records: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
