@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgelog.functions.timekeys import compaction_hour, next_hour
-from edgelog.schema import ALL_COLUMNS, PARTITION_KEYS
+from edgelog.schema import ALL_COLUMNS, FULL_SCHEMA, PARTITION_KEYS
 from edgelog.session import path_exists
 from edgelog.sources.accesslog import read_hot
 
@@ -108,8 +108,8 @@ def compact(spark: SparkSession, hot_root: str, cold_root: str, where: Column, m
     (idempotent); ``mode='append'`` is the parity option (a re-run duplicates rows).  ``folders`` are the hours to list.
     A lake with an arrival manifest is compacted by ``arrivals.compact_arrived``, which also keeps the ledger."""
     paths = [f for f in (folders if folders is not None else [hot_root]) if path_exists(spark, f)]
-    if paths:
-        _write_hours(read_hot(spark, paths, base=hot_root).where(where), cold_root, mode)
+    rows = read_hot(spark, paths, base=hot_root).where(where) if paths else spark.createDataFrame([], FULL_SCHEMA)
+    _write_hours(rows, cold_root, mode)  # an hour without files leaves an empty tier, not a missing one
 
 
 def compact_hour(spark: SparkSession, hot_root: str, cold_root: str, now: dt.datetime,
