@@ -1,12 +1,16 @@
 """URL filter: host and path rules, and link-graph propagation for everything that no rule fits.
 
-Hosts are linked by the hyperlinks of their pages and to their parent domain (both ways, so a host without any
-absolute link still belongs somewhere).  Trust starts at hosts of whose pages the rules allow at least half and follows the
-edges (personalised PageRank); distrust starts at hosts of whose pages the rules block at least half and follows the
-edges backwards, to those that link there.  A host whose distrust exceeds its trust by ``LEAST`` times the mean mass per host is blocked.
-
-Masses are whole numbers (10**12 in all) and edge shares are in millionths, so sums don't depend on their order and
-every engine gets the same verdicts.  Everything is DataFrame expressions; rules and scores are joined per host, and
+Hosts are linked by the hyperlinks of their pages and to their parent domain (both ways and as often as pages and links
+name it, so a host without any absolute link still belongs somewhere).  Every host whose pages the rules allow more often
+than they block is a seed of trust, by the surplus' share of its pages; trust follows the edges (personalised PageRank).
+Distrust starts likewise where more pages are blocked and follows the edges backwards, to those that link there.  A host
+whose distrust exceeds its trust by ``LEAST`` times the mean mass per host is blocked.
+
+A round settles 15 % of the mass that still moves and sends 85 % along the edges, so the moving part falls by at least
+15 % a round; rounds go on until it is under 1 / ``MOVING`` of all mass (24 rounds at most), and what moves then counts where it is.
+Masses are whole numbers (10**15 in all) and an edge's flow is ``mass * n * 85 div (total * 100)``, so sums don't depend on their order,
+hubs of any width pass their mass on (an edge loses less than one unit) and every engine gets the same verdicts.  Repeating
+every page changes no flow.  Everything is DataFrame expressions; rules and scores are joined per host, and
 the page rows that travel hold an id, a host and a path, never HTML.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and is allowed; hosts
@@ -21,10 +25,11 @@ from pyspark.sql import functions as F
 
 from edgelog.llm.common import stored
 
-MASS = 10 ** 12
-SHARE = 10 ** 6
+MASS = 10 ** 15
+SHARE = 10 ** 12
 DAMPING = 85  # of 100
-ROUNDS = 8
+MOVING = 40
+ROUNDS = 4  # between two looks at the moving mass
 LEAST = (3, 10)  # of the mean mass per host; what a seed of mean size keeps for itself is 0.15 of it
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,36 +58,47 @@ def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): hyperlinks between different hosts, and each host with its parent domain both ways."""
+    """(src, dst, n): hyperlinks between different hosts, and each host with its parent domain both ways, as often as
+    pages and links name the host or one below it."""
     links = pages.where("host != ''").select(
         F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("dst"))
     links = links.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("n"))
-    names = links.select(F.col("dst").alias("host")).union(pages.select("host")).where("host != ''").distinct()
-    chain = names.select(F.explode(F.filter(_suffixes(F.col("host")), lambda s: F.instr(s, ".") > 0)).alias("src")).distinct()
-    up = chain.select("src", F.regexp_replace("src", r"^[^.]*\.", "").alias("dst")).where(F.instr("dst", ".") > 0)
-    both = up.select("src", "dst").union(up.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return (links.unionByName(both.withColumn("n", F.lit(1).cast("long"))).where("src != dst")
-            .groupBy("src", "dst").agg(F.sum("n").alias("n")))
+    names = (links.select(F.col("dst").alias("host"), "n")
+             .union(pages.where("host != ''").groupBy("host").agg(F.count("*").alias("n"))).groupBy("host").agg(F.sum("n").alias("n")))
+    chain = (names.select(F.explode(F.filter(_suffixes(F.col("host")), lambda s: F.instr(s, ".") > 0)).alias("src"), "n")
+             .groupBy("src").agg(F.sum("n").alias("n")))
+    up = chain.select("src", F.regexp_replace("src", r"^[^.]*\.", "").alias("dst"), "n").where(F.instr("dst", ".") > 0)
+    both = up.union(up.select("dst", "src", "n"))
+    return links.unionByName(both).where("src != dst").groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def _shares(edges: DataFrame, src: str, dst: str, kind: str) -> DataFrame:
+def _moves(edges: DataFrame, src: str, dst: str, kind: str) -> DataFrame:
     total = edges.groupBy(src).agg(F.sum("n").alias("total"))  # a join, since a hub's edges may not fit one task
-    return edges.join(total, src).select(F.col(src).alias("a"), F.col(dst).alias("b"), F.lit(kind).alias("k"),
-                                         F.expr(f"n * {SHARE} div total").alias("p"))
+    return edges.hint("merge").join(total, src).select(F.col(src).alias("a"), F.col(dst).alias("b"), F.lit(kind).alias("k"), "n", "total")
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, moving: int = MOVING) -> DataFrame:
+    """Mass per (host, kind): kind ``t`` follows the edges, kind ``d`` runs against them, from the seeds' mass ``s``, until
+    less than 1 / ``moving`` of it still moves.  Each round's moving mass is stored, so a round reads one table of hosts and the
+    edges, and what every round settles is summed once at the end.  Edges are merged, not broadcast: their files say little
+    about their size in memory."""
+    moves = stored(_moves(edges, "src", "dst", "t").unionByName(_moves(edges, "dst", "src", "d")), "moves").hint("merge")
+    fronts = [stored(seeds.select("host", "kind", F.col("s").alias("m")), "mass")]
 
+    def in_motion() -> int:
+        return fronts[-1].agg(F.sum("m")).first()[0] or 0
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Mass per (host, kind): kind ``t`` follows the edges, kind ``d`` runs against them, from the seeds' mass ``s``."""
-    moves = stored(_shares(edges, "src", "dst", "t").unionByName(_shares(edges, "dst", "src", "d")), "moves")
-    start = seeds.select("host", "kind", (F.expr("s * 15 div 100")).alias("m"))
-    state = seeds.select("host", "kind", F.col("s").alias("m"))
-    for i in range(rounds):
-        flow = (state.join(moves, (F.col("host") == F.col("a")) & (F.col("kind") == F.col("k")))
-                .select(F.col("b").alias("host"), "kind", F.expr(f"m * p div {SHARE} * {DAMPING} div 100").alias("m")))
-        state = flow.unionByName(start).groupBy("host", "kind").agg(F.sum("m").alias("m"))
-        if i % 4 == 3:
-            state = stored(state, f"mass{i}")
-    return state
+    start = left = in_motion()
+    while left and left * moving >= start:
+        for _ in range(ROUNDS):
+            flow = fronts[-1].join(moves, (F.col("host") == F.col("a")) & (F.col("kind") == F.col("k"))).select(
+                F.col("b").alias("host"), "kind", F.expr(f"cast(m as decimal(20, 0)) * n * {DAMPING} div (total * 100)").alias("m"))
+            fronts.append(stored(flow.groupBy("host", "kind").agg(F.sum("m").alias("m")), "mass"))
+        left = in_motion()
+    settled = fronts[-1]
+    for front in fronts[:-1]:
+        settled = settled.unionByName(front.withColumn("m", F.expr(f"m * {100 - DAMPING} div 100")))
+    return settled.groupBy("host", "kind").agg(F.sum("m").alias("m"))
 
 
 def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -100,11 +116,11 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("r.verdict") == "allow", 1).otherwise(0)).alias("good"),
         F.sum(F.when(F.col("r.verdict") == "block", 1).otherwise(0)).alias("bad"))
         .join(ruled.select("host", "n"), "host"))
-    shares = stored(evidence.select("host", F.explode(F.array(
-        F.struct(F.lit("t").alias("kind"), F.expr(f"good * {SHARE} div n").alias("w")),
-        F.struct(F.lit("d").alias("kind"), F.expr(f"bad * {SHARE} div n").alias("w")))).alias("x")).select("host", "x.*").where(f"w * 2 >= {SHARE}"), "seeds")
+    shares = stored(evidence.where("good != bad").select(
+        "host", F.when(F.col("good") > F.col("bad"), "t").otherwise("d").alias("kind"),
+        F.expr(f"cast(cast(abs(good - bad) as decimal(20, 0)) * {SHARE} div n as decimal(20, 0))").alias("w")), "seeds")
     total = shares.groupBy("kind").agg(F.sum("w").alias("of"))  # two rows
-    seeds = shares.join(F.broadcast(total), "kind").select("host", "kind", F.expr(f"cast(floor(cast(w as decimal(20,0)) * {MASS} / of) as bigint)").alias("s"))
+    seeds = shares.join(F.broadcast(total), "kind").select("host", "kind", F.expr(f"w * {MASS} div of").alias("s"))
     mass = propagate(edges, seeds)
     score = mass.groupBy("host").agg(F.sum(F.when(F.col("kind") == "t", F.col("m")).otherwise(0)).alias("trust"),
                                      F.sum(F.when(F.col("kind") == "d", F.col("m")).otherwise(0)).alias("distrust"))

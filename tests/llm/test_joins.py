@@ -285,6 +285,43 @@ def test_link_graph_spreads_trust_forward_and_distrust_backward(spark):
     assert [got[i]["verdict"] for i in (1, 2, 3, 4, 5, 7)] == ["allow", "allow", "allow", "block", "block", "allow"]
 
 
+def test_link_graph_verdicts_hold_when_every_page_repeats(spark):
+    link = lambda *hosts: "".join(f"<a href='http://{h}/'>x</a>" for h in hosts)
+    rng = random.Random(5)
+    pages = [(i, f"http://h{i % 7}.d{i % 3}.aa/{rng.choice(['ok', 'no', 'x', 'y'])}/", link(*(f"h{rng.randrange(7)}.d{rng.randrange(3)}.aa" for _ in range(3))))
+             for i in range(90)]
+    rules = spark.sql("select * from values ('allow','aa','/ok/'),('block','aa','/no/') as t(verdict, host, path)")
+    once, often = ({r["page_id"]: tuple(r)[1:] for r in urlfilter.judge(spark.createDataFrame(
+        [(*p, "h", 1) for p in pages * times], PAGES), rules).collect()} for times in (1, 3))
+    assert once == often and any(v[-1] for v in once.values()) and any(v[-2] for v in once.values())
+
+
+def test_link_graph_reaches_through_a_hub_and_along_a_chain(spark):
+    """A hub of 2,000,000 edges passes its mass on to all of them, and a chain of 20 hosts is followed to its end."""
+    wide = 2_000_000
+    hub = spark.range(wide).selectExpr("'hub' as src", "concat('leaf', id) as dst", "1L as n")
+    chain = spark.range(20).selectExpr("concat('c', id) as src", "concat('c', id + 1) as dst", "1L as n")
+    seeds = spark.createDataFrame([("hub", "t", urlfilter.MASS // 2), ("c0", "t", urlfilter.MASS // 2)], "host string, kind string, s long")
+    mass = urlfilter.propagate(hub.union(chain), seeds)
+    leaf = mass.where("host like 'leaf%'").selectExpr("count(*)", "min(m)", "max(m)").first()
+    each = urlfilter.MASS // 2 * 85 // 100 // wide
+    assert leaf[0] == wide and 0 <= each * 15 // 100 - leaf[1] <= 2 and leaf[1] == leaf[2]
+    got = {r["host"]: r["m"] for r in mass.where("host like 'c%'").collect()}
+    for i in range(20):
+        assert abs(got[f"c{i}"] - 0.15 * 0.85 ** i * urlfilter.MASS / 2) < 20 * 2
+    assert got["c20"] > 0
+
+
+def test_url_rules_of_equal_length_and_evidence_below_half(spark):
+    rules = spark.sql("select * from values ('block','a.bb','/x/'),('allow','bb','/yy/x'),('allow','a.bb','/x/') as t(verdict, host, path)")
+    pages = spark.createDataFrame([(1, "http://a.bb/x/", "", "h", 1)], PAGES)
+    assert urlfilter.judge(pages, rules).first()["verdict"] == "allow"  # the one that sorts first
+    rules = spark.sql("select * from values ('block','bad.dd','/no/') as t(verdict, host, path)")
+    rows = [(1, "http://bad.dd/no/")] + [(i, f"http://bad.dd/p{i}") for i in range(2, 12)] + [(i, f"http://h{i}.ee/") for i in range(12, 40)]
+    got = {r["page_id"]: r for r in urlfilter.judge(spark.createDataFrame([(*r, "", "h", 1) for r in rows], PAGES), rules).collect()}
+    assert got[2]["verdict"] == "block" and got[2]["distrust"] > 0 and got[20]["verdict"] == "allow"  # one page of eleven is evidence
+
+
 # --- top-k ----------------------------------------------------------------------------------------------------------
 def brute_top(rows, k):
     out = {}
