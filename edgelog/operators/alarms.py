@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from edgelog.functions.timekeys import micros_to_ntz, ntz_as_utc_instant
+
 COMPARATORS = {
     ">=": lambda v, t: v >= t,
     ">": lambda v, t: v > t,
@@ -102,6 +104,64 @@ def alarm_transitions(series: DataFrame, keys: list[str], spec: AlarmSpec, end:
     return transitions(evaluate(gap_fill(series, keys, spec.period, end), keys, spec), keys, spec.notify_ok)
 
 
+SPEC_SCHEMA = ("alarm string, period_seconds long, comparator string, threshold double, periods int, missing string, "
+               "notify_ok boolean")
+
+
+def spec_table(spark: SparkSession, specs: list[AlarmSpec]) -> DataFrame:
+    """Alarm specifications as rows (a configuration table, one row per alarm)."""
+    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+    rows = []
+    for s in specs:
+        number, unit = s.period.split()
+        rows.append((s.name, int(number) * seconds[unit.rstrip("s")], s.comparator, float(s.threshold), s.periods, s.missing, s.notify_ok))
+    return spark.createDataFrame(rows, SPEC_SCHEMA)
+
+
+def bucket_us(ts: Column, period_seconds: Column) -> Column:
+    """Start of the period that holds ``ts`` (TIMESTAMP_NTZ) in epoch microseconds; the period is a column."""
+    us, step = F.unix_micros(ntz_as_utc_instant(ts)), period_seconds.cast("long") * 1_000_000
+    return us - F.pmod(us, step)
+
+
+def alarm_transitions_by_table(series: DataFrame, specs: DataFrame, end: Column, keys: list[str] | None = None) -> DataFrame:
+    """W1-W3 for all alarms of a specification table in one pass: ``series`` is (alarm, keys, bucket_us, value), ``end``
+    the evaluation clock (TIMESTAMP_NTZ); period, comparator, threshold, N, missing-data policy and notify-on-OK are
+    columns of ``specs`` (``SPEC_SCHEMA``).
+
+    Gaps and islands instead of filled periods: an observation is a row of one period, the missing periods up to the
+    key's next observation (or the clock) are one row with their number.  Rows have a place (running sum of periods); the length of
+    the breaching run that ends at a row is its place less the place of the last row that does not breach, so N needs no
+    window frame of its own.  An alarm that begins inside a gap begins at its (N - run)th period.  A null value counts as missing;
+    an alarm without a specification gives nothing."""
+    by = ["alarm", *(keys or [])]
+    w = Window.partitionBy(*by).orderBy("at")
+    upto_now = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.col("period_seconds") * 1_000_000
+    named = series.join(F.broadcast(specs), "alarm")  # one row per alarm: configuration
+    seen = named.select("*", F.col("bucket_us").alias("at")).withColumn(
+        "_until", F.coalesce(F.lead("at").over(w), F.greatest(bucket_us(end, F.col("period_seconds")) + step, F.col("at") + step)))
+    missed = ((F.col("_until") - F.col("at")) / step - 1).cast("long")
+    rows = seen.select(*by, *[c for c in specs.columns if c != "alarm"], F.explode(F.array(
+        F.struct(F.col("at"), F.lit(1).cast("long").alias("length"), F.col("value")),
+        F.struct((F.col("at") + step).alias("at"), missed.alias("length"), F.lit(None).cast(series.schema["value"].dataType).alias("value")))).alias("r")).select("*", "r.*").drop("r").where("length > 0")
+    over = F.lit(False)
+    for op, test in COMPARATORS.items():
+        over = F.when(F.col("comparator") == op, test(F.col("value"), F.col("threshold"))).otherwise(over)
+    breaching, absent = F.col("missing") == "BREACHING", F.col("value").isNull()
+    placed = (rows.withColumn("breach", F.when(absent, breaching).otherwise(over))
+              .withColumn("place", F.sum("length").over(upto_now))
+              .withColumn("run", F.col("place") - F.coalesce(F.max(F.when(~F.col("breach"), F.col("place"))).over(upto_now), F.lit(0)))
+              .withColumn("whole", F.col("place") - F.coalesce(F.max(F.when(absent, F.col("place"))).over(upto_now), F.lit(0))))
+    raw = F.when(F.col("run") >= F.col("periods"), "ALARM").otherwise(F.when(breaching | (F.col("whole") >= F.col("periods")), "OK"))
+    stated = placed.withColumn("state", F.coalesce(F.last(raw, ignorenulls=True).over(upto_now), F.lit("OK")))
+    changed = stated.withColumn("previous", F.coalesce(F.lag("state").over(w), F.lit("OK"))).where(
+        (F.col("state") != F.col("previous")) & (F.col("notify_ok") | (F.col("state") == "ALARM")))
+    inside = F.greatest(F.col("periods") - (F.col("run") - F.col("length")) - 1, F.lit(0)) * step
+    return changed.select(*by, micros_to_ntz(F.col("at") + F.when(F.col("state") == "ALARM", inside).otherwise(0)).alias("bucket"),
+                          "previous", "state", "value")
+
+
 # Scaling targets and task-count bounds of the content service.
 NET_TARGET_BYTES_PER_MIN = 3 * 1024 * 1024 * 1024
 IOWAIT_TARGET_PCT = 25.0

@@ -14,7 +14,7 @@ from edgelog.sources.eventsrc import ACCOUNT, envelopes, messages_of, raw_events
 from edgelog.sources.tables import table
 
 CHECKS = [(name, repo, image, f"MonitorProjectFor{name}{image}")
-          for name, repo, images in PROD_SANITY_TARGETS for image in images]
+          for name, repo, images, _ in PROD_SANITY_TARGETS for image in images]
 CHECKS_SQL = "(VALUES " + ", ".join(f"({i}, '{n}', '{r}', '{im}', '{c}')" for i, (n, r, im, c) in enumerate(CHECKS)) \
     + ") AS c(idx, name, repo, image, check_name)"
 
@@ -63,6 +63,37 @@ def sanity_checks(spark, sf):
 STATES_SQL = "['FAILED', 'ABORTED', 'SUCCEEDED', 'TIMED_OUT', 'RUNNING'][e.event_id % 5 + 1]"
 
 
+# The commands of every sanity target as literal values (name, step, command).
+_COMMANDS_SQL = r"""(VALUES
+  ('Ubuntu', 1, 'sed -E -i "s/(archive.ubuntu.com|security.ubuntu.com)/mirror.example.org/" /etc/apt/sources.list'),
+  ('Ubuntu', 2, 'apt update'),
+  ('Debian', 1, 'sed -E -i "s/(deb.debian.org|security.debian.org)/mirror.example.org/" /etc/apt/sources.list'),
+  ('Debian', 2, 'apt update'),
+  ('CentOS', 1, 'sed -i ''s/mirrorlist/#mirrorlist/;s/#baseurl=http:\/\/mirror.centos.org/baseurl=https:\/\/mirror.example.org/'' /etc/yum.repos.d/CentOS-*.repo'),
+  ('CentOS', 2, 'yum makecache'),
+  ('Fedora', 1, 'sed -i ''s/metalink/#metalink/;s/#baseurl=http:\/\/download.example\/pub\/fedora\/linux/baseurl=https:\/\/mirror.example.org\/fedora/'' /etc/yum.repos.d/fedora{,-updates,-modular,-updates-modular}.repo'),
+  ('Fedora', 2, 'yum makecache'),
+  ('Alpine', 1, 'sed -i ''s/dl-cdn.alpinelinux.org/mirror.example.org/g'' /etc/apk/repositories'),
+  ('Alpine', 2, 'apk update'),
+  ('ELRepo', 1, 'sed -i ''s/mirrorlist/#mirrorlist/;s/#baseurl=http:\/\/mirror.centos.org/baseurl=https:\/\/mirror.example.org/'' /etc/yum.repos.d/CentOS-*.repo'),
+  ('ELRepo', 2, 'rpm --import https://www.elrepo.org/RPM-GPG-KEY-elrepo.org'),
+  ('ELRepo', 3, 'yum install -y https://www.elrepo.org/elrepo-release-7.el7.elrepo.noarch.rpm'),
+  ('ELRepo', 4, 'sed -i ''s/mirrorlist/#mirrorlist/;s/elrepo.org\/linux/mirror.example.org\/elrepo/'' /etc/yum.repos.d/elrepo.repo'),
+  ('ELRepo', 5, 'yum makecache')) AS t(name, step, command)"""
+
+
+@register("failed_check_commands", ALERTS_SQL + f"""
+SELECT a."sanityProjectName" AS check_name, a."sanityProjectImage" AS image, t.step, t.command, count(*) AS failures
+FROM alerts a JOIN {_COMMANDS_SQL} ON t.name = a."sanityTarget" GROUP BY ALL""")
+def failed_check_commands(spark, sf):
+    """S9 + N1: the commands that every failed check ran, in order, with the check's failures."""
+    failures = _alerts(spark, sf).groupBy(F.col("sanityTarget").alias("name"), F.col("sanityProjectName").alias("check_name"),
+                                          F.col("sanityProjectImage").alias("image")).agg(F.count("*").alias("failures"))
+    commands = sanity_targets(spark).select("name", F.posexplode("commands").alias("at", "command"))
+    return failures.join(F.broadcast(commands), "name").select(  # 15 rows of configuration
+        "check_name", "image", (F.col("at") + 1).alias("step"), "command", "failures")
+
+
 @register("pipeline_outcomes", f"""
 SELECT e.event_id, 'pipeline' AS type, 'exec-' || e.event_id AS execution, '{ACCOUNT}' AS account,
   CASE WHEN e.event_id % 2 = 0 THEN '{{"commit":"' || substr(md5(CAST(e.event_id AS VARCHAR)), 1, 7) || '"}}' ELSE '{{}}' END AS input,

@@ -125,6 +125,10 @@ def _clock(spark, sf, period):
     return table(spark, sf, "events").agg(F.max("ts").alias("ts")).select(M.bucket_start(F.col("ts"), period)).scalar()
 
 
+def _last_event(spark, sf):
+    return table(spark, sf, "events").agg(F.max("ts")).scalar()
+
+
 @register("alarm_transitions_breaching", BREACHING_SQL)
 def alarm_transitions_breaching(spark, sf):
     """W1+W2+W3: hourly count per event type >= 5 (missing = breach), 3 of 3."""
@@ -149,7 +153,7 @@ def _function_alarm_sql(fn, alarm, missing, n, thr):
     return f"""SELECT * FROM (
   WITH series AS (SELECT function, date_trunc('hour', ts) AS bucket, CAST(sum(errors) AS BIGINT) AS value
                   FROM errors WHERE function = '{fn}' GROUP BY ALL),
-  grid AS (SELECT function, unnest(generate_series(min(bucket), (SELECT max(bucket) FROM series), INTERVAL 1 HOUR)) AS bucket
+  grid AS (SELECT function, unnest(generate_series(min(bucket), (SELECT date_trunc('hour', max(ts)) FROM events), INTERVAL 1 HOUR)) AS bucket
            FROM series GROUP BY function),
   filled AS (SELECT g.function, g.bucket, s.value FROM grid g LEFT JOIN series s USING (function, bucket)),
   evald AS (SELECT function, bucket, value,
@@ -169,15 +173,13 @@ FUNCTION_ALARMS_SQL = ERRORS_CTE + "\nUNION ALL\n".join(
 
 @register("function_error_alarms", FUNCTION_ALARMS_SQL)
 def function_error_alarms(spark, sf):
-    """The catalog's three function-error alarms over A12 (one spec each)."""
-    per_hour = M.errors_per_hour(M.function_errors(table(spark, sf, "events"))).withColumnRenamed("errors", "value")
-    out = None
-    for spec in AL.ALARM_CATALOG[:3]:
-        fn = spec.name[: -len("-errors")]
-        r = AL.alarm_transitions(per_hour.where(F.col("function") == fn), ["function"], spec)
-        r = r.withColumn("alarm", F.lit(spec.name))
-        out = r if out is None else out.unionByName(r)
-    return out
+    """The catalog's three function-error alarms over A12, one pass, up to the period of the last event."""
+    specs = AL.spec_table(spark, AL.ALARM_CATALOG[:3])
+    hourly = M.errors_per_hour(M.function_errors(table(spark, sf, "events")))
+    series = hourly.select(F.concat("function", F.lit("-errors")).alias("alarm"), "function",
+                           AL.bucket_us(F.col("bucket"), F.lit(3600)).alias("bucket_us"), F.col("errors").alias("value"))
+    return AL.alarm_transitions_by_table(series, specs, _last_event(spark, sf), ["function"]).select(
+        "function", "bucket", "previous", "state", "value", "alarm")
 
 
 # The six alarms as literal values: name, seconds, comparison, threshold, N, missing data, notify on OK.
@@ -212,16 +214,15 @@ def _catalog_sql(i, name, seconds, op, threshold, n, missing, notify_ok):
 
 @register("catalog_alarms", "\nUNION ALL\n".join(_catalog_sql(i, *a) for i, a in enumerate(_CATALOG)))
 def catalog_alarms(spark, sf):
-    """W1-W3 for all six alarms of the catalog (``<``, N of 1, ALARM only), each over its own share of the events."""
+    """W1-W3 for all six alarms of the catalog (``<``, N of 1, ALARM only), each over its own share of the events, in one
+    pass over them (and one over ``ts`` for the clock)."""
     events = table(spark, sf, "events").select("event_id", "ts", "event_type")
-    out = None
-    for i, spec in enumerate(AL.ALARM_CATALOG):
-        series = (events.where(F.col("event_id") % len(AL.ALARM_CATALOG) == i)
-                  .groupBy(F.lit(spec.name).alias("alarm"), M.bucket_start(F.col("ts"), spec.period).alias("bucket"))
-                  .agg(F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("value")))
-        r = AL.alarm_transitions(series, ["alarm"], spec, _clock(spark, sf, spec.period))
-        out = r if out is None else out.unionByName(r)
-    return out
+    specs = AL.spec_table(spark, AL.ALARM_CATALOG)
+    share = F.element_at(F.array(*(F.lit(a.name) for a in AL.ALARM_CATALOG)), (F.col("event_id") % len(AL.ALARM_CATALOG) + 1).cast("int"))
+    series = (events.withColumn("alarm", share).join(F.broadcast(specs.select("alarm", "period_seconds")), "alarm")
+              .groupBy("alarm", AL.bucket_us(F.col("ts"), F.col("period_seconds")).alias("bucket_us"))
+              .agg(F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("value")))
+    return AL.alarm_transitions_by_table(series, specs, _last_event(spark, sf))
 
 
 @register("capacity_pressure", LOG_CTE + """

@@ -107,23 +107,30 @@ def topic_messages_raw(spark, sf):
 
 
 @register("stream_alarm_transitions", "SELECT * FROM (" + BREACHING_SQL + """) t
-WHERE bucket + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)""")
+WHERE bucket + INTERVAL 15 MINUTE <= (SELECT max(date_trunc('hour', ts)) FROM events
+  WHERE date_trunc('hour', ts) + INTERVAL 75 MINUTE <= (SELECT max(ts) FROM events))""")
 def stream_alarm_transitions(spark, sf):
-    """T5: hourly event counts as a stream of closed windows (T4 job), fed to
-    the stateful alarm operator (second streaming job); equals the batch W1-W3
-    on every closed hour (the last hour is still open when the stream ends)."""
+    """T5: hourly event counts as a stream of closed windows (T4 job), fed to the stateful alarm operator (second job),
+    both with T4's delay of 15 minutes.  The events come in three deliveries, each out of order by up to 14 minutes; after each
+    one both jobs run until they have read all, so state and watermarks go through two restarts.  Equals the batch W1-W3 on every hour
+    that the second watermark has passed (the delay keeps the newest closed hour back)."""
     run = scratch_path(spark, "stream_alarm")
-    src = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf.rstrip('/')}/events.parquet*")
-    hourly = windowed_counts(metric_samples(src).select("metric", "ts", "value"), period="1 hour", delay="0 seconds")
-    _run(start_windowed(hourly, f"{run}/closed", f"{run}/_ckpt_closed"))
-    # second job: closed windows as a file stream; its watermark drives the gap-filling timeouts
-    closed = (spark.readStream.schema("bucket timestamp_ntz, metric string, samples long, total double")
-              .parquet(f"{run}/closed").select("metric", ntz_as_utc_instant(F.col("bucket")).alias("bucket"),
-                                               F.col("samples").alias("value"))
-              .withWatermark("bucket", "0 seconds"))
+    events = table(spark, sf, "events")
+    late = events.withColumn("_shown", F.col("ts") + F.make_dt_interval(secs=F.pmod(F.xxhash64("event_id"), F.lit(841)).cast("double")))
+    cuts = late.agg(F.min("_shown").alias("a"), F.max("_shown").alias("b")).first()
+    bounds = [] if cuts.a is None else [cuts.a + (cuts.b - cuts.a) * i / 3 for i in (1, 2)]
+    number = sum(((F.col("_shown") >= F.lit(b)).cast("int") for b in bounds), F.lit(0))
     spec = AlarmSpec("hourly-events", "1 hour", ">=", 5, 3, "BREACHING")
-    trans = evaluate_stream(closed, spec, 3600)
-    q = (trans.writeStream.format("parquet").option("path", f"{run}/out")
-         .option("checkpointLocation", f"{run}/_ckpt_alarm").outputMode("append").trigger(availableNow=True).start())
-    _run(q)
+    for i in range(len(bounds) + 1):
+        late.where(number == i).select(events.columns).write.mode("append").parquet(f"{run}/in")
+        src = spark.readStream.schema(events.schema).parquet(f"{run}/in")
+        hourly = windowed_counts(metric_samples(src).select("metric", "ts", "value"), period="1 hour")
+        _run(start_windowed(hourly, f"{run}/closed", f"{run}/_ckpt_closed"))
+        # second job: closed windows as a file stream; its watermark drives the gap-filling timeouts
+        closed = (spark.readStream.schema("bucket timestamp_ntz, metric string, samples long, total double")
+                  .parquet(f"{run}/closed").select("metric", ntz_as_utc_instant(F.col("bucket")).alias("bucket"),
+                                                   F.col("samples").alias("value"))
+                  .withWatermark("bucket", "15 minutes"))
+        _run(evaluate_stream(closed, spec, 3600).writeStream.format("parquet").option("path", f"{run}/out")
+             .option("checkpointLocation", f"{run}/_ckpt_alarm").outputMode("append").trigger(availableNow=True).start())
     return spark.read.parquet(f"{run}/out")

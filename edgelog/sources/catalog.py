@@ -78,17 +78,36 @@ LOG_FORMATS = {
     "pypi": (r"^\d{4}-\d{2}-\d{2}\s\d{2}:\d{2}:\d{2},\d{3}", "%Y-%m-%d %H:%M:%S"),
 }
 
-# Sanity-check targets (name, repo, images) per stage.
+# Sanity-check targets (name, repo, images, commands) per stage; <domain> is the site's own.
 PROD_SANITY_TARGETS = [
-    ("Ubuntu", "ubuntu", ["ubuntu:18.04", "ubuntu:20.04"]),
-    ("Debian", "debian", ["debian:stable", "debian:testing"]),
-    ("CentOS", "centos", ["centos:7"]),
-    ("Fedora", "fedora", ["fedora:34", "fedora:35", "fedora:36"]),
-    ("Alpine", "alpine", ["alpine:3.9", "alpine:3.11", "alpine:3.12"]),
-    ("ELRepo", "elrepo", ["centos:7"]),
+    ("Ubuntu", "ubuntu", ["ubuntu:18.04", "ubuntu:20.04"], [
+        'sed -E -i "s/(archive.ubuntu.com|security.ubuntu.com)/<domain>/" /etc/apt/sources.list',
+        "apt update"]),
+    ("Debian", "debian", ["debian:stable", "debian:testing"], [
+        'sed -E -i "s/(deb.debian.org|security.debian.org)/<domain>/" /etc/apt/sources.list',
+        "apt update"]),
+    ("CentOS", "centos", ["centos:7"], [
+        r"sed -i 's/mirrorlist/#mirrorlist/;s/#baseurl=http:\/\/mirror.centos.org/baseurl=https:\/\/<domain>/' /etc/yum.repos.d/CentOS-*.repo",
+        "yum makecache"]),
+    ("Fedora", "fedora", ["fedora:34", "fedora:35", "fedora:36"], [
+        r"sed -i 's/metalink/#metalink/;s/#baseurl=http:\/\/download.example\/pub\/fedora\/linux/baseurl=https:\/\/<domain>\/fedora/' /etc/yum.repos.d/fedora{,-updates,-modular,-updates-modular}.repo",
+        "yum makecache"]),
+    ("Alpine", "alpine", ["alpine:3.9", "alpine:3.11", "alpine:3.12"], [
+        "sed -i 's/dl-cdn.alpinelinux.org/<domain>/g' /etc/apk/repositories",
+        "apk update"]),
+    ("ELRepo", "elrepo", ["centos:7"], [
+        r"sed -i 's/mirrorlist/#mirrorlist/;s/#baseurl=http:\/\/mirror.centos.org/baseurl=https:\/\/<domain>/' /etc/yum.repos.d/CentOS-*.repo",
+        "rpm --import https://www.elrepo.org/RPM-GPG-KEY-elrepo.org",
+        "yum install -y https://www.elrepo.org/elrepo-release-7.el7.elrepo.noarch.rpm",
+        r"sed -i 's/mirrorlist/#mirrorlist/;s/elrepo.org\/linux/<domain>\/elrepo/' /etc/yum.repos.d/elrepo.repo",
+        "yum makecache"]),
 ]
 OTHER_SANITY_TARGETS = [
-    ("ELRepo", "elrepo", ["centos:7"]),
+    ("ELRepo", "elrepo", ["centos:7"], [
+        "rpm --import https://www.elrepo.org/RPM-GPG-KEY-elrepo.org",
+        "yum install -y https://www.elrepo.org/elrepo-release-7.el7.elrepo.noarch.rpm",
+        r"sed -i 's/mirrorlist/#mirrorlist/;s/elrepo.org\/linux/<domain>\/elrepo/' /etc/yum.repos.d/elrepo.repo",
+        "yum makecache"]),
 ]
 
 MIRROR_SCHEMA = T.StructType([
@@ -116,10 +135,11 @@ def mirror_catalog(spark: SparkSession, stage: str = "prod") -> DataFrame:
     return df.where(df.stage == ("prod" if stage == "prod" else "other"))
 
 
-def sanity_targets(spark: SparkSession, stage: str = "prod") -> DataFrame:
-    """(name, repo, images[]) per stage."""
-    rows = PROD_SANITY_TARGETS if stage == "prod" else OTHER_SANITY_TARGETS
-    return spark.createDataFrame(rows, "name string, repo string, images array<string>")
+def sanity_targets(spark: SparkSession, stage: str = "prod", domain: str = "mirror.example.org") -> DataFrame:
+    """(name, repo, images[], commands[]) per stage; the commands name ``domain``, the site's own."""
+    rows = [(name, repo, images, [c.replace("<domain>", domain) for c in commands])
+            for name, repo, images, commands in (PROD_SANITY_TARGETS if stage == "prod" else OTHER_SANITY_TARGETS)]
+    return spark.createDataFrame(rows, "name string, repo string, images array<string>, commands array<string>")
 
 
 def mirror_values_sql(stage: str = "prod") -> str:

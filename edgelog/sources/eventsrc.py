@@ -26,7 +26,7 @@ SCALED_RESOURCE = "service/mirrors/content-server"
 
 def check_names() -> list[str]:
     """Project names of the production sanity checks (target x image)."""
-    return [f"MonitorProjectFor{name}{image}" for name, _, images in PROD_SANITY_TARGETS for image in images]
+    return [f"MonitorProjectFor{name}{image}" for name, _, images, _ in PROD_SANITY_TARGETS for image in images]
 
 
 def _array_sql(values: list[str]) -> str:

@@ -24,7 +24,7 @@ STATE_SCHEMA = "last_us long, present string, breach string, state string, waiti
 
 
 def evaluate_stream(closed: DataFrame, spec: AlarmSpec, period_seconds: int, keys: list[str] | None = None,
-                    hold: bool = False) -> DataFrame:
+                    hold: bool = True) -> DataFrame:
     """``closed``: streaming (keys, bucket TIMESTAMP, value) with a watermark
     on ``bucket``.  Buckets travel to the state function as epoch microseconds
     (no time-zone conversion in between); the result has ``bucket`` as

@@ -90,3 +90,34 @@ def test_streaming_alarm_equals_batch(spark, tmpdir_path):
          .option("checkpointLocation", out + "_ckpt").trigger(availableNow=True).start().awaitTermination())
         got = sorted((r.metric, r.bucket, r.previous, r.state) for r in spark.read.parquet(out).collect())
         assert got == want, spec
+
+
+def test_alarm_table_equals_one_alarm_at_a_time(spark):
+    """Gaps and islands against filled periods: every comparator, N of 1 to 4, both policies, gaps, null values, a late clock."""
+    import itertools
+    import random
+    from edgelog.operators.alarms import alarm_transitions_by_table, bucket_us, spec_table
+    rng = random.Random(3)
+    specs = [AlarmSpec(f"a{i}", ["1 hour", "5 minutes", "1 minute"][i % 3], op, 2, n, missing, notify_ok) for i, (op, n, missing, notify_ok) in
+             enumerate(itertools.product([">=", ">", "<", "<="], [1, 3, 4], ["BREACHING", "IGNORE"], [True, False]))]
+    start, clock = dt.datetime(2024, 3, 9, 22), dt.datetime(2024, 3, 13, 4, 31)
+    rows, step = [], {"1 hour": 60, "5 minutes": 5, "1 minute": 1}
+    for s in specs:
+        at = start + dt.timedelta(minutes=60 * rng.randrange(3))
+        for _ in range(60):
+            rows.append((s.name, rng.choice("xy"), at, rng.choice([0, 1, 2, 3, 3, 3, None])))
+            at += dt.timedelta(minutes=step[s.period] * rng.choice([1, 1, 1, 1, 2, 3, 6]))
+    series = spark.createDataFrame(rows, "alarm string, site string, bucket timestamp_ntz, value long").where("bucket <= '2024-03-13 04:00:00'")
+    end = F.lit(clock).cast("timestamp_ntz")
+    table = spec_table(spark, specs)
+    placed = series.join(table.select("alarm", "period_seconds"), "alarm").select(
+        "alarm", "site", bucket_us(F.col("bucket"), F.col("period_seconds")).alias("bucket_us"), "value")
+    got = sorted(map(repr, alarm_transitions_by_table(placed, table, end, ["site"]).collect()))
+    want = None
+    for s in specs:
+        last = F.lit(clock.replace(minute=clock.minute - clock.minute % step[s.period] if step[s.period] < 60 else 0)).cast("timestamp_ntz")
+        one = alarm_transitions(series.where(F.col("alarm") == s.name), ["alarm", "site"], s, last)
+        want = one if want is None else want.unionByName(one)
+    want = sorted(map(repr, want.collect()))
+    assert got == want and len(got) > 200
+    assert alarm_transitions_by_table(placed.limit(0), table, end, ["site"]).count() == 0
