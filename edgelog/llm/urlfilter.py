@@ -30,6 +30,7 @@ SHARE = 10 ** 12
 DAMPING = 85  # of 100
 MOVING = 40
 ROUNDS = 4  # between two looks at the moving mass
+BROADCAST_BYTES = 16 << 20
 LEAST = (3, 10)  # of the mean mass per host; what a seed of mean size keeps for itself is 0.15 of it
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,10 +81,13 @@ def _moves(edges: DataFrame, src: str, dst: str, kind: str) -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, moving: int = MOVING) -> DataFrame:
     """Mass per (host, kind): kind ``t`` follows the edges, kind ``d`` runs against them, from the seeds' mass ``s``, until
     less than 1 / ``moving`` of it still moves.  Each round's moving mass is stored, so a round reads one table of hosts and the
-    edges, and what every round settles is summed once at the end.  Edges are merged, not broadcast: their files say little
-    about their size in memory."""
-    moves = stored(_moves(edges, "src", "dst", "t").unionByName(_moves(edges, "dst", "src", "d")), "moves").hint("merge")
+    edges, and what every round settles is summed once at the end.  The moving mass is broadcast where the counted edges and the
+    longest host name bound it to 16 MB; else both sides are merged (files say little about their size in memory)."""
+    moves = stored(_moves(edges, "src", "dst", "t").unionByName(_moves(edges, "dst", "src", "d")), "moves")
     fronts = [stored(seeds.select("host", "kind", F.col("s").alias("m")), "mass")]
+    size = (moves.select("b").unionByName(fronts[0].select(F.col("host").alias("b")))
+            .agg(F.count("*").alias("n"), F.max(F.octet_length("b")).alias("longest")).first())
+    small = size.n * ((size.longest or 0) + 64) <= BROADCAST_BYTES
 
     def in_motion() -> int:
         return fronts[-1].agg(F.sum("m")).first()[0] or 0
@@ -91,7 +95,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, moving: int = MOVING) -> DataF
     start = left = in_motion()
     while left and left * moving >= start:
         for _ in range(ROUNDS):
-            flow = fronts[-1].join(moves, (F.col("host") == F.col("a")) & (F.col("kind") == F.col("k"))).select(
+            moving_mass = fronts[-1].hint("broadcast" if small else "merge")
+            flow = moves.join(moving_mass, (F.col("host") == F.col("a")) & (F.col("kind") == F.col("k"))).select(
                 F.col("b").alias("host"), "kind", F.expr(f"cast(m as decimal(20, 0)) * n * {DAMPING} div (total * 100)").alias("m"))
             fronts.append(stored(flow.groupBy("host", "kind").agg(F.sum("m").alias("m")), "mass"))
         left = in_motion()
