@@ -106,7 +106,7 @@ def traffic_without_mirror(spark, sf):
 SELECT {first_match_sql('uri', C.CACHE_RULES, C.CACHE_DEFAULT)} AS cache_policy, {AGG_SQL}
 FROM log GROUP BY 1""")
 def traffic_by_rule_table(spark, sf):
-    """C1 with the rule table supplied as data (join form over distinct URIs)."""
+    """C1 with the rule table supplied as data (one ordered array, first match in the scan)."""
     rules = spark.createDataFrame([(i, p, v) for i, (p, v) in enumerate(C.CACHE_RULES)],
                                   "priority int, pattern string, value string")
     log = C.classify_by_table(access_log(spark, sf), "uri", rules, "cache_policy")
