@@ -50,17 +50,41 @@ def windowed_stat(samples: DataFrame, period: str, stat: str, keys: list[str | C
             .agg(STATS[stat](F.col(value_col)).alias("value")))
 
 
+def partials(samples: DataFrame, period: str, keys: list[str | Column], value_col: str = "value") -> DataFrame:
+    """Mergeable statistics ``(bucket, keys, n, total, least, most)``: what is stored at the finest grain, so that every coarser
+    period and every subset of the keys comes from these rows and the samples are read once.  Null values count nowhere."""
+    v = F.col(value_col)
+    return (samples.groupBy(bucket_start(F.col("ts"), period).alias("bucket"), *keys)
+            .agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.min(v).alias("least"), F.max(v).alias("most")))
+
+
+def _merged() -> list[Column]:
+    return [F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most")]
+
+
+def merge_partials(parts: DataFrame, period: str, keys: list[str]) -> DataFrame:
+    """``partials`` of a coarser ``period`` (a multiple of the stored one) and of fewer ``keys``."""
+    return parts.groupBy(bucket_start(F.col("bucket"), period).alias("bucket"), *keys).agg(*_merged())
+
+
+def partial_stat(stat: str) -> Column:
+    """A statistic of merged partials; the average is the whole sum over the whole count, never a mean of means."""
+    if stat == "Average":
+        return F.try_divide(F.col("total"), F.col("n"))
+    return F.col({"Sum": "total", "SampleCount": "n", "Minimum": "least", "Maximum": "most"}[stat])
+
+
 def dimension_rollup(samples: DataFrame, period: str, stat: str) -> DataFrame:
     """A10: every sample carries (image, instance, type, grp) and is also
     aggregated over the group alone - GROUPING SETS, with ``gid`` the bit
-    mask of the dimensions rolled up (image=8, instance=4, type=2, grp=1)."""
-    flat = samples.select("metric", "value", bucket_start(F.col("ts"), period).alias("bucket"),
-                          *[F.col(f"dims.{d}").alias(d) for d in DIMENSIONS])
+    mask of the dimensions rolled up (image=8, instance=4, type=2, grp=1).
+    The sets expand the partials of the full set, not the samples."""
+    fine = partials(samples, period, ["metric", *[F.col(f"dims.{d}").alias(d) for d in DIMENSIONS]])
     gid = sum(F.grouping(d) * (1 << (len(DIMENSIONS) - 1 - i)) for i, d in enumerate(DIMENSIONS))
     sets = [[F.col("metric"), F.col("bucket"), *[F.col(d) for d in DIMENSIONS]],
             [F.col("metric"), F.col("bucket"), F.col("grp")]]
-    return (flat.groupingSets(sets, "metric", "bucket", *DIMENSIONS)
-            .agg(gid.cast("bigint").alias("gid"), STATS[stat](F.col("value")).alias("value")))
+    return (fine.groupingSets(sets, "metric", "bucket", *DIMENSIONS).agg(gid.cast("bigint").alias("gid"), *_merged())
+            .select("metric", "bucket", *DIMENSIONS, "gid", partial_stat(stat).alias("value")))
 
 
 def request_minute(log: DataFrame) -> Column:

@@ -8,6 +8,7 @@ from edgelog.operators import alarms as AL
 from edgelog.operators import metrics as M
 from edgelog.plans.oracle import LOG_CTE
 from edgelog.plans.registry import register
+from edgelog.session import scratch_path
 from edgelog.sources.fixture import access_log
 from edgelog.sources.tables import table
 
@@ -57,6 +58,34 @@ def metric_rollup(spark, sf):
     return M.dimension_rollup(_samples(spark, sf), "1 hour", "Sum").withColumn("value", F.round("value", 6))
 
 
+GRAINS = {"hour": ["image", "instance", "type", "grp"], "day": ["grp"], "month": []}  # grain -> dimensions that it keeps
+
+
+def _grain_sql(grain: str, dims: list[str]) -> str:
+    kept = ", ".join(d if d in dims else f"CAST(NULL AS VARCHAR) AS {d}" for d in M.DIMENSIONS)
+    return f"""SELECT '{grain}' AS grain, metric, CAST(date_trunc('{grain}', ts) AS TIMESTAMP) AS bucket, {kept}, count(value) AS samples,
+  round(sum(value), 6) AS total, round(avg(value), 6) AS average, min(value) AS least, max(value) AS most FROM samples GROUP BY ALL"""
+
+
+@register("metric_rollup_grains", SAMPLES_CTE + " UNION ALL ".join(_grain_sql(g, d) for g, d in GRAINS.items()))
+def metric_rollup_grains(spark, sf):
+    """A10 + A6 from stored partials: the samples are read once, at the minute grain of all dimensions; hours come from the
+    minutes, days per group from the hours, months per metric from the days, each with all five statistics."""
+    path = f"{scratch_path(spark, 'metric_partials')}/minute"
+    M.partials(_samples(spark, sf), "1 minute", ["metric", *[F.col(f"dims.{d}").alias(d) for d in M.DIMENSIONS]]).write.parquet(path)
+    hours = M.merge_partials(spark.read.parquet(path), "1 hour", ["metric", *GRAINS["hour"]])
+    days = M.merge_partials(hours, "1 day", ["metric", *GRAINS["day"]])
+    months = days.withColumn("bucket", F.trunc("bucket", "month").cast("timestamp_ntz"))
+    months = M.merge_partials(months, "1 day", ["metric"])  # the first day of the month stands for it
+    parts = None
+    for grain, df in zip(GRAINS, (hours, days, months)):
+        dims = [F.col(d) if d in GRAINS[grain] else F.lit(None).cast("string").alias(d) for d in M.DIMENSIONS]
+        out = df.select(F.lit(grain).alias("grain"), "metric", "bucket", *dims, F.col("n").alias("samples"), F.round("total", 6).alias("total"),
+                        F.round(M.partial_stat("Average"), 6).alias("average"), "least", "most")
+        parts = out if parts is None else parts.unionByName(out)
+    return parts
+
+
 @register("http_class_per_minute", LOG_CTE + """
 SELECT "date"||' '||substr("time", 1, 5) AS minute,
   count(*) FILTER (WHERE status BETWEEN 200 AND 299) AS http_2xx,

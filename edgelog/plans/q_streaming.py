@@ -23,7 +23,7 @@ from edgelog.sources.arrivals import stage_arrivals
 from edgelog.sources.eventsrc import envelopes
 from edgelog.sources.fixture import access_log
 from edgelog.sources.tables import table
-from edgelog.streaming.metrics import start_windowed, windowed_counts
+from edgelog.streaming.metrics import start_windowed, start_windowed_with_late, windowed_counts
 from edgelog.streaming.notify import start_notifications
 
 
@@ -81,6 +81,31 @@ def stream_metric_1m(spark, sf):
     return spark.read.parquet(f"{run}/out").withColumn("total", F.round("total", 6))
 
 
+@register("stream_metric_late", """
+WITH shown AS (SELECT event_type AS metric, ts, value, least(day(ts + to_hours(CAST(event_id % 7 AS INT) * 10)) // 11, 2) AS number FROM events),
+marks AS (SELECT n AS number, (SELECT max(ts) FROM shown s WHERE s.number < n) - INTERVAL 15 MINUTE AS mark FROM range(3) t(n)),
+rows AS (SELECT date_trunc('minute', ts) AS bucket, metric, value,
+           coalesce(date_trunc('minute', ts) + INTERVAL 1 MINUTE <= mark, false) AS late FROM shown JOIN marks USING (number))
+SELECT bucket, metric, count(*) FILTER (WHERE NOT late) AS samples, round(sum(value) FILTER (WHERE NOT late), 6) AS total,
+  count(*) FILTER (WHERE late) AS late
+FROM rows WHERE bucket + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 15 MINUTE GROUP BY 1, 2""")
+def stream_metric_late(spark, sf):
+    """T4 over three deliveries with rows up to 60 hours behind: per closed window what was counted and what came too late."""
+    run = scratch_path(spark, "stream_metric_late")
+    events = table(spark, sf, "events")
+    shown = F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 7).cast("int") * 10)
+    number = F.least(F.floor(F.dayofmonth(shown) / 11), F.lit(2))
+    for i in range(3):
+        events.where(number == i).write.mode("append").parquet(f"{run}/in")
+        src = spark.readStream.schema(events.schema).parquet(f"{run}/in")
+        _run(start_windowed_with_late(metric_samples(src).select("metric", "ts", "value"), f"{run}/out", f"{run}/_checkpoint"))
+    late = spark.read.parquet(f"{run}/out/late").groupBy("bucket", "metric").agg(F.count("*").alias("late"))
+    closed = spark.read.parquet(f"{run}/out/closed").drop("batch")
+    return closed.join(late, ["bucket", "metric"], "full").select(
+        "bucket", "metric", F.coalesce("samples", F.lit(0)).alias("samples"), F.round("total", 6).alias("total"),
+        F.coalesce("late", F.lit(0)).alias("late"))
+
+
 @register("stream_notifications", NOTIFICATIONS_SQL)
 def stream_notifications(spark, sf):
     """Envelopes as a stream -> the same notifications as the batch form."""
