@@ -133,11 +133,21 @@ def sanity_checks(targets: DataFrame) -> DataFrame:
         "check_name", F.concat(F.lit("MonitorProjectFor"), F.col("name"), F.col("image")))
 
 
-def classify_by_table(df: DataFrame, key: str, rules: DataFrame, out: str) -> DataFrame:
-    """First-match classification with the rule table given as data (columns ``priority, pattern, value``).
+LITERAL_RULES = 256  # so many branches at most make a chain
+
 
-    The rules, ordered, travel as one array (a scalar subquery); each row takes the first that matches.  Map-only: the
-    log is scanned once, nothing is joined or shuffled, and any number of rules works."""
+def classify_by_table(df: DataFrame, key: str, rules: DataFrame, out: str) -> DataFrame:
+    """First-match classification with the rule table given as data (columns ``priority, pattern, value``); null patterns fit
+    nothing, no match gives null.  Map-only in both forms: the log is scanned once, nothing is joined or shuffled.
+
+    Up to LITERAL_RULES rules become a ``CASE`` chain of literal patterns, each compiled once per task.  Beyond that the
+    ordered rules travel as one array (a scalar subquery) and each row takes the first that matches."""
+    rules = rules.select("priority", "pattern", "value")
+    few = rules.limit(LITERAL_RULES + 1).collect()
+    if len(few) <= LITERAL_RULES:
+        few.sort(key=lambda r: tuple((v is not None, v) for v in r))  # as sort_array: nulls first, ties by pattern and value
+        chain = first_match(F.col(key), [(r.pattern, r.value) for r in few if r.pattern is not None], None)
+        return df.withColumn(out, chain.cast(rules.schema["value"].dataType))
     ordered = rules.agg(F.sort_array(F.collect_list(F.struct("priority", "pattern", "value"))).alias("r")).scalar()
     fits = F.filter("__rules", lambda r: F.rlike(F.col(key), r["pattern"]))
     return df.withColumn("__rules", ordered).withColumn(out, F.try_element_at(fits, F.lit(1))["value"]).drop("__rules")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from edgelog.operators.layout import by_path
 from edgelog.schema import ALL_COLUMNS, FULL_SCHEMA, PARTITION_KEYS
 from edgelog.session import mkdirs, path_exists, remove_path
 
@@ -66,7 +67,7 @@ def publish_hours(rows: DataFrame, root: str, mode: str = "overwrite") -> int:
     if mode != "overwrite":
         raise ValueError("a version replaces whole hours")
     spark, run = rows.sparkSession, uuid.uuid4().hex
-    (rows.hint("rebalance", *PARTITION_KEYS).select(*ALL_COLUMNS, F.lit(run).alias("run")).write.mode("append")
+    (by_path(rows).withColumn("run", F.lit(run)).write.mode("append")
      .option("compression", "snappy").partitionBy(*PARTITION_KEYS, "run").parquet(root))
     fresh = spark.read.schema(_RUN_SCHEMA).parquet(root).where(F.col("run") == run).select(*PARTITION_KEYS, "run").distinct()
     staged = f"{root}/_versions/_new-{run}"

@@ -90,7 +90,8 @@ SELECT bucket, metric, count(*) FILTER (WHERE NOT late) AS samples, round(sum(va
   count(*) FILTER (WHERE late) AS late
 FROM rows WHERE bucket + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 15 MINUTE GROUP BY 1, 2""")
 def stream_metric_late(spark, sf):
-    """T4 over three deliveries with rows up to 60 hours behind: per closed window what was counted and what came too late."""
+    """T4 over three deliveries, dealt by the day of the month on which a row shows up, so that many come days or weeks behind:
+    per closed window what was counted and what came too late."""
     run = scratch_path(spark, "stream_metric_late")
     events = table(spark, sf, "events")
     shown = F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 7).cast("int") * 10)

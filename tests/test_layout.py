@@ -107,3 +107,16 @@ def test_hot_hour_is_split_across_tasks(spark, tmpdir_path):
     files = [f for f in os.listdir(hour_dir) if f.endswith(".parquet")]
     assert len(files) > 1
     assert read_cold(spark, cold).where("hour = '03'").count() == 40000
+
+
+def test_compacted_files_skip_pages_by_path(spark, tmpdir_path):
+    """Rows of an hour lie by path, so a prefix filter reads only some pages of the file (P5)."""
+    hot, cold = os.path.join(tmpdir_path, "hot"), os.path.join(tmpdir_path, "cold")
+    _write_hour(hot, "03", [_row(uri=f"/{('debian', 'pypi/web', 'ubuntu')[i % 3]}/{i * 7919 % 60000:05d}") for i in range(60000)])
+    compact(spark, hot, cold, F.col("day") == "02")
+    df = read_cold(spark, cold).where(F.col("uri").startswith("/pypi/web/0001")).select("uri")
+    plan = df._jdf.queryExecution().executedPlan()
+    want = sum(1 for i in range(60000) if i % 3 == 1 and f"{i * 7919 % 60000:05d}".startswith("0001"))
+    assert len(df.collect()) == want > 0
+    scan = plan.collectLeaves().apply(0)
+    assert scan.metrics().apply("numOutputRows").value() < 30000

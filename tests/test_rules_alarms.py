@@ -121,3 +121,17 @@ def test_alarm_table_equals_one_alarm_at_a_time(spark):
     want = sorted(map(repr, want.collect()))
     assert got == want and len(got) > 200
     assert alarm_transitions_by_table(placed.limit(0), table, end, ["site"]).count() == 0
+
+
+def test_rule_table_forms_agree(spark, monkeypatch):
+    """A few rules as literals or as an array: the same first match; null patterns fit nothing, ties by pattern and value."""
+    from edgelog.operators import classify
+    rules = spark.createDataFrame([(2, "^/a", "late"), (1, "^/a/b", "early"), (3, None, "never"), (1, "^/a/b/c", "tie"), (None, "z$", "first")],
+                                  "priority int, pattern string, value string")
+    rows = spark.createDataFrame([("/a/x",), ("/a/b/c",), ("/a/bz",), ("/q",), (None,)], "uri string")
+    want = {"/a/x": "late", "/a/b/c": "early", "/a/bz": "first", "/q": None, None: None}
+    for limit in (256, 2):
+        monkeypatch.setattr(classify, "LITERAL_RULES", limit)
+        assert {r.uri: r.k for r in classify.classify_by_table(rows, "uri", rules, "k").collect()} == want
+        empty = classify.classify_by_table(rows, "uri", rules.where("false"), "k")
+        assert empty.schema["k"].dataType.simpleString() == "string" and empty.where("k IS NOT NULL").count() == 0
