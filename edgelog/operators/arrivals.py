@@ -71,13 +71,20 @@ def deliver(files: DataFrame, lake_root: str, target: str, manifest: str, batch:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(manifest)
 
 
+def hour_file(path: Column) -> Column:
+    """Manifest name (hour folders and file name) of a tier's file from its URI-encoded path.  Scans take it for every row, so
+    it cuts the end off and decodes only what is encoded, where ``object_key`` matches patterns and decodes the whole path."""
+    end = F.substring_index(path, "/", -len(PARTITION_KEYS) - 1)
+    decoded = F.url_decode(F.replace(end, F.lit("+"), F.lit("%2B")))
+    return F.when(F.contains(end, F.lit("%")), decoded).otherwise(end)
+
+
 def _rows_of(spark: SparkSession, hot_root: str, files: DataFrame, folders: list[str] | None) -> DataFrame:
     """The rows of exactly the named files."""
     paths = [f for f in ([hot_root] if folders is None else folders) if path_exists(spark, f)]
     if not paths:
         return spark.createDataFrame([], FULL_SCHEMA)
-    rows = read_hot(spark, paths, with_file=True, base=hot_root)
-    rows = rows.withColumn("file", object_key(F.col("file"), hot_root))
+    rows = read_hot(spark, paths, base=hot_root).withColumn("file", hour_file(F.col("_metadata.file_path")))
     names = files.select("file").distinct()
     return rows.join(F.broadcast(names) if names.count() <= SMALL_LIST else names, "file", "left_semi").drop("file")
 
