@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from edgelog.schema import ALL_COLUMNS, DATA_COLUMNS, FULL_SCHEMA
 from edgelog.session import mkdirs, work_path
@@ -24,12 +25,24 @@ HOT_OPTIONS = {
 }
 
 
+DASHED = ("fle_encrypted_fields", "sc_range_start", "sc_range_end")
+"""Numeric fields that are '-' in nearly every line.  Parsed as numbers each of them would throw and catch an exception per
+row, so they are read as text, and only what is not '-' goes through the parser, with the same result."""
+
+_HOT_SCHEMA = T.StructType([T.StructField(f.name, T.StringType() if f.name in DASHED else f.dataType) for f in FULL_SCHEMA])
+
+
+def _dash_or_number(name: str) -> Column:
+    number = F.from_csv(F.col(name), f"v {FULL_SCHEMA[name].dataType.simpleString()}", HOT_OPTIONS)
+    return F.when(F.col(name) != "-", number["v"]).alias(name)
+
+
 def read_hot(spark: SparkSession, root: str | list[str], with_file: bool = False, base: str | None = None) -> DataFrame:
     """Scan of the gzip TSV tier (gz files are unsplittable: one task per file).  ``root`` may be some hour folders
     of the tier ``base``."""
-    reader = spark.read.schema(FULL_SCHEMA).options(**HOT_OPTIONS)
+    reader = spark.read.schema(_HOT_SCHEMA).options(**HOT_OPTIONS)
     df = (reader.option("basePath", base) if base else reader).csv(root)
-    return _with_file(df, with_file)
+    return _with_file(df, with_file, {c: _dash_or_number(c) for c in DASHED})
 
 
 def read_cold(spark: SparkSession, root: str, with_file: bool = False) -> DataFrame:
@@ -38,9 +51,9 @@ def read_cold(spark: SparkSession, root: str, with_file: bool = False) -> DataFr
     return _with_file(df, with_file)
 
 
-def _with_file(df: DataFrame, with_file: bool) -> DataFrame:
+def _with_file(df: DataFrame, with_file: bool, parsed: dict[str, Column] | None = None) -> DataFrame:
     # The file path pseudo-column must be taken here, before any view.
-    cols = [F.col(c) for c in ALL_COLUMNS]
+    cols = [(parsed or {}).get(c, F.col(c)) for c in ALL_COLUMNS]
     if with_file:
         cols.append(file_name(F.col("_metadata.file_path")).alias("file"))
     return df.select(*cols)
